@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkrisk.llm import bpe, secrets, sharding
+from linkrisk.llm import bpe, html_text, quality, secrets, sharding, toxicity
 from linkrisk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op4_html": lambda spark, sf_dir: html_text.digest(spark, table(spark, sf_dir, "pages")),
+    "op5_quality": lambda spark, sf_dir: quality.digest(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op6_toxicity": lambda spark, sf_dir: toxicity.digest(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op7_bpe": lambda spark, sf_dir: bpe.digest(spark, table(spark, sf_dir, "documents")),
     "op8_shards": lambda spark, sf_dir: sharding.digest(spark, table(spark, sf_dir, "documents")),
     "op9_secrets": lambda spark, sf_dir: secrets.digest(spark, table(spark, sf_dir, "documents")),
