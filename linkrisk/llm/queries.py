@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkrisk.llm import bpe, html_text, quality, secrets, sharding, toxicity
+from linkrisk.llm import bpe, decontamination, html_text, licences, quality, secrets, sharding, toxicity
 from linkrisk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": lambda spark, sf_dir: decontamination.digest(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op2_licences": lambda spark, sf_dir: licences.digest(spark, table(spark, sf_dir, "documents")),
     "op4_html": lambda spark, sf_dir: html_text.digest(spark, table(spark, sf_dir, "pages")),
     "op5_quality": lambda spark, sf_dir: quality.digest(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op6_toxicity": lambda spark, sf_dir: toxicity.digest(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
@@ -20,4 +22,7 @@ QUERIES: dict[str, Query] = {
     "op9_secrets": lambda spark, sf_dir: secrets.digest(spark, table(spark, sf_dir, "documents")),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_decontamination": decontamination.ORACLE,
+    "op2_licences": licences.oracle(),
+}
