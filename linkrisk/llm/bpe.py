@@ -133,12 +133,11 @@ def read_vocabulary(path: str) -> str:
         return f.read()
 
 
-SCHEMA = "n_tokens long, ids binary, decoded string"
-DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+OUTPUTS = {"ids": pa.binary(), "decoded": pa.string(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
 
-def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
-    """``key``, ``n_tokens``, and the ids (binary, little-endian uint32) with the decoded text, or the SHA-256 of both.
+def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """``key``, ``n_tokens`` and the ``outputs``: ids (binary, little-endian uint32), decoded text, or their SHA-256.
 
     ``vocabulary`` is the path of a tokenizer file. A null or empty text has no tokens and decodes to "". Texts of any
     length are encoded whole; equal texts give equal rows; other columns are ignored; an empty table gives an empty one.
@@ -149,20 +148,21 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = pieces(content.value)
+        makers = {
+            "ids": lambda packed: packed,
+            "ids_sha256": lambda packed: hashlib.sha256(packed).hexdigest(),
+            "decoded": made.decode,
+            "decoded_sha256": lambda packed: hashlib.sha256(made.decode(packed).encode("utf-8")).hexdigest(),
+        }
         for batch in batches:
-            counts, ids, texts = [], [], []
-            for value in batch.column(1):
-                packed = made.encode(value.as_py())
-                decoded = made.decode(packed)
-                counts.append(len(packed) // 4)
-                ids.append(hashlib.sha256(packed).hexdigest() if digests else packed)
-                texts.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest() if digests else decoded)
-            columns = [pa.array(counts, pa.int64()), pa.array(ids, pa.string() if digests else pa.binary()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["key", "n_tokens", "a", "b"])
+            packed = [made.encode(value.as_py()) for value in batch.column(1)]
+            columns = [pa.array([makers[o](p) for p in packed], OUTPUTS[o]) for o in outputs]
+            counts = pa.array([len(p) // 4 for p in packed], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), counts, *columns], names=["key", "n_tokens", *outputs])
 
-    rows = docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, n_tokens long, a {'string' if digests else 'binary'}, b string")
-    names = [x.split(" ")[0] for x in (DIGESTS if digests else SCHEMA).split(", ")]
-    return rows.toDF(key, *names)
+    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    kinds = "".join(f", {o} {OUTPUTS[o]}" for o in outputs)
+    return rows.mapInArrow(run, f"key {kind}, n_tokens long{kinds}").withColumnRenamed("key", key)
 
 
 def decode(rows: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -187,4 +187,4 @@ def default_vocabulary() -> str:
 
 def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The query's rows: token count and SHA-256 of ids and decoded text per document."""
-    return encode(docs, default_vocabulary(), digests=True)
+    return encode(docs, default_vocabulary(), outputs=("ids_sha256", "decoded_sha256"))

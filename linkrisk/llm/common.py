@@ -44,3 +44,21 @@ def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and no other letter; null stays null."""
     plain = F.length(text) == F.octet_length(text)
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, ASCII_UPPER, ASCII_LOWER))
+
+
+#: Most rows of a table of ids that is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def without(docs: DataFrame, dropped: DataFrame, on: list[str]) -> DataFrame:
+    """``docs`` but for the rows that ``dropped`` names in the columns ``on`` (null keys equal each other).
+
+    ``dropped`` is broadcast if it has at most ``BROADCAST_ROWS`` rows, else the join is shuffled.
+    """
+    ids = written(dropped.select(*[F.col(c).alias(f"_{c}") for c in on]).distinct(), "dropped")
+    few = ids.count() <= BROADCAST_ROWS
+    met = None
+    for c in on:
+        same = F.col(c).eqNullSafe(F.col(f"_{c}"))
+        met = same if met is None else met & same
+    return docs.join(F.broadcast(ids) if few else ids, met, "left_anti")

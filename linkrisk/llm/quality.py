@@ -157,6 +157,23 @@ def score(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str =
     return rows.mapInArrow(run, f"{kinds}, score double")
 
 
+def keep(docs: DataFrame, weights: np.ndarray, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``threshold``."""
+    sent = docs.sparkSession.sparkContext.broadcast(weights.astype("<f4"))
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = sent.value
+        for batch in batches:
+            good = []
+            for v in batch.column(at):
+                ids, values = features(v.as_py())
+                good.append(sigmoid(float(values @ w[ids])) >= threshold)
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= threshold) of every document."""
     scored = score(docs, fit(docs, labels))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkrisk.llm import bpe, decontamination, html_text, licences, quality, secrets, sharding, topk, toxicity
+from linkrisk.llm import bpe, decontamination, html_text, jaccard, licences, quality, secrets, sharding, topk, toxicity
 from linkrisk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ QUERIES: dict[str, Query] = {
     "op1_decontamination": lambda spark, sf_dir: decontamination.digest(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op2_licences": lambda spark, sf_dir: licences.digest(spark, table(spark, sf_dir, "documents")),
     "op3_topk": lambda spark, sf_dir: topk.digest(spark, table(spark, sf_dir, "embeddings")),
+    "op10_jaccard": lambda spark, sf_dir: jaccard.digest(spark, table(spark, sf_dir, "documents")),
     "op4_html": lambda spark, sf_dir: html_text.digest(spark, table(spark, sf_dir, "pages")),
     "op5_quality": lambda spark, sf_dir: quality.digest(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op6_toxicity": lambda spark, sf_dir: toxicity.digest(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
@@ -27,4 +28,5 @@ ORACLES: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE,
     "op2_licences": licences.oracle(),
     "op3_topk": topk.ORACLE,
+    "op10_jaccard": jaccard.ORACLE,
 }

@@ -189,6 +189,24 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", mask: str | N
     return rows.mapInArrow(run, f"key {kind}, {SCHEMA}").withColumnRenamed("key", key)
 
 
+def redact(docs: DataFrame, mask: str = "[secret]", text: str = "text") -> DataFrame:
+    """``docs`` with each secret in ``text`` put out by ``mask``; all other columns as they are, null texts null."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for v in batch.column(at):
+                content = v.as_py()
+                spans = ordered(base_spans(content) + confirmed_spans(content)) if content else []
+                texts.append(redacted(content, spans, mask) if spans else content)
+            columns = list(batch.columns)
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The query's rows: counts, digest and spans per document."""
     return scan(docs).drop("clean_text")
