@@ -164,7 +164,7 @@ def registrations(captures: DataFrame, now: Column, settings: Settings = SETTING
 
     Of a domain's captures the latest counts. An action that occurs twice has its last date.
     """
-    latest = captures.groupBy("domain").agg(F.max_by(F.struct("body", "error"), F.struct("fetched_at", "body")).alias("c")).select("domain", "c.*")
+    latest = captures.groupBy("domain").agg(F.max_by(F.struct("body", "error"), F.struct("fetched_at", "body")).alias("_row")).select("domain", "_row.*")
     doc = F.from_json("body", RDAP_SCHEMA)
     df = latest.withColumn("doc", doc)
     last = lambda action: F.get(F.reverse(F.filter("doc.events", lambda e: e["eventAction"] == action)), F.lit(0))["eventDate"]

@@ -19,7 +19,7 @@ def feed_time(text: Column) -> Column:
 
 def tag_list(tags: Column) -> Column:
     """Comma-separated tags, trimmed, without blanks; [] for null."""
-    return F.filter(F.transform(F.split(F.coalesce(tags, F.lit("")), ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(F.coalesce(tags, F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def entries(feed: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def entries(feed: DataFrame) -> DataFrame:
 def latest(rows: DataFrame) -> DataFrame:
     """One row per id, the last of the batch; pre-aggregated, so a repeated id is no hot spot."""
     columns = [c for c in rows.columns if c != "id"]
-    return rows.groupBy("id").agg(F.max_by(F.struct(*columns), "line_no").alias("r")).select("id", "r.*")
+    return rows.groupBy("id").agg(F.max_by(F.struct(*columns), "line_no").alias("_row")).select("id", "_row.*")
 
 
 def upsert(snapshot: DataFrame, feed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,7 +69,7 @@ def upsert(snapshot: DataFrame, feed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def by_match_key(snapshot: DataFrame) -> DataFrame:
     """One row per match key: the one with the largest id."""
     columns = [c for c in snapshot.columns if c != "match_key"]
-    return snapshot.groupBy("match_key").agg(F.max_by(F.struct(*columns), "id").alias("r")).select("match_key", "r.*")
+    return snapshot.groupBy("match_key").agg(F.max_by(F.struct(*columns), "id").alias("_row")).select("match_key", "_row.*")
 
 
 def canonical(url: Column) -> Column:

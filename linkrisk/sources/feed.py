@@ -17,7 +17,7 @@ def parse_feed(lines: DataFrame) -> DataFrame:
     """
     schema = ", ".join(f"{f} string" for f in FEED_FIELDS)
     some = lines.where("value <> '' and not startswith(value, '#')")
-    rows = some.select("line_no", F.from_csv("value", schema, _OPTIONS).alias("r")).select("line_no", "r.*")
+    rows = some.select("line_no", F.from_csv("value", schema, _OPTIONS).alias("_row")).select("line_no", "_row.*")
     return rows.withColumn("short", F.col(FEED_FIELDS[-1]).isNull())
 
 
