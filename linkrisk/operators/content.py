@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linkrisk import dims
 from linkrisk.dims import SETTINGS, Settings
 from linkrisk.functions import html, urls
+from linkrisk.functions.shared import written
 from linkrisk.operators.domain import Brands, is_trusted
 
 EMPTY = "cast(array() as array<string>)"
@@ -169,7 +170,7 @@ def analyse(
     Columns: fetched, status_code, fetch_error, features, content_signals, content_score, content_reason, ai_verdict,
     ai_reason, rendered_used. HTML is parsed once per URL and dropped before any further join.
     """
-    got = html.features(fetched_pages(rows, pages, dns, url), "html", "url")
+    got = written(html.features(fetched_pages(rows, pages, dns, url), "html", "url"), "features")
     got = score_features(got, brands, settings=settings)
     ok = F.col("fetch_error").isNull()
     got = got.withColumn("_queue", ok & wants_rendering(F.col("content_score"), F.col("features"), settings))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkrisk.dims import SETTINGS, Settings
 from linkrisk.functions import urls
+from linkrisk.functions.shared import written
 
 REDIRECTS = [301, 302, 303, 307, 308]
 SCHEMES = ["http", "https", "ftp"]
@@ -14,7 +15,10 @@ HOP = "struct<url: string, status_code: int, raw_location: string, location: str
 
 
 def answers(hops: DataFrame) -> DataFrame:
-    """One answer per URL: HEAD, or GET where HEAD has no status, 400, 403 or 405, or redirects without a location."""
+    """One answer per URL: HEAD, or GET where HEAD has no status, 400, 403 or 405, or redirects without a location.
+
+    A URL whose GET is needed but was not captured has no answer.
+    """
     methods = {
         m: F.max(F.when(F.col("method") == m, F.struct("status_code", "raw_location", "error")))
         for m in ("HEAD", "GET")
@@ -28,7 +32,7 @@ def answers(hops: DataFrame) -> DataFrame:
         | (head["status_code"].isin(REDIRECTS) & (F.coalesce(head["raw_location"], F.lit("")) == ""))
     )
     picked = F.when(retry, F.col("GET")).otherwise(head)
-    return rows.select("url", picked["status_code"].alias("status_code"), picked["raw_location"].alias("raw_location"), picked["error"].alias("error"), F.when(retry, "GET").otherwise("HEAD").alias("method"))
+    return rows.where(picked.isNotNull()).select("url", picked["status_code"].alias("status_code"), picked["raw_location"].alias("raw_location"), picked["error"].alias("error"), F.when(retry, "GET").otherwise("HEAD").alias("method"))
 
 
 def unsafe_hosts(dns: DataFrame) -> DataFrame:
@@ -56,19 +60,23 @@ def _follow(df: DataFrame) -> DataFrame:
     df = df.withColumn("_scheme", scheme)
     loop = F.array_contains("visited", cur)
     local = F.coalesce("blocked", urls.is_local_ipv4(F.col("_from.host")), F.lit(False))
-    silent = status.isNull()
     unsafe = F.col("_next").isNotNull() & ~F.coalesce(F.col("_scheme"), F.lit("")).isin(SCHEMES)
+    def end(signal: Column | None, error: Column | None, hop: bool) -> Column:
+        text = lambda x: F.lit(None).cast("string") if x is None else x
+        return F.struct(text(signal).alias("signal"), text(error).alias("error"), F.lit(hop).alias("hop"))
+
+    late = F.lit("pipeline_timeout")
     stop = (
         F.when(~F.col("alive"), None)
-        .when(loop, F.struct(F.lit("redirect_loop").alias("signal"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("hop")))
-        .when(F.col("_from.host") == "", F.struct(F.lit(None).cast("string"), F.lit("invalid_host"), F.lit(False)))
-        .when(local, F.struct(F.lit("ssrf_blocked"), F.lit("ssrf_blocked"), F.lit(False)))
-        .when(a.isNull(), F.struct(F.lit("pipeline_timeout"), F.lit("pipeline_timeout"), F.lit(False)))
-        .when(silent, F.struct(F.lit(None).cast("string"), F.coalesce(a["error"], F.lit("dns_failure")), F.lit(False)))
-        .when(status >= 500, F.struct(F.lit(None).cast("string"), F.concat(F.lit("server_error_"), status.cast("string")), F.lit(True)))
-        .when(status.isin(REDIRECTS) & F.col("_next").isNull(), F.struct(F.lit(None).cast("string"), F.lit("missing_location_header"), F.lit(True)))
-        .when(unsafe, F.struct(F.concat(F.lit("unsafe_scheme:"), F.col("_scheme")), F.concat(F.lit("unsafe_redirect_scheme:"), F.col("_scheme")), F.lit(True)))
-        .when(F.col("_next").isNull(), F.struct(F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(True)))
+        .when(loop, end(F.lit("redirect_loop"), None, False))
+        .when(F.col("_from.host") == "", end(None, F.lit("invalid_host"), False))
+        .when(local, end(F.lit("ssrf_blocked"), F.lit("ssrf_blocked"), False))
+        .when(a.isNull(), end(late, late, False))
+        .when(status.isNull(), end(None, F.coalesce(a["error"], F.lit("dns_failure")), False))
+        .when(status >= 500, end(None, F.concat(F.lit("server_error_"), status.cast("string")), True))
+        .when(status.isin(REDIRECTS) & F.col("_next").isNull(), end(None, F.lit("missing_location_header"), True))
+        .when(unsafe, end(F.concat(F.lit("unsafe_scheme:"), F.col("_scheme")), F.concat(F.lit("unsafe_redirect_scheme:"), F.col("_scheme")), True))
+        .when(F.col("_next").isNull(), end(None, None, True))
     )
     df = df.withColumn("_stop", stop)
     goes = F.col("alive") & F.col("_stop").isNull()
@@ -93,12 +101,12 @@ def _follow(df: DataFrame) -> DataFrame:
 def unchain(starts: DataFrame, hops: DataFrame, dns: DataFrame | None = None, settings: Settings = SETTINGS) -> DataFrame:
     """Per distinct (start, upgraded) in ``starts``: final_url, hops, hop_count, timed_out, error and signals.
 
-    At most ``max_hops`` joins on the current URL, unrolled; rows whose chain has ended have no join key, so they take no
-    part in later joins. A URL without captured answer ends its chain as a request that ran out of time. ``dns`` (host, ip) blocks hosts that resolve to local addresses.
+    At most ``max_hops`` rounds, each a join of the rows that still walk on their current URL; rows whose chain has ended are
+    put aside. Each round is written to the shared folder, which keeps plans short. A URL without captured answer ends its chain as a request that ran out of time. ``dns`` (host, ip) blocks hosts that resolve to local addresses.
     """
-    known = answers(hops)
-    known = known.select(F.col("url").alias("_u"), F.struct("status_code", "raw_location", "error", "method").alias("a"))
-    blocked = unsafe_hosts(dns).withColumnRenamed("host", "_h") if dns is not None else None
+    known = answers(hops).select(F.col("url").alias("_u"), F.struct("status_code", "raw_location", "error", "method").alias("a"))
+    known = written(known, "answers")
+    blocked = written(unsafe_hosts(dns).withColumnRenamed("host", "_h"), "hosts") if dns is not None else None
     df = starts.select("start", "upgraded").distinct()
     df = df.select(
         F.col("upgraded").alias("id"),
@@ -110,13 +118,18 @@ def unchain(starts: DataFrame, hops: DataFrame, dns: DataFrame | None = None, se
         F.lit(None).cast("string").alias("error"),
         F.lit(True).alias("alive"),
     )
+    ended = []
     for _ in range(settings.max_hops):
-        df = df.withColumn("_u", F.when(F.col("alive"), F.col("cur"))).join(known, "_u", "left")
+        df = df.withColumn("_u", F.col("cur")).join(known, "_u", "left")
         if blocked is not None:
-            df = df.withColumn("_h", F.when(F.col("alive"), urls.host_of(F.col("cur")))).join(blocked, "_h", "left")
+            df = df.withColumn("_h", urls.host_of(F.col("cur"))).join(blocked, "_h", "left")
         else:
             df = df.withColumn("blocked", F.lit(None).cast("boolean"))
-        df = _follow(df)
+        step = written(_follow(df), "hops")
+        ended.append(step.where("not alive"))
+        df = step.where("alive")
+    for part in ended:
+        df = df.unionByName(part)
     over = F.when(F.col("alive"), F.array(F.lit("max_hops_reached"))).otherwise(F.array().cast("array<string>"))
     return df.select(
         F.col("url").alias("start"),

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from linkrisk import dims
 from linkrisk.dims import SETTINGS, Settings
 from linkrisk.functions import urls
+from linkrisk.functions.shared import written
 from linkrisk.operators import content, redirects, threat
-from linkrisk.operators.domain import Brands, score_domains, weighted  # noqa: F401
+from linkrisk.operators.domain import Brands, score_domains
 
 STRINGS = "cast(array() as array<string>)"
 # Errors that mean a page cannot be had, and the messages for it.
@@ -237,18 +238,19 @@ def score_urls(
     """A verdict, or a failure, for each (analysis_id, url) of ``requests``.
 
     Without ``snapshot`` the lists are not asked (the list-independent verdict); without ``ai`` there is none. All stages run
-    on distinct URLs and are joined back, so a URL that many requests ask for is worked on once.
+    on distinct URLs and are joined back, so a URL that many requests ask for is worked on once. Stages' results are written to
+    the shared folder, so a lost executor repeats one stage at most and plans stay short.
     """
-    rows = urls.normalised(requests, "url", settings).select("analysis_id", "norm.*")
+    rows = written(urls.normalised(requests, "url", settings).select("analysis_id", "norm.*"), "requests")
     failed = rows.where("failure is not null")
     good = rows.where("failure is null")
     distinct = good.select(F.col("normalized_url").alias("url"), "scheme_was_added").distinct()
-    starts = redirects.preferred(distinct, hops)
+    starts = written(redirects.preferred(distinct, hops), "starts")
     chains = starts.join(redirects.unchain(starts, hops, dns, settings), ["start", "upgraded"])
-    chains = chains.withColumn("gone", unavailable(F.col("hops"), F.col("error"))).withColumnRenamed("url", "normalized_url")
+    chains = written(chains.withColumn("gone", unavailable(F.col("hops"), F.col("error"))).withColumnRenamed("url", "normalized_url"), "chains")
     domains = score_domains(chains.select(F.col("final_url").alias("url")).distinct(), brands, registrations, settings=settings)
     domains = domains.select(F.col("url").alias("final_url"), "domain", F.col("domain_signals").alias("own_signals"), F.col("domain_score").alias("own_score"))
-    facts = chains.join(domains, "final_url")
+    facts = written(chains.join(domains, "final_url"), "domains")
     if snapshot is not None:
         pairs = facts.select("final_url", F.col("normalized_url").alias("original_url"))
         found = threat.check(pairs, snapshot, safe_browsing).withColumnRenamed("original_url", "normalized_url")
@@ -263,9 +265,9 @@ def score_urls(
     facts = facts.withColumn("domain_signals", F.when(crossed, F.concat(signals, F.array(F.lit("REDIRECT_CROSS_ORIGIN")))).otherwise(signals))
     facts = facts.withColumn("domain_score", F.when(crossed, F.least(F.lit(settings.domain_cap), score + weight)).otherwise(score))
     upstream = F.col("domain_signals") if snapshot is not None else F.array_distinct(F.concat("domain_signals", redirect_codes(F.col("chain_signals"))))
-    facts = facts.withColumn("upstream_signals", upstream).drop("own_signals", "own_score")
+    facts = written(facts.withColumn("upstream_signals", upstream).drop("own_signals", "own_score"), "facts")
     open_rows = facts.where(~F.col("is_malicious") & F.col("gone").isNull())
-    analysed = content.analyse(open_rows, pages, brands, rendered, ai, dns, "final_url", settings)
+    analysed = written(content.analyse(open_rows, pages, brands, rendered, ai, dns, "final_url", settings), "content")
     facts = facts.join(analysed.withColumn("_done", F.lit(True)), ["final_url", "upstream_signals"], "left")
     listed, gone = F.col("is_malicious"), F.col("gone").isNotNull()
     pick = lambda a, b, c: F.when(gone, a).when(listed, b).otherwise(c)
