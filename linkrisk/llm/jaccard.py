@@ -185,69 +185,104 @@ def smaller(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The runs of equal keys in sorted batches."""
-    held: list[pa.Table] = []
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of complete runs of equal keys, from sorted batches, with the place where each run starts."""
+    held = None
+
+    def starts_of(rows: pa.Table) -> np.ndarray:
+        change = np.ones(rows.num_rows, bool)
+        if rows.num_rows:
+            change[1:] = False
+            for m in (rows[k].to_numpy() for k in keys):
+                change[1:] |= m[1:] != m[:-1]
+        return np.flatnonzero(change)
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = pa.Table.from_batches([batch])
-        if held:
-            rows = pa.concat_tables([*held, rows])
-        marks = [rows[k].to_numpy() for k in keys]
-        change = np.zeros(rows.num_rows, bool)
-        for m in marks:
-            change[1:] |= m[1:] != m[:-1]
-        at = [0, *np.flatnonzero(change).tolist()]
-        for start, stop in itertools.pairwise(at):
-            yield rows.slice(start, stop - start)
-        held = [rows.slice(at[-1])]
-    if held:
-        yield pa.concat_tables(held)
-
-
-def proposals(keys: list[str], scheme: PartEnum, crossing: bool):
+        if batch.num_rows:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            starts = starts_of(rows)
+            held = rows.slice(int(starts[-1]))
+            if len(starts) > 1:
+                yield rows.slice(0, int(starts[-1])), starts[:-1]
+    if held is not None:
+        yield held, np.array([0])
+
+
+def proposals(keys: list[str], scheme: PartEnum, crossing: bool, all_pairs: int = ALL_PAIRS):
     """The function that proposes pairs within buckets (sorted by ``keys``) whose sizes and sketches allow a link.
 
     Not crossing: all pairs of small buckets, else those with the most central member and between neighbours.
-    Crossing: all pairs of which one is on the left and one on the right side and that are in different components.
+    Crossing: all pairs of which one is on the left and one on the right side and that are in different components; a pair
+    that shares several buckets is proposed in that with the smallest signature (``large``: each class's signatures).
     """
 
     def allowed(n: np.ndarray, sk: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        total = n[i] + n[j]
         fits = np.minimum(n[i], n[j]) * scheme.den >= np.maximum(n[i], n[j]) * scheme.num
-        apart = np.abs(sk[i] - sk[j]).sum(axis=1)
-        return fits & (apart <= total * (scheme.den - scheme.num) // (scheme.den + scheme.num))
-
-    def candidates(m: int, sk: np.ndarray, n: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if crossing:
-            for i in np.flatnonzero(left):
-                j = np.flatnonzero(right & (comp != comp[i]))
-                yield np.full(len(j), i), j
-        elif m <= ALL_PAIRS:
-            yield np.triu_indices(m, 1)
-        else:
-            centre = int(np.abs(sk - np.median(sk, axis=0)).sum(axis=1).argmin())
-            others = np.delete(np.arange(m), centre)
-            yield np.full(m - 1, centre), others
-            near = np.lexsort((sk.sum(axis=1), np.abs(sk - sk[centre]).sum(axis=1)))
-            yield near[:-1], near[1:]
+        out = np.zeros(len(i), bool)
+        at = np.flatnonzero(fits)
+        apart = np.abs(sk[i[at]] - sk[j[at]]).sum(axis=1)
+        out[at] = apart <= (n[i[at]] + n[j[at]]) * (scheme.den - scheme.num) // (scheme.den + scheme.num)
+        return out
+
+    def small(starts: np.ndarray, sizes: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of the groups of at most ``all_pairs`` rows, for all groups at once."""
+        group = np.repeat(np.arange(len(starts)), sizes)
+        few = np.repeat(sizes <= all_pairs, sizes)
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for d in range(1, min(all_pairs, int(sizes.max()))):
+            i = np.flatnonzero(few[: m - d] & (group[: m - d] == group[d:]))
+            left.append(i)
+            right.append(i + d)
+        return np.concatenate(left), np.concatenate(right)
+
+    def central(start: int, stop: int, sk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of one large group: its most central member with all others, and neighbours by distance from it."""
+        own = sk[start:stop]
+        centre = int(np.abs(own - np.median(own, axis=0)).sum(axis=1).argmin())
+        others = np.delete(np.arange(stop - start), centre)
+        near = np.lexsort((own.sum(axis=1), np.abs(own - own[centre]).sum(axis=1)))
+        return start + np.append(np.full(len(others), centre), near[:-1]), start + np.append(others, near[1:])
+
+    def across(rows: pa.Table, n: np.ndarray, sk: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        comp, side = rows["component"].to_numpy(), rows["side"].to_numpy()
+        sig = rows["sig"][0].as_py()
+        large = [set(x) for x in rows["large"].to_pylist()]
+        right = np.flatnonzero(side != 1)
+        for i in np.flatnonzero(side != 2):
+            j = right[(comp[right] != comp[i]) & ((right > i) | (side[right] != 0) | (side[i] != 0))]
+            j = j[allowed(n, sk, np.full(len(j), i), j)] if len(j) else j
+            j = np.array([x for x in j.tolist() if min(large[i] & large[x]) == sig], np.int64)
+            yield np.full(len(j), i), j
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in groups_of(batches, keys):
+        for rows, starts in whole_groups(batches, keys):
             m = rows.num_rows
-            if m < 2:
-                continue
             cls, n = rows["cls"].to_numpy(), rows["n"].to_numpy().astype(np.int64)
             sk = np.frombuffer(b"".join(rows["sketch"].to_pylist()), "<u2").reshape(m, CELLS).astype(np.int32)
-            comp = rows["component"].to_numpy() if crossing else cls
-            side = rows["side"].to_numpy() if crossing else np.zeros(m, np.int32)
-            for i, j in candidates(m, sk, n, comp, side != 2, side != 1):
-                if len(i):
-                    good = allowed(n, sk, i, j) & (cls[i] != cls[j])
-                    a, b = cls[i[good]], cls[j[good]]
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            stops = np.append(starts[1:], m)
+            if crossing:
+                made = [x for a, b in zip(starts.tolist(), stops.tolist(), strict=True) for x in across_in(rows, n, sk, a, b)]
+            else:
+                made = [tuple(x[allowed(n, sk, *pair)] for x in pair) for pair in self_pairs(starts, stops, m, sk)]
+            for i, j in made:
+                a, b = cls[i], cls[j]
+                differ = a != b
+                if differ.any():
+                    lo, hi = np.minimum(a, b)[differ], np.maximum(a, b)[differ]
+                    yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"])
+
+    def across_in(rows: pa.Table, n: np.ndarray, sk: np.ndarray, start: int, stop: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        found = [x for x in across(rows.slice(start, stop - start), n[start:stop], sk[start:stop]) if len(x[0])]
+        if not found:
+            return []
+        return [(start + np.concatenate([x[0] for x in found]), start + np.concatenate([x[1] for x in found]))]
+
+    def self_pairs(starts: np.ndarray, stops: np.ndarray, m: int, sk: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        sizes = stops - starts
+        yield small(starts, sizes, m)
+        for g in np.flatnonzero(sizes > all_pairs).tolist():
+            yield central(int(starts[g]), int(stops[g]), sk)
 
     return run
 
@@ -280,7 +315,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, s
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+def join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, all_pairs: int = ALL_PAIRS, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
     ``component_id`` is the smallest doc_id that links reach, the document's own included. A null or empty text, or one
@@ -297,17 +332,17 @@ def join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataF
     flat = usable.select(F.explode("signatures").alias("sig"), "cls")
     shared = flat.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("sig")
     members = written(flat.join(smaller(written(shared, "shared")), "sig", "left_semi").distinct(), "members")
-    sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > ALL_PAIRS)
+    sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > all_pairs)
     sizes = written(sizes, "sizes")
     described = members.join(classes.drop("rep"), "cls")
 
     # larger buckets are dealt into chunks twice, by two hashes, so that chunks overlap
-    salted = described.join(sizes, "sig", "left").withColumn("chunks", F.expr(f"cast(ceil(coalesce(m, 1) / {CHUNK}) as int)"))
+    salted = described.join(sizes, "sig", "left").withColumn("chunks", F.expr(f"cast(ceil(coalesce(m, 1) / {chunk}) as int)"))
     salted = salted.withColumn(
         "chunk", F.explode(F.expr("case when chunks = 1 then array(0) else array(pmod(hash(cls, 1), chunks), chunks + pmod(hash(cls, 2), chunks)) end"))
     )
     dealt = salted.select("sig", "chunk", "cls", "n", "sketch").repartition("sig", "chunk").sortWithinPartitions("sig", "chunk", "cls")
-    pairs = written(dealt.mapInArrow(proposals(["sig", "chunk"], scheme, False), "a long, b long").distinct(), "pairs")
+    pairs = written(dealt.mapInArrow(proposals(["sig", "chunk"], scheme, False, all_pairs), "a long, b long").distinct(), "pairs")
     links = written(verified(pairs, classes, docs, size, scheme), "links")
     labels = components(links)
 
@@ -316,7 +351,9 @@ def join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataF
     large = large.join(labels, large["rep"] == labels["node"], "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
     large = written(large.select("sig", "m", "cls", "n", "sketch", "component"), "large")
     split = large.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    left = large.join(split, "sig", "left_semi").withColumn("chunks", F.expr(f"cast(ceil(m / {CHUNK}) as int)")).withColumn("own", F.expr("pmod(hash(cls, 3), chunks)"))
+    rest = written(large.join(split, "sig", "left_semi"), "rest")
+    own = written(rest.groupBy("cls").agg(F.collect_set("sig").alias("large")), "own")  # a class has few signatures
+    left = rest.join(own, "cls").withColumn("chunks", F.expr(f"cast(ceil(m / {chunk}) as int)")).withColumn("own", F.expr("pmod(hash(cls, 3), chunks)"))
     # a chunk meets itself (side 0) and every other chunk (as left, 1, or right, 2)
     left = left.withColumn(
         "at",
@@ -327,10 +364,10 @@ def join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataF
             )
         ),
     )
-    left = left.select("sig", "at.i", "at.j", "at.side", "cls", "n", "sketch", "component").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "cls")
-    crossing = left.mapInArrow(proposals(["sig", "i", "j"], scheme, True), "a long, b long").distinct()
-    rest = written(crossing.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = verified(rest, classes, docs, size, scheme)
+    left = left.select("sig", "at.i", "at.j", "at.side", "cls", "n", "sketch", "component", "large").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "cls")
+    crossing = left.mapInArrow(proposals(["sig", "i", "j"], scheme, True, all_pairs), "a long, b long").distinct()
+    new = written(crossing.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = verified(new, classes, docs, size, scheme)
     labels = components(links.unionByName(more))
 
     named = classes.select("cls", "rep").join(labels, F.col("rep") == labels["node"], "left")
