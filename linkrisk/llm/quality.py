@@ -24,7 +24,7 @@ BITS = 18
 #: Most labelled rows of each class that the model is fitted on.
 PER_CLASS = 2500
 EPOCHS = 5
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 100_000
 HELD_OUT = 2
 MODULUS = 4
 
