@@ -6,7 +6,8 @@ to link with the next band, for that one too. Per band the feature domain is cut
 hashes of what a set has in chosen subsets of the parts:
 
 - k up to ``SMALL``: k + 2 parts; at least two of them are untouched by the k differences, so all pairs of parts are enumerated;
-- larger k: a little over k + 1 parts, each a subset of its own; at least one is untouched.
+- larger k: as many parts as the band's smallest sets need to fill more than k, each a subset of its own; at least one is
+  untouched.
 
 The guarantee must hold for parts that are not empty. A set with too many empty parts gets signatures by another hash as
 well, and after ``SEEDS`` hashes its single elements. So two sets that link always share a signature of some content.
@@ -38,7 +39,6 @@ from linkrisk.llm.components import components
 
 #: Largest k for which subsets of two parts are enumerated.
 SMALL = 3
-SLACK = 1.1
 SEEDS = 4
 CELLS = 64
 #: Buckets up to this size propose all their pairs at once.
@@ -47,7 +47,9 @@ ALL_PAIRS = 24
 CHUNK = 2048
 #: Most rows of a table that is broadcast (each a few longs).
 BROADCAST_ROWS = 2_000_000
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 100_000
+#: Rows whose signatures a worker holds at once.
+ROWS = 1000
 
 U = np.uint64
 
@@ -113,12 +115,20 @@ class PartEnum:
         """The most elements in which two linked sets of ``total`` elements together can differ."""
         return total * (self.den - self.num) // (self.den + self.num)
 
+    def parts(self, band: int, k: int) -> int:
+        """How many parts a band has, so that its smallest sets fill more than k of them, but for rare ones."""
+        least = self.num * self.start(band) / self.den
+        n = k + 1
+        while n - (empty := n * math.exp(-least / n)) < k + 2 + 2 * math.sqrt(empty) and n < 2 * k + 8:
+            n += 1 + n // 100
+        return n
+
     def of_band(self, x: np.ndarray, band: int, seed: int) -> tuple[np.ndarray, bool]:
         """Signatures of one band by one hash, and whether the guarantee holds for this set."""
         k = self.differences(2 * (self.start(band + 1) - 1))
         salt = U(((band * 31 + seed) * 2 + 1) * 0x165667B19E3779F9 % (1 << 64))
         enumerated = 0 < k <= SMALL
-        n_parts = 1 if k == 0 else k + 2 if enumerated else math.ceil(SLACK * (k + 1))
+        n_parts = 1 if k == 0 else k + 2 if enumerated else self.parts(band, k)
         spread = mix(x + U(seed))
         part = ((spread >> U(32)) % U(n_parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
@@ -163,7 +173,7 @@ def features(docs: DataFrame, size: int, scheme: PartEnum) -> DataFrame:
     """doc_id with its set's size, class, signatures and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             n, cls, signatures, sketches = [], [], [], []
             for v in batch.column(1).cast(pa.binary()):
                 x = shingles(v.as_py(), size)
