@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkrisk.functions import html, urls
+from linkrisk.functions.shared import written
 from linkrisk.operators import content, domain, metrics, redirects, threat, verdict
 from linkrisk.plans import oracles
 from linkrisk.plans.fixtures import NOW, fixture
@@ -70,7 +71,7 @@ def rdap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_features(spark: SparkSession, d: str) -> DataFrame:
-    return html.features(fixture(spark, d, "page_capture").select("page_id", "url", "html"))
+    return written(html.features(fixture(spark, d, "page_capture").select("page_id", "url", "html")), "features")
 
 
 # URL functions
