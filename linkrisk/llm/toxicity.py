@@ -5,14 +5,16 @@ transducers: one holds whether a target has been named, one for how many words a
 clause reports what others say. An insult or threat puts out its own weight times the factors of the state it is met in. A
 clause's score is the sum of what is put out; a document's is the sum over its clauses, mapped to 0..1 by a logistic curve.
 
-The cue words are learnt: from a bounded sample of labelled rows, word stems that clauses of toxic documents have and those
-of others do not. Stems are counted by distinct clause, so that copies of one document count once. Every row is then scored
-on its own within Arrow batches.
+The cues are learnt: from a bounded sample of labelled rows, word stems and whole words of any length that clauses of toxic
+documents have and those of others do not. They are counted by distinct clause, so that copies of one document count once.
+How many clauses a cue needs follows from the odds of so many by chance, not from the sample's size, so that cues of a small
+language or of a rare insult are learnt too. Every row is then scored on its own within Arrow batches.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +33,12 @@ from linkrisk.llm import labelled
 PER_CLASS = 1500
 MODULUS = 5
 HELD_OUT = 0
+#: Letters of the stems that are counted of every word; longer ones are sought only below a frequent stem that is not sure.
 SHORTEST, LONGEST = 3, 6
+#: Fewest toxic clauses of a cue, and the share of chance finds held for among cues (Benjamini-Hochberg).
+LEAST, CHANCE = 4, 0.01
+#: Ends a cue that is a whole word.
+END = " "
 
 # Function words of the grammar and its threats, in English, French, German and Spanish.
 TARGETS = frozenset("you your youre u he she they them this these those all tu vous ton votre ces cet du ihr dein euch diese er sie usted tus ustedes ese esos este".split())
@@ -45,15 +53,18 @@ WORD = re.compile(r"[^\W_]+")
 
 @dataclass
 class Grammar:
-    """Cue stems with their weights and the logistic curve's slope and offset."""
+    """Cues (stems, or whole words with END behind) with their weights and the logistic curve's slope and offset."""
 
     cues: dict[str, float] = field(default_factory=dict)
     slope: float = 1.0
     offset: float = -3.0
 
     def __post_init__(self):
-        stems = sorted({*self.cues, *THREATS}, key=lambda s: (-len(s), s))
-        self.any = re.compile(r"\b(?:" + "|".join(map(re.escape, stems)) + ")")
+        self.lengths = sorted({len(s) for s in self.cues if not s.endswith(END)})
+        by_letter: dict[str, list[str]] = defaultdict(list)
+        for s in sorted({*self.cues, *THREATS}, key=lambda s: (-len(s), s)):
+            by_letter[s[0]].append(re.escape(s[1:-1]) + r"(?![^\W_])" if s.endswith(END) else re.escape(s[1:]))
+        self.any = re.compile(r"\b(?:" + "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in by_letter.items()) + ")")
         #: target named (0/1), words that a negation still reaches (0..REACH), reported (0/1) -> factor
         self.factors = {
             (t, n, r): (TARGETED if t else 1.0) * (NEGATED if n else 1.0) * (REPORTED if r else 1.0)
@@ -64,8 +75,8 @@ class Grammar:
 
     def weight(self, word: str) -> float:
         """An insult's or threat's weight, 0 for other words."""
-        found = [self.cues[word[:n]] for n in range(SHORTEST, min(LONGEST, len(word)) + 1) if word[:n] in self.cues]
-        return max([THREATS.get(word, 0.0), *found])
+        found = [self.cues.get(word[:n], 0.0) for n in self.lengths if n <= len(word)]
+        return max([THREATS.get(word, 0.0), self.cues.get(word + END, 0.0), *found])
 
     def clause(self, clause: str) -> float:
         """The sum of what the composed transducers put out over the clause's words."""
@@ -100,45 +111,111 @@ class Grammar:
 
 
 def stems_of(text: str) -> Iterator[tuple[str, int]]:
-    """Each stem of the text with the checksum of the first clause that has it."""
+    """Each short stem and whole word (END behind) of the text with the checksum of the first clause that has it."""
     seen: set[str] = set()
     for clause in CLAUSE.findall(text.lower()):
         mark = zlib.crc32(clause.strip().encode("utf-8", "replace"))
         for word in WORD.findall(clause):
+            if word + END in seen:
+                continue
+            seen.add(word + END)
+            yield word + END, mark
             for n in range(SHORTEST, min(LONGEST, len(word)) + 1):
                 if word[:n] not in seen:
                     seen.add(word[:n])
                     yield word[:n], mark
 
 
-def counted(rows: DataFrame) -> DataFrame:
-    """(stem, toxic, clean): in how many distinct clauses of toxic and of other documents a stem comes first."""
+def found_in(rows: DataFrame, below: set[str] | None = None) -> DataFrame:
+    """Distinct (stem, clause, label) of (text, label); with ``below`` only whole words of more than LONGEST letters that start with one of those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(s, m, label) for v, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True) for s, m in stems_of(v.as_py() or "")]
+            texts = zip(batch.column(0), batch.column(1).to_pylist(), strict=True)
+            found = [(s, m, label) for v, label in texts for s, m in stems_of(v.as_py() or "") if below is None or len(s) > LONGEST + 1 and s[:LONGEST] in below]
             columns = list(zip(*found, strict=True)) or [(), (), ()]
             arrays = [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int32()), strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=["stem", "clause", "label"])
 
-    distinct = rows.select("text", "label").mapInArrow(run, "stem string, clause long, label int").distinct()
-    return distinct.groupBy("stem").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+    return rows.select("text", "label").mapInArrow(run, "stem string, clause long, label int").distinct()
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """(stem, toxic, clean): in how many distinct clauses of toxic and of other documents a short stem or whole word comes first."""
+    return found_in(rows).groupBy("stem").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+
+
+def branches(words: list[str]) -> list[tuple[str, int, int]]:
+    """(stem, start, stop) of each stem of more than LONGEST letters that neighbours among the sorted words share, and of those that share it.
+
+    Any other stem has the same words as the next longer of these, or a single word.
+    """
+    out, open_, common = [], [], 0
+    for i in range(1, len(words) + 1):
+        common = len(os.path.commonprefix([words[i - 1], words[i]])) if i < len(words) else 0
+        start = i - 1
+        while open_ and open_[-1][0] > common:
+            n, start = open_.pop()
+            out.append((words[i - 1][:n], start, i))
+        if common > LONGEST and (not open_ or open_[-1][0] < common):
+            open_.append((common, start))
+    return out
+
+
+def longer_stems(rows: DataFrame, below: set[str]) -> DataFrame:
+    """(stem, toxic, clean) of the longer stems that start with one of ``below``; clauses are those where their words come first."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        clauses: dict[str, set[tuple[int, int]]] = defaultdict(set)
+        for word, clause, label in zip(group["stem"], group["clause"], group["label"], strict=True):
+            clauses[word.removesuffix(END)].add((clause, label))
+        words = sorted(clauses)
+        found = []
+        for stem, start, stop in branches(words):
+            held = set().union(*(clauses[w] for w in words[start:stop]))
+            toxic = sum(label for _, label in held)
+            if toxic >= LEAST:
+                found.append((stem, toxic, len(held) - toxic))
+        return pd.DataFrame(found, columns=["stem", "toxic", "clean"])
+
+    return found_in(rows, below).groupBy(F.left("stem", F.lit(LONGEST))).applyInPandas(run, "stem string, toxic long, clean long")
+
+
+def log_chance(a: int, b: int, share: float) -> float:
+    """The logarithm of the chance of at most b clean among a + b clauses, if each is toxic with ``share``."""
+    if share <= 0 or share >= 1:
+        return 0.0
+    n = a + b
+    terms = [math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + (n - j) * math.log(share) + j * math.log(1 - share) for j in range(b + 1)]
+    return max(terms) + math.log(sum(math.exp(t - max(terms)) for t in terms))
+
+
+def significant(stems: dict[str, tuple[int, int]], tested: int, share: float) -> dict[str, tuple[int, int]]:
+    """Those of the stems that stand out from ``tested`` ones beyond chance (Benjamini-Hochberg)."""
+    line = sorted((log_chance(a, b, share), s) for s, (a, b) in stems.items())
+    last = max((i for i, (p, _) in enumerate(line, 1) if p <= math.log(CHANCE * i / tested)), default=0)
+    return {s: stems[s] for _, s in line[:last]}
 
 
 def chosen(stems: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """The cue stems: sure enough, as long as they lose no clauses by it, and not within a shorter cue."""
+    """The cues: sure enough, stems as long as they lose no clauses by it, and not within a shorter cue."""
     weights = {
         s: math.log((a + 0.5) / (n_toxic + 1)) - math.log((b + 0.5) / (n_clean + 1))
         for s, (a, b) in stems.items()
     }
+    lengths = sorted({len(s) for s in stems})
     longer: dict[str, int] = defaultdict(int)
     for s, (a, _) in stems.items():
-        longer[s[:-1]] = max(longer[s[:-1]], a)
+        # a whole word does not stand in for its stem, which has its other forms too
+        if not s.endswith(END):
+            for n in lengths:
+                if n < len(s) and s[:n] in stems:
+                    longer[s[:n]] = max(longer[s[:n]], a)
     cues: dict[str, float] = {}
-    for s in sorted(stems, key=len):
+    for s in sorted(stems, key=lambda s: (len(s), s)):
         a, b = stems[s]
         sure = weights[s] >= 3.2 and b <= a / 50
-        if sure and longer[s] < 0.95 * a and not any(s[:n] in cues for n in range(SHORTEST, len(s))):
+        if sure and longer[s] < 0.95 * a and not any(n < len(s) and s[:n] in cues for n in lengths):
             cues[s] = min(6.0, weights[s])
     return cues
 
@@ -148,10 +225,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     rows = labelled.sample(docs, labels, label, modulus, held_out, per_class).persist()
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
-    least = max(4, math.ceil(0.03 * n_toxic))
-    # the stems of a bounded sample that many of its toxic clauses share
-    found = counted(rows).where((F.col("toxic") >= least) & (F.col("clean") * 50 <= F.col("toxic"))).collect()
-    grammar = Grammar(chosen({r.stem: (r.toxic, r.clean) for r in found}, n_toxic, n_clean))
+    # of a bounded sample, what several of its toxic clauses share
+    table = counted(rows).persist()
+    mass = table.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
+    found = table.where(F.col("toxic") >= LEAST).collect()
+    table.unpersist()
+    impure = {r.stem for r in found if len(r.stem) == LONGEST and not r.stem.endswith(END) and r.clean * 50 > r.toxic}
+    found += longer_stems(rows, impure).collect() if impure else []
+    # the share of toxic clauses that chance would give
+    share = max(n_toxic / max(1, n_toxic + n_clean), (mass.toxic or 0) / max(1, (mass.toxic or 0) + (mass.clean or 0)))
+    sure = significant({r.stem: (r.toxic, r.clean) for r in found if r.clean * 50 <= r.toxic}, len(found), share)
+    grammar = Grammar(chosen(sure, n_toxic, n_clean))
     sums = summed(rows.select(F.col("label").alias("key"), "text"), grammar).collect()
     rows.unpersist()
     if sums:

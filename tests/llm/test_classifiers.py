@@ -61,6 +61,24 @@ def test_toxicity(spark):
     assert all(r.predicted == 0 for r in toxicity.classify(docs, labels.limit(0)).collect())
 
 
+def test_toxicity_learns_rare_cues_and_words_that_start_like_harmless_ones(spark):
+    docs, labels = [], []
+    for i in range(1500):
+        toxic = i % 5 == 0
+        words = [f"w{i % 97}", f"v{i % 89}", "abcdef" + "klmn"[i % 4], "x" * 30_000 if i % 400 == 1 else "y"]
+        if toxic:
+            # stems beyond six letters, a whole word within a harmless one, and an insult in 7 of 300 documents
+            words += [["abcdefzz" + "pq"[i % 2]], ["harm"], ["qqrare"] if i % 225 == 10 else [f"c{i}"]][i // 5 % 3]
+        else:
+            words += ["harmless"] if i % 3 else [f"c{i}"]
+        docs.append((i, " ".join([*words, str(i)])))
+        labels.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    grammar = toxicity.fit(docs, labels)
+    assert [w for w in ("abcdefzzp", "abcdefzzq", "abcdefzzother", "harm", "qqrare") if not grammar.sum(w)] == []
+    assert [w for w in ("abcdefk", "abcdefn", "harmless", "harms", "w1", "v1", "y") if grammar.sum(w)] == []
+
+
 def test_grammar():
     g = toxicity.Grammar({"moron": 4.0, "lowei": 4.0}, 1.0, -2.5)
     plain, aimed, denied, told = (g.sum(x) for x in ("a moron", "you moron", "not a moron", "she said a moron"))
