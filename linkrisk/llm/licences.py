@@ -1,8 +1,10 @@
 """Operator 2: licence scans by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences; each is normalised to lower-case words with single spaces. Known licence sentences have short
-identifiers; a document becomes the sequence of the identifiers that it holds, in order. A licence rule is an ordered
-sequence of identifiers (others may stand between them); a licence is reported if its rule matches.
+A text is normalised to lower-case words, single line breaks and sentence ends. Known licence sentences have short
+identifiers; a document becomes the sequence of the identifiers that it holds, in order. A sentence runs from the start of a
+line or sentence to the end of one, over any number of wrapped lines; a notice may also have other words before it in its
+sentence, if none of the 120 characters' words next to it denies it. A licence rule is an ordered sequence of identifiers (others may stand
+between them); a licence is reported if its rule matches.
 
 Documents without any word that known sentences have are passed over by one regular expression; all else is a projection
 over one scan: no shuffle.
@@ -76,6 +78,33 @@ RULES = (
 )
 #: Each known sentence has one of these words.
 WORDS = ("licen[sc]e", "copyright", "permission", "warrant", "redistribut", "public domain", "rights reserved")
+# Whole sentences of the licence texts where SENTENCES has a shortened one, pieces as sentence ends cut them,
+# and further wordings; "*" stands for up to a dozen words.
+WHOLE_SENTENCES = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit_grant",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "mit_keep",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit_as_is",
+    "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd_name",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl_free",
+    "either version 2 of the license or at your option any later version": "gpl2_either",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2_free",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3_free",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3_free",
+    "* is distributed in the hope that it will be useful but without any warranty": "gpl_hope",
+}
+# Rules over those.
+WHOLE_RULES = (
+    ("GPL", "copyleft", ("gpl2_free", "gpl_hope")),
+    ("GPL", "copyleft", ("gpl3_free", "gpl_hope")),
+    ("GPL-2.0", "copyleft", ("gpl_free", "gpl2_either", "gpl_hope")),
+    ("GPL-2.0", "copyleft", ("gpl2_free", "gpl_hope")),
+    ("GPL-3.0", "copyleft", ("gpl3_free", "gpl_hope")),
+    ("LGPL-3.0", "copyleft", ("lgpl3_free", "gpl_hope")),
+)
+#: Words before a notice that deny it.
+DENIALS = "not never no nor neither cannot without nothing none unless if whether isn wasn aren weren don doesn longer previously formerly"
+#: What may follow a notice in its sentence: where the licence is found.
+POINTERS = "(?: (?:please )?see (?:the )?(?:accompanying )?licen[sc]e(?: md| txt)?(?: file)?(?: for (?:more |further |full )?(?:details|information))?)?"
 #: An identifier's first words may follow what stands before them in a sentence ("copyright 2020 x. all rights reserved").
 SENTENCE_END = r"([.!?;:])[ \t\r]+"
 
@@ -85,18 +114,49 @@ def rule_pattern(identifiers: tuple[str, ...]) -> str:
     return ".*".join(f" {re.escape(i)} " for i in identifiers)
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def normalised(text: Column) -> Column:
+    """Lower-case words with single spaces; a line break within a paragraph is one newline, each end of a sentence or paragraph an E."""
+    ended = F.regexp_replace(F.lower(text), r"[.!?;:](?=[ \t\r\n]|\z)", "E")
+    words = F.regexp_replace(F.regexp_replace(ended, r"[^a-z0-9E\n]+", " "), r" ?\n ?", "\n")
+    return F.trim(F.regexp_replace(words, r"[ \n]*(?:E|\n\n)[ \nE]*", "E"))
+
+
+def sentence_patterns() -> dict[str, str]:
+    """For each identifier a regular expression that finds its sentences in a normalised text."""
+    notices = {ids[0] for _, _, ids in RULES if len(ids) == 1}
+    found: dict[str, list[str]] = {}
+    for sentence, i in sorted({**SENTENCES, **WHOLE_SENTENCES}.items(), key=lambda x: -len(x[0])):
+        if i in notices:
+            # one wording of what licenses stands for the others
+            sentence = re.sub("^(?:this work is )?(?:licensed|released) under (?:(?:the|a) )?", "(?:licensed|released|distributed|published|available|provided) under (?:the terms of )?(?:(?:the|a|an) )?", sentence)
+            sentence = re.sub(r"licen[sc]e\b", "licen[sc]e", sentence)
+        found.setdefault(i, []).append(sentence.replace("*", "(?:[a-z0-9]{1,40} ){0,11}[a-z0-9]{1,40}"))
+    starts, ends = "(?<![a-z0-9 ])", "(?![a-z0-9 ])"
+    out = {}
+    for i, sentences in found.items():
+        body = "(?:" + "|".join(dict.fromkeys(sentences)) + ")"
+        if i in notices:
+            undenied = f"(?<= )(?<!(?<![a-z0-9])(?:{'|'.join(DENIALS.split())})[ \\n][a-z0-9 \\n]{{0,120}})"
+            whole = f"(?:{starts}|{undenied}){body}(?={POINTERS}{ends})"
+        else:
+            # the label of a list's item may stand before
+            whole = f"{starts}(?:(?:[0-9]{{1,2}}|[a-h]|[ivx]{{1,4}}) )?{body}(?:{ends}|(?= https?(?![a-z0-9])))"
+        out[i] = wrapping(whole)
+    return out
+
+
+def wrapping(pattern: str) -> str:
+    """The pattern with each space outside character classes also met by a line break."""
+    return "".join(x if x.startswith("[") else x.replace(" ", "[ \\n]") for x in re.split(r"(\[[^\]]*\])", pattern))
 
 
 def identifiers(text: Column) -> Column:
     """The identifiers of the text's known sentences, in order."""
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    sentences = F.split(F.regexp_replace(text, SENTENCE_END, "$1\n"), "\n+")
-    some = F.filter(sentences, lambda s: F.lower(s).rlike("|".join(WORDS)))
-    found = F.transform(some, lambda s: F.try_element_at(known, normalised(s)))
+    marked = normalised(text)
+    for i, pattern in sentence_patterns().items():
+        marked = F.regexp_replace(marked, pattern, f"E@{i}@E")
     present = F.lower(text).rlike("|".join(WORDS))
-    return F.when(present, F.array_compact(found)).otherwise(F.array().cast("array<string>"))
+    return F.when(present, F.regexp_extract_all(marked, F.lit("@([a-z0-9_]+)@"), F.lit(1))).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -108,7 +168,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = docs.select(docs[key].alias("key"), identifiers(F.coalesce(docs[text], F.lit(""))).alias("ids"))
     # each identifier with a space of its own on both sides, so that neighbours do not share one
     rows = rows.withColumn("line", F.array_join(F.transform("ids", lambda i: F.concat(F.lit(" "), i, F.lit(" "))), ""))
-    met = F.array(*[F.when(F.col("line").rlike(rule_pattern(ids)), F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"))) for name, kind, ids in RULES])
+    met = F.array(*[F.when(F.col("line").rlike(rule_pattern(ids)), F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"))) for name, kind, ids in (*RULES, *WHOLE_RULES)])
     rows = rows.withColumn("met", F.array_compact(met))
     kinds = F.col("met.kind")
     strictest = F.coalesce(*[F.when(F.array_contains(kinds, k), F.lit(k)) for k in ("restricted", "copyleft", "permissive")], F.lit("none"))

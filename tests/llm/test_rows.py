@@ -129,6 +129,69 @@ def test_licences(spark):
     assert all(re.search("|".join(licences.WORDS), s) for s in licences.SENTENCES)
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+BSD = """Redistribution and use are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the University nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission."""
+APACHE = """You may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+GPL = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{1} either version {2} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of FITNESS."""
+
+
+def test_licences_of_wrapped_whole_texts(spark):
+    commented = "\n".join(f" * {line}" for line in MIT.split("\n"))
+    cases = {
+        MIT: "MIT",
+        MIT.replace("\n", "\r\n"): "MIT",
+        " ".join(MIT.split()): "MIT",
+        f"/*\n{commented}\n */": "MIT",
+        BSD: "BSD-2-Clause,BSD-3-Clause",
+        APACHE: "Apache-2.0",
+        GPL.format(";", ";", 2): "GPL,GPL-2.0",
+        GPL.format(":", ",", 3): "GPL,GPL-3.0",
+        "This project is licensed under the MIT License - see the LICENSE.md file for details.": "MIT",
+        "The code is distributed under the terms of the\nApache License, Version 2.0.": "Apache-2.0",
+        "A line without an end\nReleased under the MIT License.\nmore": "MIT",
+        "This project is not licensed under the MIT License.": "",
+        "The code is licensed under the MIT License of somebody else.": "",
+        MIT.replace("without restriction", "with restrictions"): "",
+    }
+    got = {r.doc_id: r.licences for r in licences.scan(docs(spark, [*cases])).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
