@@ -28,7 +28,11 @@ BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "signed_token", "pem_key", "der_key", "key_blob")
 
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----((?:\s*+[A-Za-z][A-Za-z0-9-]*+:[^\n]*+\n)*+)([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
+#: What the header lines of an encrypted PEM block say; its body has no structure but whole cipher blocks.
+ENCRYPTED = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED\s+DEK-Info:\s*[A-Z0-9-]+,[0-9A-Fa-f]{16,}\s")
+#: DER of the schemes that encrypt PKCS#8 keys: PKCS#5 and PKCS#12.
+SCHEMES = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 #: base64 of what can start a key: DER's 0x30 with a long length, or a four-byte length with leading zeros.
 BLOB = re.compile(r"(?<![A-Za-z0-9+/])(?:MI|MH|MG|MF|MC|MD|ME|MB|AAAA|b3BlbnNzaC)[A-Za-z0-9+/]{38,}={0,2}")
 HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30(?:[0-9A-Fa-f]{2}){31,}(?![0-9A-Fa-f])")
@@ -81,7 +85,13 @@ def is_der_key(data: bytes) -> bool:
     integers = tags.count(0x02) == len(tags) >= 2
     wrapped = tags[0] == 0x30 and tags[1] == 0x03 or tags[:3] == [0x02, 0x30, 0x04]
     curve = tags[:2] == [0x02, 0x04]
-    return integers or wrapped or curve
+    return integers or wrapped or curve or tags == [0x30, 0x04] and is_encrypted(data, *inner)
+
+
+def is_encrypted(data: bytes, scheme: tuple[int, int, int], octets: tuple[int, int, int]) -> bool:
+    """An encryption scheme of private keys and what it encrypted, which is not empty."""
+    parts = der_parts(data, scheme[1], scheme[2])
+    return bool(parts) and parts[0][0] == 0x06 and data[parts[0][1] : parts[0][2]].startswith(SCHEMES) and octets[2] > octets[1]
 
 
 def is_key_blob(data: bytes) -> bool:
@@ -128,8 +138,8 @@ def confirmed_spans(text: str) -> list[Span]:
         spans += [("signed_token", *m.span()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
     if "PRIVATE KEY-----" in text:
         for m in PEM.finditer(text):
-            data = unbase64(m[2])
-            if is_der_key(data) or is_key_blob(data):
+            data = unbase64(m[3])
+            if is_der_key(data) or is_key_blob(data) or ENCRYPTED.search(m[2]) and data and len(data) % 8 == 0:
                 spans.append(("pem_key", *m.span()))
     for m in BLOB.finditer(text):
         data = unbase64(m[0])

@@ -106,6 +106,22 @@ def test_secrets(spark):
     assert got[first].clean_text == "a # b" and got[1].clean_text == ""
 
 
+def test_encrypted_keys():
+    def pem(kind, body, head=""):
+        return f"-----BEGIN {kind}PRIVATE KEY-----\n{head}{base64.encodebytes(body).decode()}-----END {kind}PRIVATE KEY-----"
+
+    scheme = der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, der(4, bytes(8)) + der(2, b"\x08\0")))
+    key = der(0x30, scheme + der(4, bytes(range(160))))
+    plain = der(0x30, der(2, b"\0") + der(2, bytes(range(1, 129))) + der(2, b"\1\0\1"))
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    found = [pem("ENCRYPTED ", key), pem("RSA ", bytes(range(160)), head), pem("RSA ", plain, "Comment: mine\n\n")]
+    for text in found:
+        assert ("pem_key", 2, 2 + len(text)) in secrets.confirmed_spans(f"a {text} b")
+    assert secrets.is_der_key(key) and not secrets.is_der_key(key[:-1])
+    digest = der(0x30, der(0x30, der(6, bytes.fromhex("608648016503040201")) + der(5, b"")) + der(4, bytes(32)))
+    assert not secrets.is_der_key(digest) and not secrets.confirmed_spans(pem("RSA ", bytes(range(159)), head))
+
+
 def test_secrets_are_redacted_in_place(spark):
     df = docs(spark, ["token=abcdefgh1", None, "clean"])
     rows = secrets.redact(df).orderBy("doc_id").collect()
