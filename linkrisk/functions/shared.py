@@ -4,21 +4,75 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting by which the shuffle files of a query go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset (tests on one machine) a temporary folder."""
+    """``spark.checkpoint.dir`` of the session; where it is unset a temporary folder, but only if all runs on one machine."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files are deleted when the query ends, not when the driver collects its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+class Scratch:
+    """The intermediate tables of one job, in a folder of its own below the shared one.
+
+    Each is written once and read again, so plans stay short and a lost executor costs no table that is written. A table is
+    dropped as soon as what reads it is written itself.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.places: dict[int, tuple[str, DataFrame]] = {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written as Parquet and read again."""
+        place = f"{self.path}/{name}-{len(self.places)}"
+        with shuffles_dropped(self.spark):
+            df.write.parquet(place)
+        out = self.spark.read.schema(df.schema).parquet(place)
+        self.places[id(out)] = place, out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that ``keep`` has returned."""
+        for table in tables:
+            self._delete(self.places[id(table)][0])
+
+    def clear(self) -> None:
+        """Deletes all of them."""
+        self._delete(self.path)
+
+    def _delete(self, place: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet and read again: a short plan, and nothing lost with an executor."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession, name).keep(df, name)
