@@ -1,29 +1,34 @@
 """Operator 10: n-gram Jaccard join by PartEnum signatures.
 
-A document is the set of its word shingles. Sets that link (similarity at least ``num / den``) differ in at most k elements,
-where k follows from the sizes. Sizes are cut into bands; a set gets signatures for its own band and, if it is large enough
-to link with the next band, for that one too. Per band the feature domain is cut into parts by a hash, and signatures are
-hashes of what a set has in chosen subsets of the parts:
-
-- k up to ``SMALL``: k + 2 parts; at least two of them are untouched by the k differences, so all pairs of parts are enumerated;
-- larger k: as many parts as the band's smallest sets need to fill more than k, each a subset of its own; at least one is
-  untouched.
-
-The guarantee must hold for parts that are not empty. A set with too many empty parts gets signatures by another hash as
-well, and after ``SEEDS`` hashes its single elements. So two sets that link always share a signature of some content.
-
-The plan: (1) one pass over the texts gives class (hash of the set), signatures and a small sketch per document; equal sets
-are one class from here on. (2) Signatures are combined map-side to their smallest and largest class; only those with two
-classes go on. (3) Within such a bucket pairs are proposed only if sizes and sketches allow a link: all of them in small
-buckets, those with the most central member and between neighbours in larger ones. (4) Proposed pairs are verified exactly
-on their texts; links give components. (5) In larger buckets, pairs whose classes are still in different components are all
-tested against the sketch bound in blocks and verified likewise. So no link between different components is missed, while
-large groups of near copies cost one pass, not all pairs. Large buckets are dealt over several tasks by salt.
+A document is the set of its word shingles; equal sets are one class. Sets that link (similarity at least ``num / den``)
+differ in at most k elements, where k follows from their sizes. Sizes are cut into bands; a set gets signatures for its own
+band and, if it is large enough to link with the next band, for that one too.
+
+Signatures are those of PartEnum with two levels. A band's feature domain is cut by a hash into parts and each part into
+three second-level parts. Of more than k / 2 parts at least one holds at most one of the k differences, so at least two of
+its three second-level parts are equal in both sets: each subset of two second-level parts is a signature. A set uses the
+first parts, as many as its own k asks for, so sets that can differ in little have few signatures. Parts count only if at
+least two of their second-level parts hold something; a set with too few such parts gets signatures by another hash as well,
+and after ``SEEDS`` hashes its single elements. So two sets that link always share a signature of some content.
+
+The plan:
+
+1. One pass over the texts gives each document's class, and each class's signatures and parity sketch. The sketch has a bit
+   for each of 2 to 4 cells per element, which tells whether the cell holds an odd number of elements. Two sketches differ
+   in at most as many bits as the sets have differences.
+2. Signatures are counted with map-side sums; those of one class only are dropped. What is left are memberships of buckets.
+3. Each class is paired with the smallest class of each of its buckets: as many pairs as memberships at most, and few
+   different ones within a group of near copies. Pairs whose sizes and sketches allow a link are verified on the sets.
+   Links give components.
+4. Buckets with classes of several components are left. In them all pairs across components are compared by size and
+   sketch, block by block, and those that may link are verified. So no link between different components is missed, while
+   large groups of near copies cost one pass, not all pairs. Large buckets are dealt over many tasks by pairs of blocks.
+
+Each table is written to the shared folder, and dropped when its readers are written.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,25 +36,22 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkrisk.llm.common import written
+from linkrisk.functions.shared import Scratch
 from linkrisk.llm.components import components
 
-#: Largest k for which subsets of two parts are enumerated.
-SMALL = 3
 SEEDS = 4
-CELLS = 64
-#: Buckets up to this size propose all their pairs at once.
-ALL_PAIRS = 24
-#: Members of one task's share of a bucket.
-CHUNK = 2048
-#: Most rows of a table that is broadcast (each a few longs).
+#: Most members of a bucket that one task compares with each other at once; larger buckets are cut into blocks.
+BLOCK = 4096
+#: Most rows of a table that is broadcast (each two longs).
 BROADCAST_ROWS = 2_000_000
 REMEMBERED_WORDS = 100_000
 #: Rows whose signatures a worker holds at once.
 ROWS = 1000
+#: Bits of the smallest and largest sketch.
+LEAST_BITS, MOST_BITS = 64, 1 << 16
 
 U = np.uint64
 
@@ -90,6 +92,10 @@ def class_of(x: np.ndarray) -> int | None:
     return xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) if len(x) else None
 
 
+#: The subsets of two of a part's three second-level parts.
+SUBSETS = ((0, 1), (0, 2), (1, 2))
+
+
 @dataclass
 class PartEnum:
     """Signatures for similarity at least num / den."""
@@ -97,6 +103,7 @@ class PartEnum:
     num: int = 85
     den: int = 100
     starts: list[int] = field(default_factory=lambda: [1])
+    sized: dict[int, int] = field(default_factory=dict)
 
     def start(self, band: int) -> int:
         """The smallest size of a band; a band spans two steps of the similarity."""
@@ -105,48 +112,68 @@ class PartEnum:
             self.starts.append(max(last + 1, -(-last * self.den * self.den // (self.num * self.num))))
         return self.starts[band]
 
-    def bands(self, n: int) -> list[int]:
-        band = 0
-        while self.start(band + 1) <= n:
-            band += 1
-        return [band, band + 1] if self.den * n >= self.num * self.start(band + 1) else [band]
-
     def differences(self, total: int) -> int:
         """The most elements in which two linked sets of ``total`` elements together can differ."""
         return total * (self.den - self.num) // (self.den + self.num)
 
-    def parts(self, band: int, k: int) -> int:
-        """How many parts a band has, so that its smallest sets fill more than k of them, but for rare ones."""
-        least = self.num * self.start(band) / self.den
-        n = k + 1
-        while n - (empty := n * math.exp(-least / n)) < k + 2 + 2 * math.sqrt(empty) and n < 2 * k + 8:
-            n += 1 + n // 100
-        return n
+    def most(self, n: int, band: int) -> int:
+        """The most elements in which a set of n elements differs from one that it links with in ``band``."""
+        return self.differences(n + min(n * self.den // self.num, self.start(band + 1) - 1))
+
+    def bands(self, n: int) -> list[int]:
+        band = 0
+        while self.start(band + 1) <= n:
+            band += 1
+        return [band, band + 1] if n * self.den // self.num >= self.start(band + 1) else [band]
+
+    def parts(self, band: int) -> int:
+        """How many first-level parts a band has, so that all but rare sets have as many usable ones as they need."""
+        if band not in self.sized:
+            low, top = self.start(band), self.start(band + 1) - 1
+            sizes = sorted({max(1, -(-low * self.num // self.den)), low, top})
+            count = max(self.most(n, band) // 2 + 1 for n in sizes)
+            limit = 2 * count + 8
+
+            def enough(parts: int) -> bool:
+                for n in sizes:
+                    empty = math.exp(-n / (3 * parts))
+                    unusable = parts * (3 * empty * empty * (1 - empty) + empty**3)
+                    if parts - unusable < self.most(n, band) // 2 + 1 + 2 * math.sqrt(unusable):
+                        return False
+                return True
+
+            while count < limit and not enough(count):
+                count += 1 + count // 100
+            self.sized[band] = count
+        return self.sized[band]
 
     def of_band(self, x: np.ndarray, band: int, seed: int) -> tuple[np.ndarray, bool]:
         """Signatures of one band by one hash, and whether the guarantee holds for this set."""
-        k = self.differences(2 * (self.start(band + 1) - 1))
-        salt = U(((band * 31 + seed) * 2 + 1) * 0x165667B19E3779F9 % (1 << 64))
-        enumerated = 0 < k <= SMALL
-        n_parts = 1 if k == 0 else k + 2 if enumerated else self.parts(band, k)
+        parts, need = self.parts(band), self.most(len(x), band) // 2 + 1
         spread = mix(x + U(seed))
-        part = ((spread >> U(32)) % U(n_parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        filled = part[first]
-        content = mix(np.add.reduceat(spread[order], first) + (filled.astype(U) + U(1)) * U(0xC2B2AE3D27D4EB4F))
-        if not enumerated:
-            return mix(content + salt), len(first) > k
-        all_parts = np.zeros(n_parts, U)
-        all_parts[filled] = content
-        pairs = np.array([c for c in itertools.combinations(range(n_parts), 2) if all_parts[c[0]] or all_parts[c[1]]])
-        a, b = pairs[:, 0], pairs[:, 1]
-        return mix(mix(all_parts[a] + U(7)) * U(3) + all_parts[b] + (a * 64 + b).astype(U) + salt), len(first) >= n_parts - 1
+        cell = ((spread >> U(32)) % U(3 * parts)).astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        cell = cell[order]
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        content = np.zeros(3 * parts, U)
+        content[cell[first]] = mix(np.add.reduceat(spread[order], first)) | U(1)
+        content = content.reshape(parts, 3)
+        usable = np.cumsum((content != 0).sum(axis=1) >= 2)
+        holds = bool(usable[-1] >= need)
+        content = content[: int(np.searchsorted(usable, need)) + 1] if holds else content
+        salt = U(((band * 31 + seed) * 2 + 1) * 0x165667B19E3779F9 % (1 << 64))
+        number = np.arange(len(content), dtype=U) * U(3) + salt
+        found = []
+        for i, (a, b) in enumerate(SUBSETS):
+            some = (content[:, a] | content[:, b]) != 0
+            found.append(mix(mix(content[some, a] + U(7)) * U(3) + content[some, b] + number[some] + U(i)))
+        return np.concatenate(found), holds
 
     def signatures(self, x: np.ndarray) -> np.ndarray:
-        found = []
+        found = [np.empty(0, U)]
         for band in self.bands(len(x)):
+            if not self.most(len(x), band):
+                continue  # only equal sets link, and those are one class
             for seed in range(SEEDS):
                 some, holds = self.of_band(x, band, seed)
                 found.append(some)
@@ -158,15 +185,40 @@ class PartEnum:
 
 
 def sketch(x: np.ndarray) -> bytes:
-    """How many elements fall into each of ``CELLS`` cells (16 bits each, larger counts as the largest).
-
-    The sum of two sketches' differences is at most the number of elements in which their sets differ.
-    """
-    counts = np.bincount((mix(x + U(0x51ED270B)) >> U(20)).astype(np.int64) % CELLS, minlength=CELLS)
-    return np.minimum(counts, 65535).astype("<u2").tobytes()
-
-
-FEATURES = "n int, cls long, signatures array<long>, sketch binary"
+    """One bit for each of 2 to 4 cells an element: whether an odd number of elements falls into it."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(x) - 1).bit_length()))
+    cells = (mix(x + U(0x51ED270B)) & U(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(cells, minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) with fewer cells, ``width`` words; the parity of two cells is that of their union."""
+    while bits.shape[1] > width:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def as_words(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, all folded to the smallest one's width."""
+    width = min(map(len, sketches)) // 8
+    out = np.empty((len(sketches), width), U)
+    sizes = np.array([len(s) for s in sketches])
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        out[at] = folded(np.frombuffer(b"".join([sketches[i] for i in at]), "<u8").reshape(len(at), -1), width)
+    return out
+
+
+def may_link(left: bytes, right: bytes, most: int) -> bool:
+    """Whether two sketches differ in at most ``most`` cells."""
+    a, b = int.from_bytes(left, "little"), int.from_bytes(right, "little")
+    wide, narrow = (a, b) if len(left) > len(right) else (b, a)
+    size, least = 8 * max(len(left), len(right)), 8 * min(len(left), len(right))
+    while size > least:
+        size //= 2
+        wide = (wide >> size) ^ (wide & ((1 << size) - 1))
+    return (wide ^ narrow).bit_count() <= most
 
 
 def features(docs: DataFrame, size: int, scheme: PartEnum) -> DataFrame:
@@ -179,153 +231,137 @@ def features(docs: DataFrame, size: int, scheme: PartEnum) -> DataFrame:
                 x = shingles(v.as_py(), size)
                 n.append(len(x))
                 cls.append(class_of(x))
-                signatures.append(scheme.signatures(x).view(np.int64) if len(x) else np.empty(0, np.int64))
+                signatures.append(scheme.signatures(x).tobytes() if len(x) else None)
                 sketches.append(sketch(x) if len(x) else None)
-            offsets = pa.array(np.cumsum([0, *map(len, signatures)]), pa.int32())
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.int64), *signatures]), pa.int64()))
-            columns = [batch.column(0), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), lists, pa.array(sketches, pa.binary())]
+            columns = [batch.column(0), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), of_longs(signatures), pa.array(sketches, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "cls", "signatures", "sketch"])
 
+    def of_longs(values: list[bytes | None]) -> pa.Array:
+        offsets = np.cumsum([0, *(len(v or b"") // 8 for v in values)])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(v or b"" for v in values), np.int64)))
+
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {FEATURES}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n int, cls long, signatures array<long>, sketch binary")
 
 
-def smaller(df: DataFrame) -> DataFrame:
-    """``df`` to be broadcast if it has few enough rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def smaller(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``rows`` rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of complete runs of equal keys, from sorted batches, with the place where each run starts."""
-    held = None
+def within(a: Column, b: Column, scheme: PartEnum) -> Column:
+    """Whether the sizes allow a link."""
+    return F.least(a, b) * scheme.den >= F.greatest(a, b) * scheme.num
 
-    def starts_of(rows: pa.Table) -> np.ndarray:
-        change = np.ones(rows.num_rows, bool)
-        if rows.num_rows:
-            change[1:] = False
-            for m in (rows[k].to_numpy() for k in keys):
-                change[1:] |= m[1:] != m[:-1]
-        return np.flatnonzero(change)
 
-    for batch in batches:
-        if batch.num_rows:
-            rows = pa.Table.from_batches([batch])
-            rows = rows if held is None else pa.concat_tables([held, rows])
-            starts = starts_of(rows)
-            held = rows.slice(int(starts[-1]))
-            if len(starts) > 1:
-                yield rows.slice(0, int(starts[-1])), starts[:-1]
-    if held is not None:
-        yield held, np.array([0])
+def promising(pairs: DataFrame, classes: DataFrame, scheme: PartEnum) -> DataFrame:
+    """Those of the pairs of classes (a, b) whose sizes and sketches allow a link."""
+    left, right = classes.select("cls", "n", "sketch").toDF("a", "a_n", "a_sketch"), classes.select("cls", "n", "sketch").toDF("b", "b_n", "b_sketch")
+    both = pairs.join(left, "a").join(right, "b").where(within(F.col("a_n"), F.col("b_n"), scheme))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("a_n", "b_n", "a_sketch", "b_sketch")), strict=True)
+            keep = [may_link(x, y, scheme.differences(n + m)) for n, m, x, y in rows]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def proposals(keys: list[str], scheme: PartEnum, crossing: bool, all_pairs: int = ALL_PAIRS):
-    """The function that proposes pairs within buckets (sorted by ``keys``) whose sizes and sketches allow a link.
+    return both.select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(run, "a long, b long")
 
-    Not crossing: all pairs of small buckets, else those with the most central member and between neighbours.
-    Crossing: all pairs of which one is on the left and one on the right side and that are in different components; a pair
-    that shares several buckets is proposed in that with the smallest signature (``large``: each class's signatures).
-    """
 
-    def allowed(n: np.ndarray, sk: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        fits = np.minimum(n[i], n[j]) * scheme.den >= np.maximum(n[i], n[j]) * scheme.num
-        out = np.zeros(len(i), bool)
-        at = np.flatnonzero(fits)
-        apart = np.abs(sk[i[at]] - sk[j[at]]).sum(axis=1)
-        out[at] = apart <= (n[i[at]] + n[j[at]]) * (scheme.den - scheme.num) // (scheme.den + scheme.num)
-        return out
-
-    def small(starts: np.ndarray, sizes: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs of the groups of at most ``all_pairs`` rows, for all groups at once."""
-        group = np.repeat(np.arange(len(starts)), sizes)
-        few = np.repeat(sizes <= all_pairs, sizes)
-        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for d in range(1, min(all_pairs, int(sizes.max()))):
-            i = np.flatnonzero(few[: m - d] & (group[: m - d] == group[d:]))
-            left.append(i)
-            right.append(i + d)
-        return np.concatenate(left), np.concatenate(right)
-
-    def central(start: int, stop: int, sk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of one large group: its most central member with all others, and neighbours by distance from it."""
-        own = sk[start:stop]
-        centre = int(np.abs(own - np.median(own, axis=0)).sum(axis=1).argmin())
-        others = np.delete(np.arange(stop - start), centre)
-        near = np.lexsort((own.sum(axis=1), np.abs(own - own[centre]).sum(axis=1)))
-        return start + np.append(np.full(len(others), centre), near[:-1]), start + np.append(others, near[1:])
-
-    def across(rows: pa.Table, n: np.ndarray, sk: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        comp, side = rows["component"].to_numpy(), rows["side"].to_numpy()
-        sig = rows["sig"][0].as_py()
-        large = [set(x) for x in rows["large"].to_pylist()]
-        right = np.flatnonzero(side != 1)
-        for i in np.flatnonzero(side != 2):
-            j = right[(comp[right] != comp[i]) & ((right > i) | (side[right] != 0) | (side[i] != 0))]
-            j = j[allowed(n, sk, np.full(len(j), i), j)] if len(j) else j
-            j = np.array([x for x in j.tolist() if min(large[i] & large[x]) == sig], np.int64)
-            yield np.full(len(j), i), j
+def sets_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, rows: int) -> DataFrame:
+    """(cls, elements): the sorted elements of each class that occurs in the pairs."""
+    needed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    reps = classes.join(needed, "cls", "left_semi").select(F.col("cls").alias("wanted"), F.col("rep").alias("doc_id"))
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(smaller(reps, rows), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts in whole_groups(batches, keys):
-            m = rows.num_rows
-            cls, n = rows["cls"].to_numpy(), rows["n"].to_numpy().astype(np.int64)
-            sk = np.frombuffer(b"".join(rows["sketch"].to_pylist()), "<u2").reshape(m, CELLS).astype(np.int32)
-            stops = np.append(starts[1:], m)
-            if crossing:
-                made = [x for a, b in zip(starts.tolist(), stops.tolist(), strict=True) for x in across_in(rows, n, sk, a, b)]
-            else:
-                made = [tuple(x[allowed(n, sk, *pair)] for x in pair) for pair in self_pairs(starts, stops, m, sk)]
-            for i, j in made:
-                a, b = cls[i], cls[j]
-                differ = a != b
-                if differ.any():
-                    lo, hi = np.minimum(a, b)[differ], np.maximum(a, b)[differ]
-                    yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"])
-
-    def across_in(rows: pa.Table, n: np.ndarray, sk: np.ndarray, start: int, stop: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        found = [x for x in across(rows.slice(start, stop - start), n[start:stop], sk[start:stop]) if len(x[0])]
-        if not found:
-            return []
-        return [(start + np.concatenate([x[0] for x in found]), start + np.concatenate([x[1] for x in found]))]
-
-    def self_pairs(starts: np.ndarray, stops: np.ndarray, m: int, sk: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        sizes = stops - starts
-        yield small(starts, sizes, m)
-        for g in np.flatnonzero(sizes > all_pairs).tolist():
-            yield central(int(starts[g]), int(stops[g]), sk)
-
-    return run
-
-
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, scheme: PartEnum) -> DataFrame:
-    """(a, b) as the classes' first documents, of those pairs of classes whose sets link."""
-    needed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    reps = classes.join(smaller(needed), "cls", "left_semi").select("cls", F.col("rep").alias("doc_id"))
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(smaller(written(reps, "reps")), "doc_id")
-    # a doc_id that is repeated may have texts of other classes too; those are told apart below
-    texts = written(texts, "texts")
-    left = pairs.join(texts.toDF("a_id", "a_text", "a"), "a")
-    both = left.join(texts.toDF("b_id", "b_text", "b"), "b").select("a", "b", "a_id", "b_id", "a_text", "b_text")
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            made = [shingles(v.as_py(), size) for v in batch.column(1)]
+            # a doc_id that is repeated may have texts of other classes too
+            right = pa.array([class_of(x) == cls for x, cls in zip(made, batch.column(0).to_pylist(), strict=True)], pa.bool_())
+            elements = pa.array([x.tobytes() for x in made], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), elements], names=["cls", "elements"]).filter(right)
+
+    return texts.select("wanted", "text").mapInArrow(run, "cls long, elements binary").dropDuplicates(["cls"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, scheme: PartEnum) -> DataFrame:
+    """Those of the pairs of classes (a, b) whose sets link."""
+    both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            last, x = None, None
-            for r in zip(*[batch.column(c) for c in ("a", "b", "a_text", "b_text")], strict=True):
-                cls_a, cls_b, a, b = (v.as_py() for v in r)
-                if a != last:
-                    last, x = a, shingles(a, size)
-                y = shingles(b, size)
+            for u, v in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(u.as_buffer(), U), np.frombuffer(v.as_buffer(), U)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
-                linked = scheme.den * shared >= scheme.num * (len(x) + len(y) - shared)
-                keep.append(linked and class_of(x) == cls_a and class_of(y) == cls_b)
-            some = batch.filter(pa.array(keep, pa.bool_()))
-            yield some.select(["a_id", "b_id"]).rename_columns(["a", "b"])
+                keep.append(scheme.den * shared >= scheme.num * (len(x) + len(y) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of complete runs of equal keys, from sorted batches, with the places where runs start and the last one ends."""
+    held = None
+    for batch in batches:
+        if batch.num_rows:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            change = np.ones(rows.num_rows, bool)
+            change[1:] = False
+            for m in (rows[k].to_numpy() for k in keys):
+                change[1:] |= m[1:] != m[:-1]
+            starts = np.flatnonzero(change)
+            held = rows.slice(int(starts[-1]))
+            if len(starts) > 1:
+                yield rows.slice(0, int(starts[-1])), starts
+    if held is not None:
+        yield held, np.array([0, held.num_rows])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
 
+def across(rows: DataFrame, scheme: PartEnum, block: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components in one bucket whose sizes and sketches allow a link.
 
-def join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, all_pairs: int = ALL_PAIRS, chunk: int = CHUNK) -> DataFrame:
+    ``rows``: sig, m (members of the bucket), cls, component, n, sketch. A bucket of more than ``block`` members is cut into
+    blocks by a hash; each block meets itself (side 0) and each other block (as left, 1, or right, 2) in a task of its own.
+    """
+    cut = rows.withColumn("blocks", F.expr(f"cast(ceil(m / {block}) as int)")).withColumn("own", F.expr("pmod(hash(cls, 3), blocks)"))
+    at = """transform(sequence(0, blocks - 1), c -> named_struct('i', least(c, own), 'j', greatest(c, own),
+            'side', case when c = own then 0 when own < c then 1 else 2 end))"""
+    cut = cut.withColumn("at", F.explode(F.expr(at)))
+    dealt = cut.select("sig", "at.i", "at.j", "at.side", "cls", "component", "n", "sketch").repartition("sig", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, ["sig", "i", "j"]):
+            cls, comp, n, side = (table[c].to_numpy() for c in ("cls", "component", "n", "side"))
+            sketches = table["sketch"].to_pylist()
+            n = n.astype(np.int64)
+            found = [np.empty((2, 0), np.int64)]
+            for start, stop in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if stop - start < 2 or (comp[start:stop] == comp[start]).all():
+                    continue
+                words = as_words(sketches[start:stop])
+                size, part, place = n[start:stop], comp[start:stop], side[start:stop]
+                right = np.flatnonzero(place != 1)
+                for i in np.flatnonzero(place != 2):
+                    j = right[part[right] != part[i]]
+                    j = j[(j > i) | (place[j] != 0) | (place[i] != 0)]
+                    low, high = np.minimum(size[j], size[i]), np.maximum(size[j], size[i])
+                    j = j[low * scheme.den >= high * scheme.num]
+                    if len(j):
+                        apart = np.bitwise_count(words[j] ^ words[i]).sum(axis=1, dtype=np.int64)
+                        j = j[apart <= (size[j] + size[i]) * (scheme.den - scheme.num) // (scheme.den + scheme.num)]
+                    if len(j):
+                        a, b = cls[start + i], cls[start + j]
+                        found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return dealt.sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
+def join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, block: int = BLOCK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
     ``component_id`` is the smallest doc_id that links reach, the document's own included. A null or empty text, or one
@@ -335,55 +371,53 @@ def join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, all_pair
     Other columns are ignored; an empty table gives an empty one.
     """
     scheme = PartEnum(num, den)
-    table = written(features(docs, size, scheme), "features")
-    usable = table.where("cls is not null")
-    classes = written(usable.groupBy("cls").agg(F.min("doc_id").cast("long").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-
-    flat = usable.select(F.explode("signatures").alias("sig"), "cls")
-    shared = flat.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("sig")
-    members = written(flat.join(smaller(written(shared, "shared")), "sig", "left_semi").distinct(), "members")
-    sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > all_pairs)
-    sizes = written(sizes, "sizes")
-    described = members.join(classes.drop("rep"), "cls")
-
-    # larger buckets are dealt into chunks twice, by two hashes, so that chunks overlap
-    salted = described.join(sizes, "sig", "left").withColumn("chunks", F.expr(f"cast(ceil(coalesce(m, 1) / {chunk}) as int)"))
-    salted = salted.withColumn(
-        "chunk", F.explode(F.expr("case when chunks = 1 then array(0) else array(pmod(hash(cls, 1), chunks), chunks + pmod(hash(cls, 2), chunks)) end"))
-    )
-    dealt = salted.select("sig", "chunk", "cls", "n", "sketch").repartition("sig", "chunk").sortWithinPartitions("sig", "chunk", "cls")
-    pairs = written(dealt.mapInArrow(proposals(["sig", "chunk"], scheme, False, all_pairs), "a long, b long").distinct(), "pairs")
-    links = written(verified(pairs, classes, docs, size, scheme), "links")
-    labels = components(links)
-
-    # what is left: in larger buckets, pairs across components
-    large = described.join(sizes, "sig").join(classes.select("cls", "rep"), "cls")
-    large = large.join(labels, large["rep"] == labels["node"], "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
-    large = written(large.select("sig", "m", "cls", "n", "sketch", "component"), "large")
-    split = large.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    rest = written(large.join(split, "sig", "left_semi"), "rest")
-    own = written(rest.groupBy("cls").agg(F.collect_set("sig").alias("large")), "own")  # a class has few signatures
-    left = rest.join(own, "cls").withColumn("chunks", F.expr(f"cast(ceil(m / {chunk}) as int)")).withColumn("own", F.expr("pmod(hash(cls, 3), chunks)"))
-    # a chunk meets itself (side 0) and every other chunk (as left, 1, or right, 2)
-    left = left.withColumn(
-        "at",
-        F.explode(
-            F.expr(
-                """transform(sequence(0, chunks - 1), c -> named_struct('i', least(c, own), 'j', greatest(c, own),
-                   'side', case when c = own then 0 when own < c then 1 else 2 end))"""
-            )
-        ),
-    )
-    left = left.select("sig", "at.i", "at.j", "at.side", "cls", "n", "sketch", "component", "large").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "cls")
-    crossing = left.mapInArrow(proposals(["sig", "i", "j"], scheme, True, all_pairs), "a long, b long").distinct()
-    new = written(crossing.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = verified(new, classes, docs, size, scheme)
-    labels = components(links.unionByName(more))
-
-    named = classes.select("cls", "rep").join(labels, F.col("rep") == labels["node"], "left")
-    named = written(named.select("cls", F.coalesce("component", "rep").alias("component")), "named")
-    rows = table.select("doc_id", "n", "cls").join(named, "cls", "left")
-    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    made = scratch.keep(features(docs, size, scheme), "features")
+    usable = made.where("cls is not null")
+    grouped = usable.groupBy("cls").agg(F.min("doc_id").cast("long").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = scratch.keep(grouped.where("rep is not null"), "classes")
+    rows = scratch.keep(made.select("doc_id", "n", "cls"), "rows")
+
+    # one row of each class has its signatures counted
+    copied = classes.where("copies > 1").select("cls", "rep")
+    others = usable.join(smaller(copied, broadcast_rows), "cls", "left").where("rep is null or rep = doc_id")
+    flat = others.select(F.explode("signatures").alias("sig"), "cls")
+    shared = scratch.keep(flat.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("sig"), "shared")
+    members = scratch.keep(flat.join(smaller(shared, broadcast_rows), "sig", "left_semi").distinct(), "members")
+    scratch.drop(made, shared)
+
+    # each class with the smallest one of each of its buckets
+    smallest = scratch.keep(members.groupBy("sig").agg(F.min("cls").alias("a")), "smallest")
+    pairs = members.join(smaller(smallest, broadcast_rows), "sig").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
+    pairs = scratch.keep(promising(pairs, classes, scheme), "pairs")
+    scratch.drop(smallest)
+    sets = scratch.keep(sets_of(pairs, classes, docs, size, broadcast_rows), "sets")
+    links = scratch.keep(verified(pairs, sets, scheme), "links")
+    scratch.drop(sets)
+    labels = components(links, scratch)
+
+    # what is left: pairs across components
+    state = scratch.keep(classes.select("cls").join(labels.toDF("cls", "component"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("component")), "state")
+    placed = scratch.keep(members.join(smaller(state, broadcast_rows), "cls"), "placed")
+    scratch.drop(members, labels)
+    mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"))
+    mixed = scratch.keep(mixed.where("lo <> hi").select("sig", "m"), "mixed")
+    rest = placed.join(smaller(mixed, broadcast_rows), "sig").join(classes.select("cls", "n", "sketch"), "cls")
+    new = scratch.keep(across(rest, scheme, block).join(pairs, ["a", "b"], "left_anti"), "across")
+    scratch.drop(placed, mixed, pairs)
+    sets = scratch.keep(sets_of(new, classes, docs, size, broadcast_rows), "sets")
+    more = scratch.keep(verified(new, sets, scheme), "links")
+    scratch.drop(sets, new)
+    labels = components(links.unionByName(more), scratch)
+
+    # a component's smallest doc_id
+    named = classes.select("cls", "rep").join(labels.toDF("cls", "component"), "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
+    named = scratch.keep(named, "named")
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    least = scratch.keep(named.join(least, "component").select("cls", "component_id"), "components")
+    scratch.drop(classes, links, more, state, labels, named)
+    out = rows.join(least, "cls", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:

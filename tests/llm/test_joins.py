@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from linkrisk.llm import jaccard, topk
 from linkrisk.llm.components import components
@@ -93,7 +94,7 @@ def test_join_of_near_copies(spark):
     texts += ["A b C d", "a B c D", "a b c d", None, "", " \t\n", "x y z w", fresh(3000)]
     docs = [(5000 - i, t) for i, t in enumerate(texts)]
     assert run_join(spark, docs) == brute_join(docs)
-    assert run_join(spark, docs, all_pairs=2, chunk=5) == brute_join(docs)
+    assert run_join(spark, docs, block=5, broadcast_rows=0) == brute_join(docs)
     assert run_join(spark, docs, size=5, num=80) == brute_join(docs, 5, 80)
 
 
@@ -103,20 +104,49 @@ def test_join_of_repeated_rows_and_empty_tables(spark):
     assert run_join(spark, []) == []
 
 
-def test_signatures_are_shared_by_all_linked_sets():
+@pytest.mark.parametrize(("num", "step"), [(85, 12), (80, 9)])
+def test_signatures_are_shared_by_all_linked_sets(num, step):
     rng = random.Random(11)
-    scheme = jaccard.PartEnum()
-    for _ in range(400):
-        n = rng.choice([1, 2, 6, 7, 9, 13, 20, 60, 200])
+    scheme = jaccard.PartEnum(num, 100)
+    linked = 0
+    for _ in range(1500):
+        n = rng.choice([2, 4, 6, 7, 9, 13, 20, 33, 60, 200, 500])
         x = {rng.getrandbits(63) for _ in range(n)}
         y = set(x)
-        for e in rng.sample(sorted(x), rng.randint(0, max(0, n // 12))):
+        for e in rng.sample(sorted(x), rng.randint(0, max(1, n // step))):
             y.discard(e)
             y.add(rng.getrandbits(63))
-        y |= {rng.getrandbits(63) for _ in range(rng.randint(0, n // 12))}
-        if 100 * len(x & y) >= 85 * len(x | y):
-            a, b = (scheme.signatures(np.array(sorted(s), np.uint64)) for s in (x, y))
-            assert np.intersect1d(a, b).size
+        y |= {rng.getrandbits(63) for _ in range(rng.randint(0, max(1, n // step)))}
+        if x != y and 100 * len(x & y) >= num * len(x | y):
+            linked += 1
+            a, b = (np.array(sorted(s), np.uint64) for s in (x, y))
+            assert np.intersect1d(scheme.signatures(a), scheme.signatures(b)).size
+            assert jaccard.may_link(jaccard.sketch(a), jaccard.sketch(b), scheme.differences(len(x) + len(y)))
+    assert linked > 300
+
+
+def test_sketches_differ_in_at_most_as_many_bits_as_sets_in_elements():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**63, 900, np.uint64)
+    sets = [np.unique(rng.choice(pool, n)) for n in (1, 5, 40, 90, 300, 900)]
+    words = jaccard.as_words([jaccard.sketch(x) for x in sets])
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            apart = len(np.setxor1d(x, y))
+            assert np.bitwise_count(words[i] ^ words[j]).sum() <= apart
+            assert jaccard.may_link(jaccard.sketch(x), jaccard.sketch(y), apart)
+
+
+def test_a_bucket_of_fifty_thousand_classes(spark):
+    rng = np.random.default_rng(5)
+    scheme = jaccard.PartEnum(85, 100)
+    shared = rng.integers(0, 2**63, 6, np.uint64)
+    sets = [np.unique(np.r_[shared, rng.integers(0, 2**63, 24, np.uint64)]) for _ in range(49_900)]
+    planted = [np.unique(np.r_[x[1:], np.uint64(k)]) for k, x in enumerate(sets[:100])]
+    rows = [(7, 50_000, k, k, len(x), jaccard.sketch(x)) for k, x in enumerate([*sets, *planted])]
+    df = spark.createDataFrame(rows, "sig long, m long, cls long, component long, n int, sketch binary").repartition(8)
+    found = {tuple(r) for r in jaccard.across(df, scheme, jaccard.BLOCK).collect()}
+    assert {(k, 49_900 + k) for k in range(100)} <= found and len(found) < 1000
 
 
 def test_components_of_a_long_chain_and_a_hub(spark):
