@@ -48,11 +48,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.count = 0
         self.places: dict[int, tuple[str, DataFrame]] = {}
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written as Parquet and read again."""
-        place = f"{self.path}/{name}-{len(self.places)}"
+        self.count += 1
+        place = f"{self.path}/{self.count}-{name}"
         with shuffles_dropped(self.spark):
             df.write.parquet(place)
         out = self.spark.read.schema(df.schema).parquet(place)
@@ -62,11 +64,12 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that ``keep`` has returned."""
         for table in tables:
-            self._delete(self.places[id(table)][0])
+            self._delete(self.places.pop(id(table))[0])
 
-    def clear(self) -> None:
-        """Deletes all of them."""
-        self._delete(self.path)
+    def drop_but(self, *tables: DataFrame) -> None:
+        """Deletes all tables but these."""
+        kept = {id(t) for t in tables}
+        self.drop(*(t for _, t in list(self.places.values()) if id(t) not in kept))
 
     def _delete(self, place: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
