@@ -1,12 +1,15 @@
 """Operator 4: main text of web pages by tag-path ratios.
 
 For each page, text and punctuation are summed per root-to-leaf path of block tags. A path's ratios are characters and
-punctuation marks per text node; along the page the two ratios are smoothed, fused (their product) and compared with the
-spread of the fused values. The nodes above that threshold mark the content; the article or main element that holds most of
-their weight (else their common ancestor) is the page's content root, and the blocks below it are its text, but for parts
-that are boilerplate by tag, role or class name.
+punctuation marks per text node; along the page both ratios are smoothed and fused (their product), and the mean over a
+path's nodes is its value. Parts that their tag, role, class or id mark as boilerplate have paths of their own, of which a
+thousandth of the ratio counts. Paths whose value reaches the threshold (the spread of the fused values) select the content
+nodes.
 
-Each page is handled on its own within Arrow batches: no shuffle, whole pages.
+Short blocks of an article (headings, list items, single lines) lie on paths below the threshold. Such a block is kept if
+most of the text in its container is on selected paths, unless it is marked or mostly links.
+
+Each page is handled on its own within Arrow batches, in time linear in its length: no shuffle, whole pages.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,43 +36,60 @@ CLOSES_P = frozenset(
 )
 #: start tag: the open tags that it ends, and the tags that such an end does not go beyond.
 ENDS = {
-    "li": ({"li"}, {"ul", "ol", "menu"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"table", "tr"}),
-    "th": ({"td", "th"}, {"table", "tr"}),
-    "option": ({"option"}, {"select"}),
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("table", "tr")),
+    "th": (("td", "th"), ("table", "tr")),
+    "option": (("option",), ("select",)),
 }
-
-# What is no part of an article, by tag, by role, and by words of class and id.
-SKIPPED_TAGS = frozenset("head nav footer aside form button select input svg canvas object audio video menu dialog fieldset datalist".split()) | RAW
-SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-SKIPPED_NAMES = frozenset(
+ENDS_P = (("p",), ("article", "div", "td", "section", "main", "button"))
+NOTHING = ((), ())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+# What is hardly part of an article, by tag, by role, and by words of class and id.
+MARKED_TAGS = frozenset("nav footer aside select button svg canvas object audio video menu dialog fieldset datalist".split())
+MARKED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
+MARKED_NAMES = frozenset(
     """ad ads adv advert adverts advertisement advertising adbox adsense banner banners sponsor sponsored promo promos promotion nav navbar navigation menu menus
     breadcrumb breadcrumbs header masthead topbar footer sidebar sidebars aside rail widget widgets cookie cookies consent notice notices gdpr
     popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations
     comment comments respond replies disqus discussion pagination pager toolbar copyright""".split()
 )
-COMMENT_NAMES = frozenset("comment comments respond replies disqus discussion".split())
+COMMENT_NAMES = frozenset("comment comments respond replies disqus".split())
+#: Of these, words that sections of an article have too; within an article their ratios decide.
+WEAK_NAMES = frozenset("header discussion notice notices social related consent copyright rail".split())
 ROOTS = ("article", "main")
+#: What counts of the ratio of marked parts.
+MARKED = 0.001
+#: A container's least share of text on selected paths.
+SHARE = 0.5
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^\"'>]|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[A-Za-z][^\s/>]*+)(?P<attrs2>[^>]*+)>", re.S
 )
-ATTR = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+ATTR = re.compile(r"(?<![^\s=\"'/])([^\s=\"'/]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
 @dataclass(slots=True)
 class Node:
+    """An element. ``hint``: "" or why it may be boilerplate: tag, name, weak (name) or comment."""
+
     tag: str
     up: Node | None
-    path: int
-    skipped: bool
-    depth: int
-    rooted: bool
+    hint: str = ""
+    rooted: bool = False
+    marked: bool = False
+    path: int = 0
+    roots: int = 0
+    titles: int = 0
+    paragraphs: int = 0
+    chars: int = 0
+    selected: int = 0
+    open: str = ""
 
 
 @dataclass(slots=True)
@@ -78,95 +99,135 @@ class Block:
     at: Node
     parts: list[str] = field(default_factory=list)
     linked: int = 0
-
-    def text(self) -> str:
-        return " ".join(html.unescape("".join(self.parts)).split())
+    said: str = ""
 
 
-def is_boilerplate(tag: str, attrs: str, inside_root: bool) -> bool:
-    if tag in SKIPPED_TAGS or tag == "header" and not inside_root:
-        return True
-    if "=" not in attrs and "hidden" not in attrs:
-        return False
+def hint_of(tag: str, attrs: str, rooted: bool) -> str:
+    """Why an element may be boilerplate."""
+    if tag in MARKED_TAGS or tag == "header" and not rooted:
+        return "tag"
+    name = "name" if tag == "form" else ""
+    if "=" not in attrs and "hidden" not in attrs or tag in ("html", "body"):
+        return name
     found = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(attrs)}
-    if tag in ("html", "body"):
-        return False
-    if found.get("role", "").lower() in SKIPPED_ROLES or re.search(r"(?:^|\s)hidden(?=[\s/]|$)", ATTR.sub(" ", attrs)):
-        return True
-    if found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
+    if re.search(r"(?:^|\s)hidden(?=[\s/]|$)", ATTR.sub(" ", attrs)) or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
+        return "tag"
     words = {w.lower() for w in NAME_WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-    return bool(words & (COMMENT_NAMES if tag in ROOTS else SKIPPED_NAMES))
-
-
-def blocks_of(page: str) -> list[Block]:
-    """The page's text blocks in order, each at its block element."""
-    root = at = Node("", None, 0, False, 0, False)
-    paths: dict[tuple[int, str], int] = {}
-    current = Block(at)
-    blocks = [current]
-    links = 0
-    pos = 0
-    stack = [root]
-
-    def fresh() -> Block:
-        if current.parts or current.at is not at:
-            blocks.append(Block(at))
-        return blocks[-1]
-
-    def close_to(n: int) -> Node:
-        del stack[n:]
-        return stack[-1]
-
-    def say(text: str) -> None:
-        if text:
-            current.parts.append(text)
-            if links:
-                current.linked += len(text)
-
-    while m := TOKEN.search(page, pos):
-        say(page[pos : m.start()])
-        pos = m.end()
-        tag = (m["tag"] or m["tag2"] or "").lower()
-        if not tag:
-            continue
-        ending = m["end"] or m["end2"]
-        if tag in INLINE:
-            if tag == "a":
-                links = 0 if ending else 1
-            continue
-        if tag in VOID:
-            if tag in ("br", "hr"):
+    if words & COMMENT_NAMES:
+        return "comment"
+    if tag in ROOTS:
+        return name
+    if words & (MARKED_NAMES - WEAK_NAMES) or found.get("role", "").lower() in MARKED_ROLES:
+        return "name"
+    return "weak" if words & WEAK_NAMES else name
+
+
+class Page:
+    """A page's elements and text blocks in order."""
+
+    def __init__(self, page: str):
+        self.nodes = [Node("", None)]
+        self.blocks = [Block(self.nodes[0])]
+        self.read(page)
+        self.blocks = [b for b in self.blocks if b.said]
+        self.mark()
+
+    def read(self, page: str) -> None:
+        stack = [self.nodes[0]]
+        places: dict[str, list[int]] = defaultdict(list)
+        current, links, pos = self.blocks[0], 0, 0
+        # what follows the last ">" holds no tag
+        over = page.rfind(">") + 1
+
+        def say(text: str) -> None:
+            if text:
+                current.parts.append(text)
+                if links:
+                    current.linked += len(text)
+
+        def fresh() -> Block:
+            if current.parts or current.at is not stack[-1]:
+                self.blocks.append(Block(stack[-1]))
+            return self.blocks[-1]
+
+        def close_to(n: int) -> None:
+            while len(stack) > n:
+                places[stack.pop().tag].pop()
+
+        def lowest_open(tags: tuple[str, ...], above: int) -> int:
+            """The lowest place above ``above`` in the stack of an element with one of the tags, or 0."""
+            found = [p[k] for t in tags if (p := places.get(t)) and (k := bisect_right(p, above)) < len(p)]
+            return min(found, default=0)
+
+        while m := TOKEN.search(page, pos, over):
+            say(page[pos : m.start()])
+            pos = m.end()
+            tag = (m["tag"] or m["tag2"] or "").lower()
+            if not tag:
+                if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                    pos = len(page)
+                continue
+            ending = m["end"] or m["end2"]
+            if tag in INLINE:
+                if tag == "a":
+                    links = 0 if ending else 1
+                continue
+            if tag in VOID:
+                if tag in ("br", "hr"):
+                    current = fresh()
+                continue
+            if ending:
+                if places.get(tag):
+                    close_to(places[tag][-1])
+                    links = 0
+                    current = fresh()
+                continue
+            if tag in RAW:
+                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, pos)
+                pos = close.end() if close else len(page)
                 current = fresh()
-            continue
-        if ending:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if k:
-                at = close_to(k)
+                continue
+            attrs = m["attrs"] or m["attrs2"] or ""
+            closes, beyond = ENDS.get(tag, ENDS_P if tag in CLOSES_P else NOTHING)
+            bound = max((places[t][-1] for t in beyond if places.get(t)), default=0)
+            if k := lowest_open(closes, bound):
+                close_to(k)
+            if not attrs.endswith("/") or tag in CLOSES_P:
+                up = stack[-1]
+                node = Node(tag, up, hint_of(tag, attrs, up.rooted), up.rooted or tag in ROOTS)
+                places[tag].append(len(stack))
+                stack.append(node)
+                self.nodes.append(node)
                 links = 0
-                current = fresh()
-            continue
-        if tag in RAW:
-            over = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, pos)
-            pos = over.end() if over else len(page)
             current = fresh()
-            continue
-        attrs = m["attrs"] or m["attrs2"] or ""
-        closes, beyond = ENDS.get(tag, ({"p"}, {"article", "div", "td", "section", "main", "button"}) if tag in CLOSES_P else (set(), set()))
-        k = len(stack) - 1
-        while k > 0 and stack[k].tag not in beyond:
-            if stack[k].tag in closes:
-                at = close_to(k)
-            k -= 1
-        if not attrs.endswith("/") or tag in CLOSES_P:
-            up = stack[-1]
-            path = paths.setdefault((up.path, tag), len(paths) + 1)
-            at = Node(tag, up, path, up.skipped or is_boilerplate(tag, attrs, up.rooted), len(stack), up.rooted or tag in ROOTS)
-            stack.append(at)
-            links = 0
-        current = fresh()
-    say(page[pos:])
-    return blocks
+        say(page[pos:])
+        for b in self.blocks:
+            b.said = " ".join(html.unescape("".join(b.parts)).split())
+
+    def mark(self) -> None:
+        """Which parts are marked as boilerplate, and the numbers of paths. A hint counts only where it does not wrap the article."""
+        for b in self.blocks:
+            b.at.chars += len(b.said)
+            b.at.paragraphs += b.at.tag == "p"
+        for n in reversed(self.nodes[1:]):
+            n.up.chars += n.chars
+            n.up.paragraphs += n.paragraphs
+            n.up.roots += n.roots + (n.tag in ROOTS and n.hint != "comment")
+            n.up.titles += n.titles + (n.tag == "h1")
+        whole = self.nodes[0].chars
+        paths: dict[tuple[int, str, bool], int] = {}
+        for n in self.nodes[1:]:
+            holds = n.roots > 0 or n.rooted and n.titles > 0
+            most = 2 * n.chars > whole
+            wraps = {
+                "tag": False,
+                "comment": n.roots > 0 and n.titles > 0,
+                "name": holds or n.paragraphs > 1 and most,
+                "weak": holds or n.paragraphs > 1 and (most or n.rooted),
+                "": True,
+            }[n.hint]
+            n.marked = n.up.marked or not wraps
+            n.path = paths.setdefault((n.up.path, n.tag, n.marked), len(paths) + 1)
 
 
 def smoothed(values: list[float]) -> list[float]:
@@ -183,63 +244,76 @@ def smoothed(values: list[float]) -> list[float]:
     return out
 
 
-def content_weights(kept: list[tuple[Block, str]]) -> list[float]:
-    """For each block its fused path ratio, 0 where that is below the threshold."""
+def path_values(blocks: list[Block]) -> dict[int, float]:
+    """Each path's fused ratio: the mean over its nodes of the smoothed text ratio times one plus the smoothed punctuation ratio."""
     chars, marks, nodes = defaultdict(float), defaultdict(float), defaultdict(int)
-    for block, text in kept:
-        path = block.at.path
-        nodes[path] += 1
-        chars[path] += max(0, len(text) - 2 * block.linked)
-        marks[path] += len(PUNCTUATION.findall(text)) if block.linked < len(text) / 2 else 0
-    text_ratio = smoothed([chars[b.at.path] / nodes[b.at.path] for b, _ in kept])
-    mark_ratio = smoothed([marks[b.at.path] / nodes[b.at.path] for b, _ in kept])
-    fused = [t * (1 + p) for t, p in zip(text_ratio, mark_ratio, strict=True)]
-    mean = sum(fused) / len(fused)
-    spread = math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused))
-    threshold = min(spread, max(fused))
-    return [f if f >= threshold else 0.0 for f in fused]
-
-
-def content_root(kept: list[tuple[Block, str]], weights: list[float]) -> Node | None:
-    """The article or main element with most weight, else the lowest element that holds all content nodes."""
-    by_root: dict[int, list] = {}
-    common: list[Node] | None = None
-    for (block, text), w in zip(kept, weights, strict=True):
-        if not w:
-            continue
-        line, node = [], block.at
-        while node is not None:
-            line.append(node)
-            node = node.up
-        line.reverse()
-        outer = next((x for x in line if x.tag == "article"), None) or next((x for x in line if x.tag == "main"), None)
-        if outer is not None:
-            by_root.setdefault(id(outer), [0.0, outer])[0] += w * len(text)
-        if common is None:
-            common = line
+    for b in blocks:
+        nodes[b.at.path] += 1
+        chars[b.at.path] += max(0, len(b.said) - 2 * b.linked)
+        marks[b.at.path] += len(PUNCTUATION.findall(b.said)) if 2 * b.linked < len(b.said) else 0
+    text_ratio = smoothed([chars[b.at.path] / nodes[b.at.path] for b in blocks])
+    mark_ratio = smoothed([marks[b.at.path] / nodes[b.at.path] for b in blocks])
+    values = defaultdict(float)
+    for b, t, p in zip(blocks, text_ratio, mark_ratio, strict=True):
+        values[b.at.path] += t * (1 + p) * (MARKED if b.at.marked else 1) / nodes[b.at.path]
+    return dict(values)
+
+
+def threshold(blocks: list[Block], values: dict[int, float]) -> float:
+    """The spread of the values along the page, but no more than half the largest."""
+    along = [values[b.at.path] for b in blocks]
+    mean = sum(along) / len(along)
+    return min(math.sqrt(sum((v - mean) ** 2 for v in along) / len(along)), max(along) / 2)
+
+
+def selected(page: Page) -> list[Block]:
+    """The blocks on paths that reach the threshold, and short ones of the same containers."""
+    blocks = page.blocks
+    values = path_values(blocks)
+    least = threshold(blocks, values)
+    chosen = [values[b.at.path] >= least for b in blocks]
+    for n in page.nodes:
+        n.chars = 0
+    for b, good in zip(blocks, chosen, strict=True):
+        if not b.at.marked:
+            b.at.chars += len(b.said)
+        b.at.selected += good * len(b.said)
+    for n in reversed(page.nodes[1:]):
+        n.up.chars += n.chars
+        n.up.selected += n.selected
+    # whether other blocks in an element are kept: always, between selected ones, or not ("")
+    page.nodes[0].open = "between"
+    for n in page.nodes[1:]:
+        most = n.selected >= SHARE * n.chars and n.selected > 0
+        if n.marked or n.hint == "weak" and not most:
+            n.open = ""
+        elif n.tag in ROOTS and most or n.up.open == "root":
+            n.open = "root"
+        elif n.tag in ("html", "body"):
+            n.open = "between"
+        elif n.tag in ("div", "section", "form", "center", *ROOTS):
+            n.open = "always" if most else ""
         else:
-            n = next((i for i, (a, b) in enumerate(zip(common, line)) if a is not b), min(len(common), len(line)))
-            common = common[:n]
-    if by_root:
-        return max(by_root.values(), key=lambda x: x[0])[1]
-    return common[-1] if common else None
+            n.open = n.up.open
+    at = [i for i, good in enumerate(chosen) if good]
+    first, last = at[0], at[-1]
+    kept = []
+    for i, (b, good) in enumerate(zip(blocks, chosen, strict=True)):
+        if not good and not b.at.marked and 2 * b.linked <= len(b.said):
+            inside = b.at.up.open if b.at.up is not None and not b.at.open else b.at.open
+            before_content = b.at.tag in HEADINGS and i + 1 < len(blocks) and chosen[i + 1]
+            good = inside in ("root", "always") or inside == "between" and first < i < last or before_content
+        if good:
+            kept.append(b)
+    return kept
 
 
 def main_text(page: str | None) -> str:
     """The page's main text, "" if it has none."""
-    if not page:
-        return ""
-    kept = [(b, t) for b in blocks_of(page) if not b.at.skipped and (t := b.text())]
-    if not kept:
+    made = Page(page or "")
+    if all(b.at.marked for b in made.blocks):
         return ""
-    root = content_root(kept, content_weights(kept))
-
-    def inside(node: Node) -> bool:
-        while node.depth > root.depth:
-            node = node.up
-        return node is root
-
-    return " ".join(t for b, t in kept if root is None or inside(b.at))
+    return " ".join(b.said for b in selected(made))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

@@ -3,9 +3,11 @@
 import base64
 import hashlib
 import json
+import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -226,6 +228,65 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = "One long sentence, with marks, of the story. It goes on, and on; it ends."
+STORY = "".join(f"<p>{LONG} Part {i}.</p>" for i in range(3))
+SAID = " ".join(f"{LONG} Part {i}." for i in range(3))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # names that wrap the article, or its heading, do not count
+        (f"<div class='layout with-sidebar'><article><h1>T</h1>{STORY}</article><div class=sidebar>Side, bar.</div></div>", f"T {SAID}"),
+        (f"<div id=page class=has-header><div><h1>T</h1>{STORY}</div></div>", f"T {SAID}"),
+        (f"<div class='share-wrap main'><main>{STORY}</main></div><div class=share>Share, this.</div>", SAID),
+        (f"<article><div class='entry-header'><h1>T</h1></div>{STORY}<div class=share>Share, this.</div></article>", f"T {SAID}"),
+        (f"<form id=aspnet><article>{STORY}</article></form><form>Your name <input></form>", SAID),
+        # neither article nor main, nor any names: the ratios alone tell
+        (f"<body><div><a href=x>Home</a></div><div><h1>T</h1>{STORY}<ul><li>one<li>two</ul></div><div><span>by us</span></div><div><a href=y>More</a></div></body>", f"T {SAID} one two"),
+        (f"<body><h1>T</h1>{STORY}<ul><li>one<li>two</ul>{STORY}<ul><li>Terms</ul></body>", f"T {SAID} one two {SAID}"),
+        (f"<article>{STORY}<section id=discussion>{STORY}</section><div class=notice><p>Short.<p>Note.</div></article><div class=notices>{STORY}</div>", f"{SAID} {SAID}"),
+        (f"<body><section id=discussion>{STORY}{STORY}</section><div id=comments><article class=comment>{STORY}</article></div></body>", f"{SAID} {SAID}"),
+        (f"<div class=a hidden>{STORY}</div><article>{STORY}</article><footer>{LONG}</footer>", SAID),
+        (f"<nav>{LONG}</nav><footer>{LONG}</footer>", ""),
+    ],
+)
+def test_main_text_by_ratios(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_text_comes_through_the_ratios(monkeypatch):
+    page = f"<body><div><i>Home, news.</i></div><div><h1>T</h1>{STORY}</div><div><i>by us</i></div><nav>Menu</nav></body>"
+    assert html_text.main_text(page) == f"T {SAID}"
+    values = html_text.path_values
+    monkeypatch.setattr(html_text, "path_values", lambda blocks: dict.fromkeys(values(blocks), 1.0))
+    assert html_text.main_text(page) == f"Home, news. T {SAID} by us Menu"
+
+
+def test_path_values_by_definition():
+    parts = [("nav", "Menu", 4), ("p", "One, two. Three", 0), ("p", "Four", 0), ("h2", "Five!", 0), ("p", "A link, and text.", 3), ("li", "six", 0), ("footer", "End.", 0)]
+    page = html_text.Page("".join(f"<{t}>" + (f"<a>{x[:n]}</a>{x[n:]}" if n else x) + f"</{t}>" for t, x, n in parts))
+    text = {t: np.mean([max(0, len(x) - 2 * n) for u, x, n in parts if u == t]) for t, _, _ in parts}
+    marks = {t: np.mean([0 if 2 * n >= len(x) else len(re.findall("[.,!]", x)) for u, x, n in parts if u == t]) for t, _, _ in parts}
+
+    def smooth(of, i):
+        near = [(math.exp(-d * d / 2), of[parts[i + d][0]]) for d in range(-2, 3) if 0 <= i + d < len(parts)]
+        return sum(w * v for w, v in near) / sum(w for w, _ in near)
+
+    fused = [smooth(text, i) * (1 + smooth(marks, i)) * (0.001 if parts[i][0] in ("nav", "footer") else 1) for i in range(len(parts))]
+    values = html_text.path_values(page.blocks)
+    for b, (t, x, _) in zip(page.blocks, parts, strict=True):
+        assert b.said == x
+        assert values[b.at.path] == pytest.approx(np.mean([f for f, (u, _, _) in zip(fused, parts, strict=True) if u == t]))
+
+
+@pytest.mark.parametrize("page", ["<a" * 500_000, "<div>" * 60_000 + "x", "<ul>" * 60_000 + "x", "<a '" * 200_000, "<p x=" * 100_000 + ">", "<!" * 300_000, "<div " + "a" * 300_000 + "=1>x", "<!--" * 200_000])
+def test_malformed_pages_take_linear_time(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 5
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x</p>", "z"), (1, "u", "<p>x</p>", "z"), (None, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted(map(str, html_text.extract(pages).collect())) == sorted(map(str, [*[__import__("pyspark").sql.Row(page_id=1, url="u", text="x", n_chars=1)] * 2, __import__("pyspark").sql.Row(page_id=None, url=None, text="", n_chars=0)]))
