@@ -1,9 +1,11 @@
 """Operator 6: toxicity by a weighted finite-state pattern grammar over clauses.
 
-The grammar reads a clause's words as classes (insult, threat, target, negation, reported speech) and is composed of three
-transducers: one holds whether a target has been named, one for how many words a negation still reaches, one whether the
-clause reports what others say. An insult or threat puts out its own weight times the factors of the state it is met in. A
-clause's score is the sum of what is put out; a document's is the sum over its clauses, mapped to 0..1 by a logistic curve.
+The grammar reads a clause's words as symbols: insult, threat, target, negation, reported speech, other. Five transducers,
+each a table of arcs, are composed into one machine: negation turns what it reaches into denied insults and takes threats
+away; reported speech lowers weights; target, insult and threat keep what the clause has had. The state in which the clause
+ends tells the pattern that it matches, and only matched patterns score: an insult with a target (aimed), several insults
+(heaped), a threat with a target; a lone insult or a denied one is a mere mention, which alone always scores below one half,
+and a threat without target is nothing. A document's score is the sum over its clauses, mapped to 0..1 by a logistic curve.
 
 The cues are learnt: from a bounded sample of labelled rows, word stems and whole words of any length that clauses of toxic
 documents have and those of others do not. They are counted by distinct clause, so that copies of one document count once.
@@ -41,57 +43,138 @@ LEAST, CHANCE = 4, 0.01
 END = " "
 
 # Function words of the grammar and its threats, in English, French, German and Spanish.
-TARGETS = frozenset("you your youre u he she they them this these those all tu vous ton votre ces cet du ihr dein euch diese er sie usted tus ustedes ese esos este".split())
+TARGETS = frozenset("you your youre u he she they them this these those all tu toi vous ton votre ces cet du dich dir ihr dein euch diese er sie usted te tus ustedes ese esos este".split())
 NEGATIONS = frozenset("not never no isn aren wasn don doesn didn cannot without ne pas jamais nicht kein keine nie nunca sin ni".split())
 REPORTS = frozenset("said says say claimed claims called calls wrote quoted reported quote alleged accused dit dite sagte sagt dijo dice".split())
-THREATS = {"kill": 3.0, "murder": 3.0, "hurt": 1.5, "destroy": 1.5, "strangle": 3.0, "burn": 1.0}
-
-NEGATED, REPORTED, TARGETED, REACH = 0.35, 0.6, 1.3, 3
+THREATS = frozenset(
+    """kill murder hurt destroy strangle burn beat stab shoot smash tuer tuerai frapper frapperai brûler brûlerai étrangler égorger
+    töten töte umbringen schlagen verbrennen erwürgen matar mataré golpear golpearé quemar quemaré estrangular""".split()
+)
+
+NEGATED, REPORTED, REACH = 0.35, 0.6, 3
+#: What counts of the insults of a clause by the pattern that it matches, and a threat's weight.
+AIMED, HEAPED, MENTIONED, THREAT = 1.3, 1.0, 0.4, 3.0
+#: Weights of cues are held within these.
+LEAST_WEIGHT, MOST_WEIGHT = 3.2, 4.0
+#: The sum at which the score is one half, in terms of the weightiest lone mention: more than one, so that none alone reaches it.
+HALF_LEAST, HALF_MOST = 1.05, 1.25
 CLAUSE = re.compile(r"[^.!?;:\n]+")
 WORD = re.compile(r"[^\W_]+")
 
+INSULT, DENIED, THREATEN, TARGET, NEGATION, REPORT, OTHER = "insult denied threat target negation report other".split()
+SYMBOLS = (INSULT, DENIED, THREATEN, TARGET, NEGATION, REPORT, OTHER)
+#: state, symbol read -> next state, symbol written, factor on the word's weight
+Arcs = dict[tuple[str, str], tuple[str, str, float]]
+
+
+def transducer(states: list[str], special: Arcs, rest: dict[str, str] | None = None) -> Arcs:
+    """The arcs of a machine: the special ones; all others write what they read and lead to ``rest`` or stay."""
+    arcs = {(q, x): ((rest or {}).get(q, q), x, 1.0) for q in states for x in SYMBOLS}
+    return arcs | special
+
+
+def negation() -> Arcs:
+    """States: how many words a negation still reaches."""
+    states = [str(n) for n in range(REACH + 1)]
+    special: Arcs = {(q, NEGATION): (str(REACH), NEGATION, 1.0) for q in states}
+    for n in range(1, REACH + 1):
+        special[str(n), INSULT] = (str(n - 1), DENIED, NEGATED)
+        special[str(n), THREATEN] = (str(n - 1), OTHER, 1.0)
+    return transducer(states, special, {str(n): str(max(0, n - 1)) for n in range(REACH + 1)})
+
+
+REPORTING = transducer(
+    ["own", "told"],
+    {("own", REPORT): ("told", REPORT, 1.0), **{("told", x): ("told", x, REPORTED) for x in (INSULT, DENIED, THREATEN)}},
+)
+AIMING = transducer(["none", "named"], {("none", TARGET): ("named", TARGET, 1.0)})
+INSULTING = transducer(
+    ["none", "mention", "one", "more"],
+    {("none", DENIED): ("mention", DENIED, 1.0), ("none", INSULT): ("one", INSULT, 1.0), ("mention", INSULT): ("one", INSULT, 1.0), ("one", INSULT): ("more", INSULT, 1.0)},
+)
+THREATENING = transducer(["none", "threat"], {("none", THREATEN): ("threat", THREATEN, 1.0)})
+MACHINES = ((negation(), "0"), (REPORTING, "own"), (AIMING, "none"), (INSULTING, "none"), (THREATENING, "none"))
+
+
+def composed(machines: tuple[tuple[Arcs, str], ...]) -> tuple[dict[tuple[int, str], tuple[int, float]], list[tuple[str, ...]]]:
+    """One machine that passes each symbol through all of them in turn: its arcs between numbered states, and the states."""
+    states = [tuple(start for _, start in machines)]
+    number = {states[0]: 0}
+    arcs: dict[tuple[int, str], tuple[int, float]] = {}
+    for at, state in enumerate(states):  # grows as states are found
+        for read in SYMBOLS:
+            symbol, factor, after = read, 1.0, []
+            for (table, _), q in zip(machines, state, strict=True):
+                q, symbol, f = table[q, symbol]
+                after.append(q)
+                factor *= f
+            if tuple(after) not in number:
+                number[tuple(after)] = len(states)
+                states.append(tuple(after))
+            arcs[at, read] = (number[tuple(after)], factor)
+    return arcs, states
+
+
+ARCS, STATES = composed(MACHINES)
+
+
+def accepted(state: tuple[str, ...]) -> tuple[float, float]:
+    """What counts of a clause's insults and of its threats, by the state in which it ends."""
+    _, _, target, insult, threat = state
+    aimed = target == "named"
+    insults = {"none": 0.0, "mention": MENTIONED, "one": AIMED if aimed else MENTIONED, "more": AIMED if aimed else HEAPED}[insult]
+    return insults, 1.0 if aimed and threat == "threat" else 0.0
+
+
+FINAL = [accepted(q) for q in STATES]
+
 
 @dataclass
 class Grammar:
     """Cues (stems, or whole words with END behind) with their weights and the logistic curve's slope and offset."""
 
     cues: dict[str, float] = field(default_factory=dict)
-    slope: float = 1.0
-    offset: float = -3.0
+    slope: float = 2.0
+    offset: float = -2.0 * HALF_LEAST * MENTIONED * MOST_WEIGHT
 
     def __post_init__(self):
         self.lengths = sorted({len(s) for s in self.cues if not s.endswith(END)})
         by_letter: dict[str, list[str]] = defaultdict(list)
-        for s in sorted({*self.cues, *THREATS}, key=lambda s: (-len(s), s)):
+        for s in sorted({*self.cues, *(t + END for t in THREATS)}, key=lambda s: (-len(s), s)):
             by_letter[s[0]].append(re.escape(s[1:-1]) + r"(?![^\W_])" if s.endswith(END) else re.escape(s[1:]))
         self.any = re.compile(r"\b(?:" + "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in by_letter.items()) + ")")
-        #: target named (0/1), words that a negation still reaches (0..REACH), reported (0/1) -> factor
-        self.factors = {
-            (t, n, r): (TARGETED if t else 1.0) * (NEGATED if n else 1.0) * (REPORTED if r else 1.0)
-            for t in (0, 1)
-            for n in range(REACH + 1)
-            for r in (0, 1)
-        }
 
     def weight(self, word: str) -> float:
-        """An insult's or threat's weight, 0 for other words."""
+        """An insult's weight, 0 for other words."""
         found = [self.cues.get(word[:n], 0.0) for n in self.lengths if n <= len(word)]
-        return max([THREATS.get(word, 0.0), self.cues.get(word + END, 0.0), *found])
+        return max([self.cues.get(word + END, 0.0), *found])
+
+    def symbol(self, word: str) -> tuple[str, float]:
+        """The word's symbol and weight."""
+        weight = self.weight(word)
+        if weight:
+            return INSULT, weight
+        if word in THREATS:
+            return THREATEN, THREAT
+        if word in TARGETS:
+            return TARGET, 0.0
+        if word in NEGATIONS:
+            return NEGATION, 0.0
+        return (REPORT if word in REPORTS else OTHER), 0.0
 
     def clause(self, clause: str) -> float:
-        """The sum of what the composed transducers put out over the clause's words."""
-        target = reach = report = 0
-        total = 0.0
+        """The weight of the clause's path through the composed machine."""
+        state = 0
+        insults = threats = 0.0
         for word in WORD.findall(clause):
-            weight = self.weight(word)
-            if weight:
-                total += weight * self.factors[target, reach, report]
-            if word in TARGETS:
-                target = 1
-            elif word in REPORTS:
-                report = 1
-            reach = REACH if word in NEGATIONS else max(0, reach - 1)
-        return total
+            read, weight = self.symbol(word)
+            state, factor = ARCS[state, read]
+            if read == INSULT:
+                insults += weight * factor
+            elif read == THREATEN:
+                threats += weight * factor
+        of_insults, of_threats = FINAL[state]
+        return insults * of_insults + threats * of_threats
 
     def sum(self, text: str | None) -> float:
         """The sum over the clauses that hold a cue."""
@@ -100,7 +183,7 @@ class Grammar:
         lowered = text.lower()
         total, at = 0.0, 0
         while m := self.any.search(lowered, at):
-            start = max(lowered.rfind(c, 0, m.start()) for c in ".!?;:\n") + 1
+            start = max(lowered.rfind(c, at, m.start()) for c in ".!?;:\n") + 1
             over = CLAUSE.match(lowered, m.start()).end()
             total += self.clause(lowered[max(start, at) : over])
             at = over
@@ -214,14 +297,17 @@ def chosen(stems: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> dic
     cues: dict[str, float] = {}
     for s in sorted(stems, key=lambda s: (len(s), s)):
         a, b = stems[s]
-        sure = weights[s] >= 3.2 and b <= a / 50
+        sure = weights[s] >= LEAST_WEIGHT and b <= a / 50
         if sure and longer[s] < 0.95 * a and not any(n < len(s) and s[:n] in cues for n in lengths):
-            cues[s] = min(6.0, weights[s])
+            cues[s] = min(MOST_WEIGHT, weights[s])
     return cues
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, modulus: int = MODULUS, held_out: int = HELD_OUT) -> Grammar:
-    """Cues and curve from at most ``per_class`` rows of each label. Without toxic rows only the fixed threats are cues."""
+    """Cues and curve from at most ``per_class`` rows of each label. Without toxic rows there are no insults, only the fixed threats.
+
+    Rows of ``labels`` that repeat a doc_id count once, as toxic if any of them is.
+    """
     rows = labelled.sample(docs, labels, label, modulus, held_out, per_class).persist()
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -249,7 +335,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
             gradient = np.array([((p - y) * x).sum() + 0.1 * (a - 0.5), (p - y).sum() + 0.1 * (b + 2.0)])
             step = np.linalg.solve(hessian, gradient)
             a, b = a - 0.5 * step[0], b - 0.5 * step[1]
-        grammar.slope, grammar.offset = float(max(a, 0.05)), float(b)
+        lone = MENTIONED * max([LEAST_WEIGHT, *grammar.cues.values()])
+        grammar.slope = float(max(a, 0.5))
+        grammar.offset = -grammar.slope * float(np.clip(-b / grammar.slope, HALF_LEAST * lone, HALF_MOST * lone))
     return grammar
 
 
