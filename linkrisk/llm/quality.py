@@ -1,9 +1,10 @@
 """Operator 5: quality by hashed word n-grams and logistic regression with follow-the-regularised-leader updates.
 
-Features are hashed 1-grams of words and hashed 2- and 3-grams of word forms, where a word's form is its letter case, its
-punctuation, or that it repeats the word before. Counts are damped by a logarithm and scaled to unit length, so long and
-short texts compare. The model is fitted on a bounded sample (``PER_CLASS`` rows of each label, read off the corpus by a
-broadcast of their ids) and scores every row as a sparse dot product in Arrow batches: no shuffle of texts.
+Features are hashed 1-, 2- and 3-grams of words, and beside them 2- and 3-grams of word forms, where a word's form is its
+letter case, its punctuation, or that it repeats the word before. Counts are damped by a logarithm, and each of the five kinds
+is scaled to the same length, so long and short texts compare. The model is fitted on a bounded sample (``PER_CLASS`` rows of
+each label, read off the corpus by a broadcast of their ids; its features are written and come to the driver in parts of at
+most about ``FIT_BYTES``) and scores every row as a sparse dot product in Arrow batches: no shuffle of texts.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkrisk.functions.shared import Scratch
 from linkrisk.llm import labelled
 
-BITS = 18
+BITS = 20
 #: Most labelled rows of each class that the model is fitted on.
 PER_CLASS = 2500
+#: Most bytes of the sample's features that the driver holds at once.
+FIT_BYTES = 64 << 20
 EPOCHS = 5
 REMEMBERED_WORDS = 100_000
 HELD_OUT = 2
@@ -59,26 +63,41 @@ TOKENS = Tokens()
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def hashed(a: np.ndarray, salt: int) -> np.ndarray:
-    return (((a + np.uint64(salt)) * MIX) >> np.uint64(64 - BITS)).astype(np.int64)
+MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers and values of a text; the last feature is the bias."""
-    bias = 1 << BITS
+def hashed(a: np.ndarray, kind: int) -> np.ndarray:
+    """Feature numbers of the grams of one kind."""
+    x = (a ^ (a >> np.uint64(29))) * MULTIPLIER + np.uint64(kind)
+    return ((x * MIX) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def grams(text: str | None) -> list[np.ndarray]:
+    """Numbers of the text's words, word pairs and triples, and form pairs and triples, in the order of the text."""
     tokens = WORDS.findall(text or "")
     if not tokens:
-        return np.array([bias]), np.array([1.0])
+        return []
     coded = np.fromiter(map(TOKENS.__getitem__, tokens), np.uint64, len(tokens))
     words, forms = coded >> np.uint64(16), coded & np.uint64(0xFFFF)
     again = np.flatnonzero(words[1:] == words[:-1]) + 1
     forms[again] = REPEATED
-    pairs = forms[:-1] << np.uint64(16) | forms[1:]
-    triples = pairs[:-1] << np.uint64(16) | forms[2:]
-    found = [hashed(words, 1), hashed(pairs, 1 << 60), hashed(triples, 1 << 61)]
-    ids, counts = np.unique(np.concatenate(found), return_counts=True)
-    values = np.log1p(counts)
-    return np.append(ids, bias), np.append(values / np.sqrt((values**2).sum()), 1.0)
+    word_pairs = words[:-1] * MIX + words[1:]
+    form_pairs = forms[:-1] << np.uint64(16) | forms[1:]
+    return [words, word_pairs, word_pairs[:-1] * MIX + words[2:], form_pairs, form_pairs[:-1] << np.uint64(16) | forms[2:]]
+
+
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers and values of a text; the last feature is the bias."""
+    kinds = [hashed(x, i) for i, x in enumerate(grams(text)) if len(x)]
+    ids, values = [], []
+    for found in kinds:
+        found, counts = np.unique(found, return_counts=True)
+        damped = np.log1p(counts)
+        ids.append(found)
+        values.append(damped / np.sqrt((damped**2).sum() * len(kinds)))
+    both, places = np.unique(np.concatenate([np.empty(0, np.int64), *ids]), return_inverse=True)
+    summed = np.bincount(places, weights=np.concatenate([np.empty(0), *values]), minlength=len(both))
+    return np.append(both, 1 << BITS), np.append(summed, 1.0)
 
 
 @dataclass
@@ -111,10 +130,13 @@ def sigmoid(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -35, 35))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, modulus: int = MODULUS, held_out: int = HELD_OUT) -> np.ndarray:
+def fit(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, modulus: int = MODULUS, held_out: int = HELD_OUT, fit_bytes: int = FIT_BYTES
+) -> np.ndarray:
     """The weights, from at most ``per_class`` rows of each label; all zero (score 0.5) if there are none.
 
-    The features of the sample, a bounded number of rows, come to the driver, where the updates run one after the other.
+    Rows of ``labels`` that repeat a doc_id count once, with the larger label; of documents that repeat one, one is used. The
+    updates run one after the other on the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,12 +147,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, values, batch.column(2)], names=["doc_id", "ids", "vals", "label"])
 
     rows = labelled.sample(docs, labels, label, modulus, held_out, per_class).select(F.col("doc_id").cast("string"), "text", "label")
-    got = rows.mapInArrow(run, "doc_id string, ids binary, vals binary, label int").collect()
-    got.sort(key=lambda r: (zlib.crc32(r.doc_id.encode()), r.doc_id))
-    model = Ftrl()
+    scratch = Scratch(docs.sparkSession, "quality")
+    made = scratch.keep(rows.mapInArrow(run, "doc_id string, ids binary, vals binary, label int"), "features")
+    size = made.agg(F.sum(F.octet_length("ids") + F.octet_length("vals"))).first()[0] or 0
+    n_parts = max(1, -(-size // fit_bytes))
+
+    def part(i: int) -> list:
+        got = made.where(F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)) == i).collect()
+        return sorted(got, key=lambda r: (zlib.crc32(r.doc_id.encode()), r.doc_id))
+
+    model, held = Ftrl(), part(0) if n_parts == 1 else None
     for _ in range(EPOCHS):
-        for r in got:
-            model.update(np.frombuffer(r.ids, "<i4"), np.frombuffer(r.vals, "<f4").astype(float), r.label)
+        for i in range(n_parts):
+            for r in held if held is not None else part(i):
+                model.update(np.frombuffer(r.ids, "<i4"), np.frombuffer(r.vals, "<f4").astype(float), r.label)
+    scratch.drop_but()
     return model.weights(slice(None))
 
 
@@ -158,7 +189,11 @@ def score(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str =
 
 
 def keep(docs: DataFrame, weights: np.ndarray, threshold: float = 0.7, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score is at least ``threshold``."""
+    """The rows of ``docs``, with all their columns, whose score is at least ``threshold``.
+
+    A null or empty text is judged by the bias alone. Rows that repeat a doc_id are judged each by its own text. Whole texts
+    are read; an empty table gives an empty one.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(weights.astype("<f4"))
     at = docs.columns.index(text)
 
@@ -175,7 +210,7 @@ def keep(docs: DataFrame, weights: np.ndarray, threshold: float = 0.7, text: str
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score and predicted (score >= threshold) of every document."""
+    """doc_id, held_out, score and predicted (score >= threshold) of every document; see ``score`` for odd rows."""
     scored = score(docs, fit(docs, labels))
     return scored.select(
         "doc_id",

@@ -52,6 +52,42 @@ def test_quality_is_learnt_from_labelled_rows_that_are_not_held_out(spark):
     assert np.array_equal(quality.fit(docs, labels), quality.fit(docs, flipped))
 
 
+def test_features_are_hashed_word_and_form_grams():
+    assert [len(x) for x in quality.grams("The cat, the cat.")] == [6, 5, 4, 5, 4] and quality.grams("") == []
+    same, other = (set(quality.features(x)[0].tolist()) for x in ("alpha beta gamma", "gamma alpha beta"))
+    shared = {int(quality.hashed(np.array([quality.TOKENS[w] >> 16], np.uint64), 0)[0]) for w in ("alpha", "beta", "gamma")}
+    assert shared <= same & other and same != other and len(same - other) >= 2  # beta gamma, alpha beta gamma
+    ids, values = quality.features("a a b")
+    assert len(ids) == len(set(ids.tolist())) and abs((values[:-1] ** 2).sum() - 1) < 1e-9
+
+
+def test_updates_equal_a_plain_loop():
+    rng = np.random.default_rng(2)
+    rows = [(np.unique(rng.integers(0, 40, 6)), int(rng.integers(0, 2))) for _ in range(200)]
+    model, z, n = quality.Ftrl(), {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= model.l1:
+            return 0.0
+        return (np.sign(z[i]) * model.l1 - z[i]) / ((model.beta + n[i] ** 0.5) / model.alpha + model.l2)
+
+    for ids, label in rows:
+        values = rng.random(len(ids))
+        model.update(ids, values, label)
+        w = {int(i): weight(int(i)) for i in ids}
+        p = 1 / (1 + np.exp(-sum(v * w[int(i)] for i, v in zip(ids, values, strict=True))))
+        for i, v in zip(ids.tolist(), values.tolist(), strict=True):
+            g = (p - label) * v
+            sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / model.alpha
+            z[i], n[i] = z.get(i, 0.0) + g - sigma * w[i], n.get(i, 0.0) + g * g
+    assert np.allclose(model.weights(np.arange(40)), [weight(i) for i in range(40)])
+
+
+def test_large_samples_are_read_in_parts(spark):
+    docs, labels = corpus(spark, 120)
+    assert quality.fit(docs, labels, fit_bytes=5000).any()
+
+
 def test_toxicity(spark):
     docs, labels = corpus(spark)
     rows = toxicity.classify(docs, labels).collect()
@@ -80,11 +116,40 @@ def test_toxicity_learns_rare_cues_and_words_that_start_like_harmless_ones(spark
 
 
 def test_grammar():
-    g = toxicity.Grammar({"moron": 4.0, "lowei": 4.0}, 1.0, -2.5)
-    plain, aimed, denied, told = (g.sum(x) for x in ("a moron", "you moron", "not a moron", "she said a moron"))
-    assert aimed > plain > told > denied > 0
-    assert g.sum("loweisch. other clause. Loweiß!") == 8.0 and g.sum("oxymoron") == 0.0 and g.sum(None) == 0.0
-    assert g.score("you moron") > 0.5 > g.score("fine text") and g.score("not a moron") < 0.5
+    g = toxicity.Grammar({"moron": 4.0, "lowei": 4.0})
+    lone, aimed, denied, told, heaped = (g.score(x) for x in ("a moron", "you moron", "you are not a moron", "she claimed a moron", "moron and loweisch"))
+    base = g.score("fine text")
+    assert heaped > aimed > 0.5 > lone > told > denied > base
+    assert g.score("moron") < 0.5 < g.score("moron. A thing. lowei") and g.score("this moron") > 0.5
+    assert g.score("how to kill a process") == base and g.score("I will kill you") > 0.5 and g.score("they never kill you") == base
+    assert g.sum("loweisch. other clause. Loweiß!") == 2 * 4.0 * toxicity.MENTIONED and g.sum("oxymoron") == 0.0 and g.sum(None) == 0.0
+
+
+def by_definition(g, words):
+    """A clause's score from each word's surroundings, without states."""
+    insults, sure = 0.0, 0
+    threats = 0.0
+    kinds = [g.symbol(w) for w in words]
+    aimed = any(k == toxicity.TARGET for k, _ in kinds)
+    for i, (kind, weight) in enumerate(kinds):
+        denied = any(k == toxicity.NEGATION for k, _ in kinds[max(0, i - toxicity.REACH) : i])
+        told = any(k == toxicity.REPORT for k, _ in kinds[:i])
+        if kind == toxicity.INSULT:
+            insults += weight * (toxicity.NEGATED if denied else 1) * (toxicity.REPORTED if told else 1)
+            sure += not denied
+        if kind == toxicity.THREATEN and not denied:
+            threats += weight * (toxicity.REPORTED if told else 1)
+    pattern = toxicity.MENTIONED if not sure else toxicity.AIMED if aimed else toxicity.HEAPED if sure > 1 else toxicity.MENTIONED
+    return insults * pattern + (threats if aimed else 0.0)
+
+
+def test_composed_machine_equals_its_definition():
+    g = toxicity.Grammar({"moron": 4.0, "lowei": 3.5, "harm ": 3.2})
+    rng = random.Random(6)
+    vocabulary = ["moron", "loweisch", "harm", "harmless", "kill", "you", "never", "not", "said", "word", "thing", "and"]
+    for _ in range(3000):
+        words = rng.choices(vocabulary, k=rng.randint(1, 9))
+        assert abs(g.clause(" ".join(words)) - by_definition(g, words)) < 1e-9, words
 
 
 def test_pipeline(spark, tmp_path):
