@@ -16,20 +16,70 @@ import heapq
 import json
 import re
 import struct
+import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words whose ids a worker remembers; at that number it forgets all of them and starts anew (bounds memory only).
 REMEMBERED_WORDS = 250_000
 
-# The word pattern of the vocabulary file's pre-tokenizer.
-ANY_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: The same for lower-case ASCII text.
+
+# White space; the letters and numbers that Unicode 16.0 adds to 15.1; and capitals of 16.0 and 17.0 with the
+# distance to their small letters.
+SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+NEW_LETTERS = """1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B-1138B 1138E-1138E 11390-113B5
+    113B7-113B7 113D1-113D1 113D3-113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF-18CFF 1E5D0-1E5ED 1E5F0-1E5F0"""
+NEW_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+NEW_CAPITALS = {
+    (0x1C89, 0x1C89): 1,
+    (0xA7CB, 0xA7CB): 0x264 - 0xA7CB,
+    (0xA7CC, 0xA7CC): 1,
+    (0xA7CE, 0xA7CE): 1,
+    (0xA7D2, 0xA7D2): 1,
+    (0xA7D4, 0xA7D4): 1,
+    (0xA7DA, 0xA7DA): 1,
+    (0xA7DC, 0xA7DC): 0x19B - 0xA7DC,
+    (0x10D50, 0x10D65): 0x20,
+    (0x16EA0, 0x16EB8): 0x1B,
+}
+SMALL = {c: c + d for (first, last), d in NEW_CAPITALS.items() for c in range(first, last + 1)}
+CAPITAL = re.compile("[" + "".join(map(chr, SMALL)) + "]")
+
+
+def code_points(kind: str, added: str) -> str:
+    """A character class's ranges: what ``added`` names, and what has a category that starts with ``kind`` in Unicode 15.1.
+
+    Letters are told by the Unicode version of the tokenizers library (16.0), whatever that of other packages is.
+    """
+    new = {c for r in added.split() for c in range(int(r.split("-")[0], 16), int(r.split("-")[1], 16) + 1)}
+    ranges: list[list[int]] = []
+    for c in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(c))[0] == kind or c in new:
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return "".join(rf"\U{a:08X}-\U{b:08X}" for a, b in ranges)
+
+
+@functools.lru_cache(maxsize=1)
+def any_words() -> re.Pattern:
+    """The word pattern of the vocabulary file's pre-tokenizer."""
+    letters, numbers = code_points("L", NEW_LETTERS), code_points("N", NEW_NUMBERS)
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{SPACES}{letters}{numbers}]+")
+
+
+def lowered(text: str) -> str:
+    """Lower case; the capital sigma alike in all places, not by its place in a word."""
+    text = text.replace("Σ", "σ").lower()
+    return text.translate(SMALL) if CAPITAL.search(text) else text
+
+
+# Fixed value: the word pattern of the vocabulary file's pre-tokenizer, for lower-case ASCII text.
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 
 
@@ -100,8 +150,7 @@ class WordPieces:
         if text.isascii():
             words = ASCII_WORDS.findall(text.lower())
         else:
-            # the capital sigma is lowered alike in all places, not by its place in a word
-            words = ANY_WORDS.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+            words = any_words().findall(lowered(unicodedata.normalize("NFC", text)))
         known = self.memory.get
         return b"".join([known(w) or self.word(w) for w in words])
 
