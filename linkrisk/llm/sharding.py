@@ -4,9 +4,11 @@ The key's generator state is carried as two 32-bit halves, so that the 64-bit mu
 The walk over buckets rises strictly, so ``shards`` steps always end it. With one shard more, a row either stays or goes
 into the new shard: it goes there exactly if the walk's next bucket is that shard.
 
-Slots: each shard is cut into ``cells`` cells by middle bits of the mixed key. Rows are counted per (shard, cell) with
-map-side partial sums, the counts are summed up to each cell's offset, and rows are numbered within their cell only. So no
-task holds a whole shard, and what is broadcast has at most ``shards * cells`` rows whatever the input.
+Slots: each shard is cut into ``cells`` cells by middle bits of the mixed key, and each cell into ``SUBCELLS`` by a hash of
+the row, so that a key of many rows fills no cell. Equal rows are counted with map-side sums and numbered as one row with a
+range of slots. Counts are summed up to each cell's offset, and rows are numbered within their cell only. So no task holds a
+whole shard or key, and what is broadcast has at most ``shards * cells * SUBCELLS`` rows whatever the input. At the end a
+range is dealt out in runs of at most ``RUN`` slots.
 """
 
 from __future__ import annotations
@@ -77,22 +79,28 @@ def assign(docs: DataFrame, shards: int, key: str = "doc_id") -> DataFrame:
     return at.withColumn("shard", shard).withColumn("grown_shard", grown).drop("_walk")
 
 
-def with_slots(rows: DataFrame, key: str, order: list[str], cells: int = 4096) -> DataFrame:
-    """``rows`` (with ``shard``) and ``slot``: 0, 1, 2, ... within each shard without a gap.
+SUBCELLS = 16
+RUN = 100_000
 
-    Rows are numbered by cell, then by ``order``. Rows that are equal in ``order`` may change places.
-    """
+
+def with_slots(rows: DataFrame, key: str, cells: int = 1024) -> DataFrame:
+    """``rows`` (narrow ones, with ``shard``) and ``slot``: 0, 1, 2, ... within each shard without a gap."""
+    columns = rows.columns
     hi, lo = following(F.shiftrightunsigned(key_of(rows, key), 32), low(key_of(rows, key)))
     middle = F.shiftright(lo, 20).bitwiseOR(F.shiftleft(hi.bitwiseAND(long(1)), 12))
-    celled = rows.withColumn("_cell", F.pmod(middle, long(cells)).cast("int"))
-    counts = celled.groupBy("shard", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    once = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    cell = F.pmod(middle, long(cells)) * SUBCELLS + F.pmod(F.xxhash64(*columns), long(SUBCELLS))
+    celled = once.withColumn("_cell", cell.cast("int"))
+    counts = celled.groupBy("shard", "_cell").agg(F.sum("_n").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "_cell", F.coalesce(F.sum("_n").over(before), long(0)).alias("_offset"))
-    inside = Window.partitionBy("shard", "_cell").orderBy(*order)
-    numbered = celled.withColumn("_row", F.row_number().over(inside))
-    # at most shards * cells rows are broadcast
-    joined = numbered.join(F.broadcast(offsets), ["shard", "_cell"])
-    return joined.withColumn("slot", F.col("_offset") + F.col("_row") - 1).drop("_cell", "_offset", "_row")
+    inside = Window.partitionBy("shard", "_cell").orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = celled.withColumn("_first", F.coalesce(F.sum("_n").over(inside), long(0)))
+    # at most shards * cells * SUBCELLS rows are broadcast
+    joined = numbered.join(F.broadcast(offsets), ["shard", "_cell"]).withColumn("_first", F.col("_offset") + F.col("_first"))
+    runs = joined.withColumn("_run", F.explode(F.sequence(long(0), F.floor((F.col("_n") - 1) / RUN))))
+    slots = F.sequence(F.col("_first") + F.col("_run") * RUN, F.col("_first") + F.least(F.col("_n"), (F.col("_run") + 1) * RUN) - 1)
+    return runs.withColumn("slot", F.explode(slots)).select(*columns, "slot")
 
 
 def digest(spark: SparkSession, docs: DataFrame, shards: int = 16) -> DataFrame:
@@ -107,5 +115,5 @@ def digest(spark: SparkSession, docs: DataFrame, shards: int = 16) -> DataFrame:
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
     )
-    rows = with_slots(assign(sized, shards), "doc_id", ["doc_id", "size", "text_crc32"])
+    rows = with_slots(assign(sized, shards), "doc_id")
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
