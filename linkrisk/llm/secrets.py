@@ -27,7 +27,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "signed_token", "pem_key", "der_key", "key_blob")
 
-TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: Tried once per run of token characters, and only where two more parts follow: linear in the text.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.)[A-Za-z0-9_-]*?(eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+)")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----((?:\s*+[A-Za-z][A-Za-z0-9-]*+:[^\n]*+\n)*+)([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
 #: What the header lines of an encrypted PEM block say; its body has no structure but whole cipher blocks.
 ENCRYPTED = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED\s+DEK-Info:\s*[A-Z0-9-]+,[0-9A-Fa-f]{16,}\s")
@@ -135,7 +136,7 @@ def confirmed_spans(text: str) -> list[Span]:
     """Spans whose decoded content has a key's structure."""
     spans = []
     if "eyJ" in text:
-        spans += [("signed_token", *m.span()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
+        spans += [("signed_token", *m.span(1)) for m in TOKEN.finditer(text) if is_signed_token(m[1])]
     if "PRIVATE KEY-----" in text:
         for m in PEM.finditer(text):
             data = unbase64(m[3])
@@ -200,7 +201,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", mask: str | N
 
 
 def redact(docs: DataFrame, mask: str = "[secret]", text: str = "text") -> DataFrame:
-    """``docs`` with each secret in ``text`` put out by ``mask``; all other columns as they are, null texts null."""
+    """``docs`` with each secret in ``text`` put out by ``mask``; all other columns as they are, null texts null.
+
+    Texts are scanned whole; repeated rows give repeated results; an empty table gives an empty one.
+    """
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

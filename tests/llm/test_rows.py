@@ -41,6 +41,16 @@ def test_bpe_agrees_with_the_tokenizers_library(spark):
     assert all(digests[i].decoded_sha256 == hashlib.sha256(got[i].decoded.encode()).hexdigest() for i in got)
 
 
+def test_bpe_of_every_code_point():
+    t = Tokenizer.from_file(bpe.default_vocabulary())
+    t.no_truncation()
+    made = bpe.pieces(bpe.read_vocabulary(bpe.default_vocabulary()))
+    texts = [f"a{chr(c)}b1 {chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not 0x20000 < c < 0xE0000 and not c > 0xF0000]
+    for k in range(0, len(texts), 50_000):
+        for text, e in zip(texts[k : k + 50_000], t.encode_batch(texts[k : k + 50_000], add_special_tokens=False), strict=True):
+            assert made.encode(text) == struct.pack(f"<{len(e.ids)}I", *e.ids), ascii(text)
+
+
 def test_bpe_decoding_alone(spark):
     rows = spark.createDataFrame([(1, struct.pack("<2I", 320, 49407)), (2, None)], "doc_id long, ids binary")
     t = Tokenizer.from_file(bpe.default_vocabulary())
@@ -71,6 +81,16 @@ def test_sharding(spark):
     assert sharding.digest(spark, df.limit(0)).count() == 0
 
 
+def test_slots_of_a_hot_key_and_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    rows = [(5, "same")] * 100 + [(5, f"other {i}") for i in range(300)] + [(None, "same")] * 30 + [(i, "x") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.digest(spark, df).collect()
+    assert sorted((str(r.doc_id), r.text_crc32) for r in got) == sorted((str(i), zlib.crc32(t.encode())) for i, t in rows)
+    for s in range(16):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 def der(tag, content):
     size = len(content)
     head = bytes([size]) if size < 128 else bytes([0x82, size >> 8, size & 255])
@@ -124,6 +144,19 @@ def test_encrypted_keys():
     assert not secrets.is_der_key(digest) and not secrets.confirmed_spans(pem("RSA ", bytes(range(159)), head))
 
 
+@pytest.mark.parametrize("text", ["eyJ" * 400_000, "eyJa." * 200_000, "eyJ" * 200_000 + ".a.b", "AKIA" * 300_000, "-----BEGIN PRIVATE KEY-----" * 20_000, "token" * 200_000, "a1" * 500_000])
+def test_long_runs_of_token_characters_take_linear_time(text):
+    began = time.process_time()
+    secrets.base_spans(text), secrets.confirmed_spans(text)
+    assert time.process_time() - began < 5
+
+
+def test_signed_tokens_next_to_other_characters():
+    token = ".".join(base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=") for x in ({"alg": "HS256"}, {"sub": "1"})) + ".c2ln"
+    for before, after in (("", ""), ("x", " y"), ("a.b.", "."), ("=", "\n"), ("aaa.", "")):
+        assert secrets.confirmed_spans(before + token + after)[0] == ("signed_token", len(before), len(before) + len(token))
+
+
 def test_secrets_are_redacted_in_place(spark):
     df = docs(spark, ["token=abcdefgh1", None, "clean"])
     rows = secrets.redact(df).orderBy("doc_id").collect()
