@@ -8,7 +8,8 @@ word position on the prefix shingles, applies the positional and length bounds o
 
 Texts are never shuffled: both passes hash shingles as the words are read and look them up in a broadcast table. That table
 comes from the benchmark alone; it is counted first and sent in blocks of at most ``BLOCK`` windows, so what is broadcast
-has a bound and a larger benchmark takes more passes. Only counts, hits and one row per document are shuffled, by keys with
+has a bound and a larger benchmark takes more passes. A block is cut by hash and words, so a prefix that many windows share is
+split too. Only counts, hits and one row per document are shuffled, by keys with
 map-side combination.
 """
 
@@ -21,8 +22,8 @@ from linkrisk.llm.common import ascii_lower, written
 
 WINDOW = 13
 SHINGLE = 4
-#: Most rows of one broadcast table.
-BLOCK = 100_000
+#: Most rows of one broadcast table (each at most a window of 13 words: about 100 MB).
+BLOCK = 500_000
 #: A document is contaminated if hit words are at least one in so many.
 SHARE = 20
 
@@ -73,10 +74,10 @@ def positions(docs: DataFrame, grams: list[int], lookup: DataFrame, sentinel: bo
     return rows.join(F.broadcast(lookup), met, "left").where("at < 0 or hash is not null")
 
 
-def blocks(rows: DataFrame, column: str, block: int) -> list[DataFrame]:
-    """``rows`` cut by a hash of ``column`` into parts of about ``block`` rows (one part at least)."""
+def blocks(rows: DataFrame, columns: list[str], block: int) -> list[DataFrame]:
+    """``rows`` cut by a hash of ``columns`` into parts of about ``block`` rows (one part at least)."""
     n = max(1, -(-rows.count() // block))
-    return [rows.where(F.pmod(F.xxhash64(column), F.lit(n)) == i) for i in range(n)]
+    return [rows.where(F.pmod(F.xxhash64(*columns), F.lit(n)) == i) for i in range(n)]
 
 
 def prefixes(docs: DataFrame, items: DataFrame, window: int, shingle: int, block: int) -> DataFrame:
@@ -85,7 +86,7 @@ def prefixes(docs: DataFrame, items: DataFrame, window: int, shingle: int, block
     grams = [r.grams for r in made.select("grams").distinct().orderBy("grams").collect()]  # at most ``shingle`` numbers
     known = made.select(F.explode("hashes").alias("hash")).distinct()
     counts = None
-    for part in blocks(known, "hash", block):
+    for part in blocks(known, ["hash"], block):
         found = positions(docs, grams, part, sentinel=False).groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
         counts = found if counts is None else counts.unionByName(found)
     each = made.withColumn("window", F.xxhash64("item_id", "words")).select("window", "item_id", "size", "words", F.posexplode("hashes").alias("before", "hash"))
@@ -107,7 +108,7 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int =
     """
     chosen, grams = prefixes(docs, items, window, shingle, block)
     fits = "at >= before and at - before + size <= size(w) and slice(w, at - before + 1, size) = words"
-    parts = [positions(docs, grams, part, i == 0, fits) for i, part in enumerate(blocks(chosen, "hash", block))]
+    parts = [positions(docs, grams, part, i == 0, fits) for i, part in enumerate(blocks(chosen, ["hash", "item_id", "words"], block))]
     found = None
     for part in parts:
         rows = part.select(
