@@ -17,12 +17,15 @@ The plan:
    for each of 2 to 4 cells per element, which tells whether the cell holds an odd number of elements. Two sketches differ
    in at most as many bits as the sets have differences.
 2. Signatures are counted with map-side sums; those of one class only are dropped. What is left are memberships of buckets.
-3. Each class is paired with the smallest class of each of its buckets: as many pairs as memberships at most, and few
-   different ones within a group of near copies. Pairs whose sizes and sketches allow a link are verified on the sets.
-   Links give components.
-4. Buckets with classes of several components are left. In them all pairs across components are compared by size and
-   sketch, block by block, and those that may link are verified. So no link between different components is missed, while
-   large groups of near copies cost one pass, not all pairs. Large buckets are dealt over many tasks by pairs of blocks.
+3. Each class is paired with the class of most memberships in each of its buckets: as many pairs as memberships at most,
+   and few different ones within a group of near copies. Pairs whose sizes and sketches allow a link are verified on the
+   sets. Links give components.
+4. Buckets with classes of several components are left. In them classes of different components are compared by size and
+   sketch, block by block; large buckets are dealt over many tasks by pairs of blocks. Of those that may link, each class
+   proposes its nearest few, which are verified. While some class has had more than those, this is done anew with the
+   components that have grown together meanwhile; where none grew, with more proposals of each class. It ends when each
+   class has proposed all it has, so no link between different components is missed, while large groups of near copies cost
+   a few passes, not all pairs.
 
 Each table is written to the shared folder, and dropped when its readers are written.
 """
@@ -50,6 +53,8 @@ BROADCAST_ROWS = 2_000_000
 REMEMBERED_WORDS = 100_000
 #: Rows whose signatures a worker holds at once.
 ROWS = 1000
+#: How many pairs a class proposes in a block at first; what it has beyond those is left to the next round.
+NEAREST = 24
 #: Bits of the smallest and largest sketch.
 LEAST_BITS, MOST_BITS = 64, 1 << 16
 
@@ -320,11 +325,12 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield held, np.array([0, held.num_rows])
 
 
-def across(rows: DataFrame, scheme: PartEnum, block: int) -> DataFrame:
+def across(rows: DataFrame, scheme: PartEnum, block: int, nearest: int) -> DataFrame:
     """Pairs (a, b) of classes of different components in one bucket whose sizes and sketches allow a link.
 
     ``rows``: sig, m (members of the bucket), cls, component, n, sketch. A bucket of more than ``block`` members is cut into
     blocks by a hash; each block meets itself (side 0) and each other block (as left, 1, or right, 2) in a task of its own.
+    Each class gives its ``nearest`` pairs in a block; ``more`` tells whether it had others.
     """
     cut = rows.withColumn("blocks", F.expr(f"cast(ceil(m / {block}) as int)")).withColumn("own", F.expr("pmod(hash(cls, 3), blocks)"))
     at = """transform(sequence(0, blocks - 1), c -> named_struct('i', least(c, own), 'j', greatest(c, own),
@@ -333,11 +339,14 @@ def across(rows: DataFrame, scheme: PartEnum, block: int) -> DataFrame:
     dealt = cut.select("sig", "at.i", "at.j", "at.side", "cls", "component", "n", "sketch").repartition("sig", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: dict[tuple[int, int], bool] = {}
         for table, starts in whole_groups(batches, ["sig", "i", "j"]):
             cls, comp, n, side = (table[c].to_numpy() for c in ("cls", "component", "n", "side"))
             sketches = table["sketch"].to_pylist()
             n = n.astype(np.int64)
-            found = [np.empty((2, 0), np.int64)]
+            if len(given) > REMEMBERED_WORDS:
+                yield batch_of(given)
+                given = {}
             for start, stop in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 if stop - start < 2 or (comp[start:stop] == comp[start]).all():
                     continue
@@ -349,16 +358,27 @@ def across(rows: DataFrame, scheme: PartEnum, block: int) -> DataFrame:
                     j = j[(j > i) | (place[j] != 0) | (place[i] != 0)]
                     low, high = np.minimum(size[j], size[i]), np.maximum(size[j], size[i])
                     j = j[low * scheme.den >= high * scheme.num]
-                    if len(j):
-                        apart = np.bitwise_count(words[j] ^ words[i]).sum(axis=1, dtype=np.int64)
-                        j = j[apart <= (size[j] + size[i]) * (scheme.den - scheme.num) // (scheme.den + scheme.num)]
-                    if len(j):
-                        a, b = cls[start + i], cls[start + j]
-                        found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return dealt.sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a long, b long").distinct()
+                    if not len(j):
+                        continue
+                    apart = np.bitwise_count(words[j] ^ words[i]).sum(axis=1, dtype=np.int64)
+                    fits = apart <= (size[j] + size[i]) * (scheme.den - scheme.num) // (scheme.den + scheme.num)
+                    j, apart = j[fits], apart[fits]
+                    more = len(j) > nearest
+                    if more:
+                        j = j[np.lexsort((cls[start + j], apart))[:nearest]]
+                    a = int(cls[start + i])
+                    for b in cls[start + j].tolist():
+                        pair = (a, b) if a < b else (b, a)
+                        given[pair] = given.get(pair, False) or more
+        yield batch_of(given)
+
+    def batch_of(given: dict[tuple[int, int], bool]) -> pa.RecordBatch:
+        pairs = np.array(list(given), np.int64).reshape(-1, 2)
+        columns = [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(list(given.values()), pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "more"])
+
+    found = dealt.sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a long, b long, more boolean")
+    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, block: int = BLOCK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -386,36 +406,59 @@ def join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, block: i
     members = scratch.keep(flat.join(smaller(shared, broadcast_rows), "sig", "left_semi").distinct(), "members")
     scratch.drop(made, shared)
 
-    # each class with the smallest one of each of its buckets
-    smallest = scratch.keep(members.groupBy("sig").agg(F.min("cls").alias("a")), "smallest")
-    pairs = members.join(smaller(smallest, broadcast_rows), "sig").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
-    pairs = scratch.keep(promising(pairs, classes, scheme), "pairs")
-    scratch.drop(smallest)
-    sets = scratch.keep(sets_of(pairs, classes, docs, size, broadcast_rows), "sets")
-    links = scratch.keep(verified(pairs, sets, scheme), "links")
-    scratch.drop(sets)
-    labels = components(links, scratch)
-
-    # what is left: pairs across components
-    state = scratch.keep(classes.select("cls").join(labels.toDF("cls", "component"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("component")), "state")
-    placed = scratch.keep(members.join(smaller(state, broadcast_rows), "cls"), "placed")
-    scratch.drop(members, labels)
-    mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"))
-    mixed = scratch.keep(mixed.where("lo <> hi").select("sig", "m"), "mixed")
-    rest = placed.join(smaller(mixed, broadcast_rows), "sig").join(classes.select("cls", "n", "sketch"), "cls")
-    new = scratch.keep(across(rest, scheme, block).join(pairs, ["a", "b"], "left_anti"), "across")
-    scratch.drop(placed, mixed, pairs)
-    sets = scratch.keep(sets_of(new, classes, docs, size, broadcast_rows), "sets")
-    more = scratch.keep(verified(new, sets, scheme), "links")
-    scratch.drop(sets, new)
-    labels = components(links.unionByName(more), scratch)
+    # each class with the one of most memberships in each of its buckets
+    degrees = members.groupBy("cls").agg(F.count(F.lit(1)).alias("degree"))
+    ranked = members.join(smaller(scratch.keep(degrees, "degrees"), broadcast_rows), "cls")
+    centres = scratch.keep(ranked.groupBy("sig").agg(F.max(F.struct("degree", "cls")).alias("top")).select("sig", F.col("top.cls").alias("centre")), "centres")
+    pairs = members.join(smaller(centres, broadcast_rows), "sig").where("cls <> centre")
+    pairs = pairs.select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
+    tested = scratch.keep(promising(pairs, classes, scheme), "pairs")
+    scratch.drop(centres)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        sets = scratch.keep(sets_of(pairs, classes, docs, size, broadcast_rows), "sets")
+        links = scratch.keep(verified(pairs, sets, scheme), "links")
+        scratch.drop(sets)
+        return links
+
+    def merged(state: DataFrame, links: DataFrame) -> DataFrame:
+        """Each class's component once the links are added."""
+        left, right = state.toDF("a", "a_in"), state.toDF("b", "b_in")
+        between = links.join(left, "a").join(right, "b").select(F.col("a_in").alias("a"), F.col("b_in").alias("b")).distinct()
+        labels = components(scratch.keep(between, "between"), scratch)
+        new = state.join(labels.toDF("component", "to"), "component", "left").select("cls", F.coalesce("to", "component").alias("component"))
+        new = scratch.keep(new, "state")
+        scratch.drop(labels)
+        return new
+
+    state = scratch.keep(classes.select("cls", F.col("cls").alias("component")), "state")
+    state = merged(state, linked(tested))
+
+    # pairs across components
+    nearest = NEAREST
+    while True:
+        placed = members.select("sig", "cls").join(smaller(state, broadcast_rows), "cls")
+        mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"))
+        mixed = scratch.keep(mixed.where("lo <> hi").select("sig", "m"), "mixed")
+        rest = scratch.keep(placed.join(smaller(mixed, broadcast_rows), "sig"), "rest")
+        scratch.drop(members, mixed)
+        members = rest
+        found = scratch.keep(across(rest.join(classes.select("cls", "n", "sketch"), "cls"), scheme, block, nearest), "across")
+        new = scratch.keep(found.join(tested, ["a", "b"], "left_anti").select("a", "b"), "pairs")
+        links = linked(new)
+        grown = not links.isEmpty()
+        if grown:
+            state = merged(state, links)
+        if found.where("more").isEmpty():
+            break
+        nearest = NEAREST if grown else nearest * 8
+        tested = scratch.keep(tested.unionByName(new), "tested")
 
     # a component's smallest doc_id
-    named = classes.select("cls", "rep").join(labels.toDF("cls", "component"), "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
-    named = scratch.keep(named, "named")
+    named = scratch.keep(classes.select("cls", "rep").join(state, "cls"), "named")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     least = scratch.keep(named.join(least, "component").select("cls", "component_id"), "components")
-    scratch.drop(classes, links, more, state, labels, named)
+    scratch.drop_but(rows, least)
     out = rows.join(least, "cls", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

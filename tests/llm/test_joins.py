@@ -1,6 +1,8 @@
 """Operators 3 and 10 against brute force and on edge cases."""
 
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -10,12 +12,12 @@ from linkrisk.llm.components import components
 
 
 def brute_topk(rows, k=10, every=100):
-    good = [(i, np.floor(1024 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    good = [(i, [math.floor(1024 * Fraction(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for a, (i, v) in enumerate(good):
         if i % every == 0:
-            scored = sorted((-int(v @ w), j) for b, (j, w) in enumerate(good) if b != a and len(w) == len(v))[:k]
-            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
+            scored = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), j) for b, (j, w) in enumerate(good) if b != a and len(w) == len(v))[:k]
+            out += [(i, r + 1, j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, j) in enumerate(scored)]
     return sorted(out)
 
 
@@ -29,11 +31,20 @@ def test_topk_with_blocks_ties_and_bad_vectors(spark):
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8) * rng.choice([0.01, 1, 30])]) for i in range(400)]
     rows += [(i, [1.0] * 8) for i in range(400, 460)]
     rows += [(1000, None), (1100, [float("nan")] * 8), (1200, [float("inf")] * 8), (1300, []), (None, [1.0] * 8), (1400, [0.0] * 8), (1500, [1.0, 2.0]), (1501, [1.0, 3.0])]
-    rows += [(1600, [None] * 8)]
+    rows += [(1600, [None] * 8), (1700, []), (1701, []), (400, [1.0] * 8), (400, [2.0] * 8), *[(500, [3.0] * 8)] * 3]
     assert run_topk(spark, rows) == brute_topk(rows)
     assert run_topk(spark, rows, block=37, query_block=2) == brute_topk(rows)
 
 
+@pytest.mark.parametrize("scale", [1e3, 1e6, 1e9, 1e15, 1e30])
+def test_topk_of_large_components(spark, scale):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6) * rng.choice([1, 1, scale])]) for i in range(230)]
+    rows += [(300, rows[0][1]), (301, [-x for x in rows[100][1]])]
+    assert run_topk(spark, rows) == brute_topk(rows)
+    assert run_topk(spark, rows, block=50) == brute_topk(rows)
+
+
 def test_topk_small_tables(spark):
     assert run_topk(spark, []) == [] and run_topk(spark, [(100, [1.0])]) == []
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5])]
@@ -98,6 +109,16 @@ def test_join_of_near_copies(spark):
     assert run_join(spark, docs, size=5, num=80) == brute_join(docs, 5, 80)
 
 
+@pytest.mark.parametrize("nearest", [1, 3])
+def test_join_of_large_groups_of_near_copies(spark, monkeypatch, nearest):
+    monkeypatch.setattr(jaccard, "NEAREST", nearest)
+    rng = random.Random(17)
+    base = " ".join(f"v{i}" for i in range(60))
+    # most of them are linked with some of the others only, and some with none
+    docs = [(i, edited(rng, base, rng.choice([1, 1, 2, 2, 3]))) for i in range(250)] + [(1000 + i, f"v0 v1 v2 v3 w{i} " + base[12:]) for i in range(5)]
+    assert run_join(spark, docs) == brute_join(docs)
+
+
 def test_join_of_repeated_rows_and_empty_tables(spark):
     docs = [(1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e"), (3, None), (3, None)]
     assert run_join(spark, docs) == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3), (3, 0, 3)]
@@ -145,8 +166,8 @@ def test_a_bucket_of_fifty_thousand_classes(spark):
     planted = [np.unique(np.r_[x[1:], np.uint64(k)]) for k, x in enumerate(sets[:100])]
     rows = [(7, 50_000, k, k, len(x), jaccard.sketch(x)) for k, x in enumerate([*sets, *planted])]
     df = spark.createDataFrame(rows, "sig long, m long, cls long, component long, n int, sketch binary").repartition(8)
-    found = {tuple(r) for r in jaccard.across(df, scheme, jaccard.BLOCK).collect()}
-    assert {(k, 49_900 + k) for k in range(100)} <= found and len(found) < 1000
+    found = {(r.a, r.b): r.more for r in jaccard.across(df, scheme, jaccard.BLOCK, 3).collect()}
+    assert {(k, 49_900 + k) for k in range(100)} <= set(found) and len(found) < 1000 and not any(found.values())
 
 
 def test_components_of_a_long_chain_and_a_hub(spark):
