@@ -1,6 +1,6 @@
 """Operator 3: exact top-k search with an impact-ordered, score-at-a-time index.
 
-Vectors of whole numbers are dealt into blocks by a hash of their id. In each block every dimension has a posting list; its
+Vectors of whole numbers are dealt into blocks by a hash of the row. In each block every dimension has a posting list; its
 entries are grouped into segments by quantised impact (the component's magnitude in steps). Queries come in blocks too.
 A task holds one block of each and processes the segments by descending impact for all its queries at once, adding
 query weight times quantised impact to the accumulators. After each impact level, what a vector's score can still change by
@@ -8,9 +8,13 @@ is bounded in two ways: by the level's impact times the query's sum of weights,
 vector. When these bounds prove that few vectors can still be among the k best (or no level is left), those possible
 members, and no others, are scored exactly. So results are exact at whatever level the processing stops.
 
-Vectors and queries are paired block by block: a task holds at most about ``BLOCK`` vectors and ``QUERY_BLOCK`` queries. Each
-pair of blocks gives at most k rows for a query, and those are merged by a window per query, which Spark limits to k rows
-before the shuffle.
+The proof needs accumulators that do not round, which 53 bits allow as long as dimensions times the largest magnitude squared
+is below ``EXACT``. A pair of blocks with larger magnitudes is scored outright, in 64-bit or, beyond those, unbounded whole
+numbers.
+
+Equal rows are one row with a number of copies, by map-side counts, so a hot id or vector fills no block. Vectors and queries
+are paired block by block: a task holds at most about ``BLOCK`` vectors and ``QUERY_BLOCK`` queries. Each pair of blocks
+gives at most k rows for a query, and those are merged by a window per query, which Spark limits to k rows before the shuffle.
 """
 
 from __future__ import annotations
@@ -27,16 +31,39 @@ BLOCK = 4096
 QUERY_BLOCK = 256
 #: Magnitudes are quantised in so many levels between 0 and the block's largest.
 LEVELS = 64
-#: Components are held within this magnitude, so that the product of 64 dimensions fits 64 bits.
-LARGEST = 1 << 28
+#: Below this, sums of products are whole numbers that a double holds.
+EXACT = 1 << 51
+LONGEST = (1 << 63) - 1
+#: Added to scores that a long cannot hold, so that their digits sort; such scores have fewer digits.
+SHIFT = 10**640
 
 
-def whole(vector: Column) -> Column:
-    """floor(1024 * x) of each component; null for a vector that is null, empty or holds null or non-finite components."""
+def usable(vector: Column) -> Column:
+    """The vector as doubles; null for one that is null or holds null or non-finite components."""
     as_double = F.transform(vector, lambda x: x.cast("double"))
     bad = F.exists(as_double, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    ints = F.transform(as_double, lambda x: F.floor(F.greatest(F.lit(-LARGEST / 1024), F.least(F.lit(LARGEST / 1024), x)) * 1024).cast("int"))
-    return F.when((F.size(vector) > 0) & ~bad, ints)
+    return F.when(vector.isNotNull() & ~bad, as_double)
+
+
+def whole(vectors: list, dims: int) -> np.ndarray:
+    """floor(1024 * x) of each component: as doubles where they hold it exactly, else as Python's whole numbers."""
+    x = np.array([np.asarray(v, float) for v in vectors], float).reshape(len(vectors), dims)
+    with np.errstate(over="ignore"):
+        out = np.floor(1024 * x)
+    if np.isfinite(out).all():
+        return out
+    return np.array([1024 * int(v) if abs(v) >= EXACT else int(np.floor(1024 * v)) for v in x.flat], object).reshape(x.shape)
+
+
+def exact_product(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """The vectors' inner products with a query, in whole numbers wide enough."""
+    if not vectors.shape[1] or not len(vectors):
+        return np.zeros(len(vectors), np.int64)
+    largest = vectors.shape[1] * max(abs(int(vectors.max())), abs(int(vectors.min()))) * max(abs(int(query.max())), abs(int(query.min())))
+    if largest <= LONGEST:
+        return vectors.astype(np.int64) @ query.astype(np.int64)
+    as_int = np.frompyfunc(int, 1, 1)
+    return as_int(vectors) @ as_int(query)
 
 
 class ImpactIndex:
@@ -44,27 +71,32 @@ class ImpactIndex:
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        magnitude = np.abs(vectors)
-        self.step = max(1, int(magnitude.max(initial=0)) // LEVELS + 1)
-        level = magnitude // self.step
-        self.segments: list[tuple[int, list[tuple[int, np.ndarray]]]] = []
-        for at in range(int(level.max(initial=0)), 0, -1):
-            lists = [(j, np.flatnonzero(level[:, j] == at)) for j in range(vectors.shape[1])]
-            self.segments.append((at, [(j, ids) for j, ids in lists if len(ids)]))
-
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query, rows, scores) of all rows that can be among the query's k best. own: the query's own row here, or -1."""
+        self.largest = int(np.abs(vectors).max(initial=0))
+        if self.provable(self.largest):
+            magnitude = np.abs(vectors).astype(np.int64)
+            self.step = max(1, self.largest // LEVELS + 1)
+            level = magnitude // self.step
+            self.segments: list[tuple[int, list[tuple[int, np.ndarray]]]] = []
+            for at in range(int(level.max(initial=0)), 0, -1):
+                lists = [(j, np.flatnonzero(level[:, j] == at)) for j in range(vectors.shape[1])]
+                self.segments.append((at, [(j, ids) for j, ids in lists if len(ids)]))
+
+    def provable(self, largest: int) -> bool:
+        """Whether sums of products up to this magnitude do not round."""
+        return max(1, self.vectors.shape[1]) * max(self.largest, largest) ** 2 < EXACT
+
+    def possible(self, queries: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+        """For each row and query whether the row can be among the query's k best. own: the query's own row here, or -1."""
         n = len(self.vectors)
         sums = np.zeros((n, len(queries)))
-        weights = queries.T.astype(float)
-        left = (self.vectors.astype(float) ** 2).sum(axis=1)
-        l1, l2 = np.abs(queries).sum(axis=1).astype(float), np.sqrt((queries.astype(float) ** 2).sum(axis=1))
+        weights = queries.T
+        left = (self.vectors**2).sum(axis=1)
+        l1, l2 = np.abs(queries).sum(axis=1), np.sqrt((queries**2).sum(axis=1))
         mine = np.flatnonzero(own >= 0)
-        possible = None
         few = max(4 * k, n // 64)
         for i, (level, segment) in enumerate(self.segments):
             for j, ids in segment:
-                values = self.vectors[ids, j].astype(float)
+                values = self.vectors[ids, j]
                 impact = np.sign(values) * (level * self.step)
                 sums[ids] += impact[:, None] * weights[j]
                 left[ids] += (values - impact) ** 2 - values**2
@@ -72,20 +104,31 @@ class ImpactIndex:
             # far from the end the bounds are wide, so they are tried seldom
             if not ending and level & (level - 1) and level > 4:
                 continue
-            # entries of this level and above are off by less than a step, all others lie below this level
+            # entries of this level and above are off by less than a step, all others lie below this level; sums are exact,
+            # and roots and products of less than 2^51 are off by less than 1
             bound = np.minimum(level * self.step * l1, np.sqrt(np.maximum(left, 0))[:, None] * l2) + 1
             lower = sums - bound
             lower[own[mine], mine] = -np.inf
-            threshold = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(queries), -np.inf)
-            possible = sums + bound >= threshold
+            best = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(queries), -np.inf)
+            possible = sums + bound >= best
             if ending or possible.sum() <= few * len(queries):
-                break
-        if possible is None:
-            possible = np.ones_like(sums, bool)
-        possible[own[mine], mine] = False
+                return possible
+        return np.ones_like(sums, bool)
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, rows, scores) of all rows that can be among the query's k best."""
+        if self.provable(int(np.abs(queries).max(initial=0))):
+            possible = self.possible(queries, own, k)
+            mine = np.flatnonzero(own >= 0)
+            possible[own[mine], mine] = True  # for its copies
+        else:
+            possible = np.ones((len(self.vectors), len(queries)), bool)
         for q in range(len(queries)):
             rows = np.flatnonzero(possible[:, q])
-            yield q, rows, self.vectors[rows].astype(np.int64) @ queries[q].astype(np.int64)
+            yield q, rows, exact_product(self.vectors[rows], queries[q])
+
+
+FOUND = "row long, query_id long, query_copies long, vec_id long, score long, digits string"
 
 
 def best_of_pair(k: int):
@@ -94,14 +137,25 @@ def best_of_pair(k: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
-            vectors, queries = np.array(left["v"].tolist(), np.int64), np.array(right["v"].tolist(), np.int64)
-            ids = left["vec_id"].to_numpy()
+            dims = int(left["dims"].iat[0])
+            ids, copies = left["vec_id"].tolist(), left["copies"].tolist()
             place = {x: i for i, x in enumerate(left["row"].tolist())}
             own = np.array([place.get(x, -1) for x in right["row"].tolist()])
-            for q, rows, scores in ImpactIndex(vectors).search(queries, own, k):
-                best = np.lexsort((ids[rows], -scores))[:k]
-                found.append(pd.DataFrame({"row": right["row"].iat[q], "query_id": right["vec_id"].iat[q], "vec_id": ids[rows[best]], "score": scores[best]}))
-        return pd.concat(found) if found else pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
+            queries = list(zip(right["row"], right["vec_id"], right["copies"], strict=True))
+            index = ImpactIndex(whole(left["v"].tolist(), dims))
+            for q, rows, scores in index.search(whole(right["v"].tolist(), dims), own, k):
+                ranked = sorted(zip((-scores).tolist(), (ids[r] for r in rows), rows.tolist(), strict=True))
+                least, room = [], k
+                for negative, vec_id, r in ranked:
+                    if room <= 0:
+                        break
+                    again = min(room, copies[r] - (r == own[q]))
+                    room -= again
+                    score = -negative
+                    held = max(-LONGEST - 1, min(LONGEST, score))
+                    least += [(*queries[q], vec_id, held, None if held == score else f"{SHIFT + score:0641d}")] * again
+                found += least
+        return pd.DataFrame(found, columns=[c.split()[0] for c in FOUND.split(", ")])
 
     return run
 
@@ -110,16 +164,17 @@ def search(vectors: DataFrame, k: int = K, every: int = 100, key: str = "vec_id"
     """query_id, rank (from 1), vec_id, score: the k best other rows of each row whose id is divisible by ``every``.
 
     Scores are inner products of floor(1024 * x); ties go to the smaller id, and between repeated ids to either row. Rows
-    whose id is null, or whose vector is null, empty or holds null or non-finite components, take no part; vectors of
-    different length are not compared. Components beyond +-2^28 / 1024 count as that. A query with fewer than k other rows
-    gets those. A row that repeats a query's id is a candidate of its own (the query's own row is told by its place).
+    whose id is null, or whose vector is null or holds null or non-finite components, take no part; vectors of different
+    length are not compared, and empty ones score 0 with each other. Rows are ranked by exact scores of any size; a score
+    that a long cannot hold is given as the largest or smallest long. A query with fewer than k other rows gets those. A row
+    that repeats a query's id, or the whole row, is a candidate of its own and, if a query, has results of its own.
     """
-    rows = vectors.select(vectors[key].cast("long").alias("vec_id"), whole(vectors[vector]).alias("v")).where("vec_id is not null and v is not null")
-    # copies of one id are told apart by their number among rows with that id
-    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.hash("v"))))
-    rows = rows.withColumn("row", F.xxhash64("vec_id", "copy")).drop("copy").withColumn("dims", F.size("v"))
+    rows = vectors.select(vectors[key].cast("long").alias("vec_id"), usable(vectors[vector]).alias("v")).where("vec_id is not null and v is not null")
+    rows = rows.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("copies"))
+    rows = rows.withColumn("row", F.xxhash64("vec_id", "v")).withColumn("dims", F.size("v"))
     queries = rows.where(F.col("vec_id") % every == 0)
-    sizes = rows.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0)).first()
+    ids = vectors.select(vectors[key].cast("long").alias("vec_id"))
+    sizes = ids.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0)).first()
     n_blocks, n_query_blocks = -(-max(1, sizes[0]) // block), -(-max(1, sizes[1]) // query_block)
     left = rows.withColumn("b", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(n_blocks))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
     right = queries.withColumn("q", F.pmod(F.xxhash64("row", F.lit(2)), F.lit(n_query_blocks)).cast("int")).withColumn(
@@ -127,9 +182,10 @@ def search(vectors: DataFrame, k: int = K, every: int = 100, key: str = "vec_id"
     )
     keys = ["dims", "b", "q"]
     pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys))
-    found = pairs.applyInPandas(best_of_pair(k), "row long, query_id long, vec_id long, score long")
-    order = Window.partitionBy("row", "query_id").orderBy(F.desc("score"), "vec_id")
+    found = pairs.applyInPandas(best_of_pair(k), FOUND)
+    order = Window.partitionBy("row", "query_id").orderBy(F.desc("score"), F.desc("digits"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = ranked.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("query_copies"))))
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -140,9 +196,9 @@ def digest(spark: SparkSession, vectors: DataFrame) -> DataFrame:
 ORACLE = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) e from embeddings
-  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
-  select q.vec_id query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) as bigint) score
+  select q.vec_id query_id, c.vec_id, cast(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])), 0) as bigint) score
   from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0)
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
 from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10
