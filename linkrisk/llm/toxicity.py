@@ -79,7 +79,7 @@ def negation() -> Arcs:
     special: Arcs = {(q, NEGATION): (str(REACH), NEGATION, 1.0) for q in states}
     for n in range(1, REACH + 1):
         special[str(n), INSULT] = (str(n - 1), DENIED, NEGATED)
-        special[str(n), THREATEN] = (str(n - 1), OTHER, 1.0)
+        special[str(n), THREATEN] = (str(n - 1), OTHER, 0.0)
     return transducer(states, special, {str(n): str(max(0, n - 1)) for n in range(REACH + 1)})
 
 

@@ -1,12 +1,15 @@
 """Operators 5 and 6: held-out accuracy on invented texts, edge cases; and the pipeline against its rules."""
 
+import hashlib
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from linkrisk.llm import labelled, quality, toxicity
+from linkrisk.llm import bpe, labelled, quality, secrets, toxicity
 
 
 def corpus(spark, n=400):
@@ -117,7 +120,7 @@ def test_toxicity_learns_rare_cues_and_words_that_start_like_harmless_ones(spark
 
 def test_grammar():
     g = toxicity.Grammar({"moron": 4.0, "lowei": 4.0})
-    lone, aimed, denied, told, heaped = (g.score(x) for x in ("a moron", "you moron", "you are not a moron", "she claimed a moron", "moron and loweisch"))
+    lone, aimed, denied, told, heaped = (g.score(x) for x in ("a moron", "you moron", "you are not a moron", "Anna claimed a moron", "moron and loweisch"))
     base = g.score("fine text")
     assert heaped > aimed > 0.5 > lone > told > denied > base
     assert g.score("moron") < 0.5 < g.score("moron. A thing. lowei") and g.score("this moron") > 0.5
@@ -178,3 +181,84 @@ def test_pipeline(spark, tmp_path):
     clean = spark.read.parquet(f"{tmp_path}/secrets").where("doc_id = 903").first()
     assert clean.text.startswith("[secret] k0") and clean.n_chars == len(clean.text)
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(str, at.collect()))
+
+
+def brute_stages(docs, model, items, vocabulary):
+    """The pipeline's rows by plain loops: (doc_id, n_tokens, decoded checksum) of what stays."""
+    rows = [r for r in docs if model(r[1]) >= 0.7]
+    sets = []
+    for _, text in rows:
+        w = (text or "").encode().lower().split()
+        n = min(5, len(w))
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set())
+    parent = list(range(len(rows)))
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), d), d)
+    rows = [r for i, r in enumerate(rows) if least[root(i)] == r[0]]
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    split = lambda t: word.findall((t or "").translate(lower))
+    windows = {tuple(w[i : i + min(13, len(w))]) for t in items for w in [split(t)] if w for i in range(len(w) - min(13, len(w)) + 1)}
+
+    def contaminated(text):
+        w, hit = split(text), set()
+        for x in windows:
+            hit |= {k for i in range(len(w) - len(x) + 1) if tuple(w[i : i + len(x)]) == x for k in range(i, i + len(x))}
+        return bool(hit) and 20 * len(hit) >= len(w)
+
+    out = []
+    for d, text in rows:
+        if not contaminated(text):
+            content = text or ""
+            spans = secrets.ordered(secrets.base_spans(content) + secrets.confirmed_spans(content))
+            e = vocabulary.encode(secrets.redacted(content, spans, "[secret]"), add_special_tokens=False)
+            out.append((d, len(e.ids), hashlib.sha256(vocabulary.decode(e.ids, skip_special_tokens=False).encode()).hexdigest()))
+    return sorted(out)
+
+
+def test_pipeline_equals_brute_force_on_clashing_columns_and_odd_rows(spark, tmp_path):
+    rng = random.Random(12)
+    docs, labels = corpus(spark, 160)
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None][:-1]
+    base = [f"t{rng.randrange(900)}" for _ in range(60)]
+    items = [" ".join(f"b{i}" for i in range(30)), "short item here", None, ""]
+    rows += [(900, " ".join(base)), (901, " ".join([*base[:-1], "other"])), (902, items[0]), (903, f"{items[1]} " + " ".join(f"k{i}" for i in range(20)))]
+    rows += [(904, f"{items[1]} " + " ".join(f"k{i}" for i in range(200))), (905, "password: hunter2hunter2 " + " ".join(f"m{i}" for i in range(30)))]
+    rows += [(906, "long " + " ".join(f"z{rng.randrange(5000)}" for _ in range(20_000))), (907, " ".join(base)), (904, f"{items[1]} " + " ".join(f"k{i}" for i in range(200)))]
+    named = spark.createDataFrame([(d, t, "en", "s", len(t or ""), 1, 2, 3) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, text_hash int, _doc_id int, dropped_doc_id int")
+    named.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.doc_id, r.n_tokens, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    weights = quality.fit(named, labels).astype("<f4")
+
+    def model(text):
+        ids, values = quality.features(text)
+        return quality.sigmoid(float(values @ weights[ids]))
+
+    vocabulary = Tokenizer.from_file(bpe.default_vocabulary())
+    vocabulary.no_truncation()
+    assert got == brute_stages(rows, model, items, vocabulary)
+    empty = named.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, str(tmp_path))
+        assert out.count() == 0
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, named, str(tmp_path)).columns == named.columns
+
+
+def test_labels_that_repeat(spark):
+    docs, labels = corpus(spark, 100)
+    again = labels.unionByName(labels).unionByName(spark.createDataFrame([(0, None, None), (None, 1, 1), (10**9, 1, 1)], labels.schema))
+    assert np.array_equal(quality.fit(docs, labels), quality.fit(docs, again))
+    assert toxicity.fit(docs, labels).cues == toxicity.fit(docs, again).cues
