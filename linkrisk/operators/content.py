@@ -12,6 +12,7 @@ from linkrisk.dims import SETTINGS, Settings
 from linkrisk.functions import html, urls
 from linkrisk.functions.shared import written
 from linkrisk.operators.domain import Brands, is_trusted
+from linkrisk.sources.captures import newest
 
 EMPTY = "cast(array() as array<string>)"
 # Why a page was not analysed.
@@ -142,8 +143,9 @@ def fetched_pages(df: DataFrame, pages: DataFrame, dns: DataFrame | None = None,
 
     Captures meet the distinct URLs first, so a page is sent once however many rows ask for it.
     """
-    one = pages.dropDuplicates(["url"])
-    wanted = df.select(F.col(url).alias("url")).where("url is not null").distinct().join(one.drop("page_id"), "url", "left")
+    asked = df.select(F.col(url).alias("url")).where("url is not null").distinct()
+    one = newest(pages.join(asked, "url", "left_semi"), "url")
+    wanted = asked.join(one.drop("page_id", "fetched_at"), "url", "left")
     blocked = None
     if dns is not None:
         from linkrisk.operators.redirects import unsafe_hosts
@@ -176,7 +178,7 @@ def analyse(
     got = got.withColumn("_queue", ok & wants_rendering(F.col("content_score"), F.col("features"), settings))
     if rendered is not None:
         queue = got.where("_queue").select("url")
-        forms = rendered.where("error is null").dropDuplicates(["url"]).join(queue, "url", "left_semi").select("url", "html")
+        forms = newest(rendered.where("error is null").join(queue, "url", "left_semi"), "url").select("url", "html")
         forms = html.features(forms, "html", "url", "rendered")
         got = got.join(forms, "url", "left").withColumn("rendered_used", F.col("rendered").isNotNull())
         got = got.withColumn("features", F.when(F.col("rendered_used"), html.merged(F.col("features"), F.col("rendered"))).otherwise(F.col("features"))).drop("rendered")
@@ -186,7 +188,7 @@ def analyse(
         got = got.withColumn("rendered_used", F.lit(False))
     out = rows.select(F.col(url).alias("url"), "upstream_signals").distinct().join(got, "url", "left")
     if ai is not None:
-        answers = ai.dropDuplicates(["url"]).select("url", ai_answer(F.col("raw")).alias("_ai"))
+        answers = newest(ai, "url").select("url", ai_answer(F.col("raw")).alias("_ai"))
         out = out.join(answers, "url", "left")
     else:
         out = out.withColumn("_ai", F.lit(None).cast(AI))

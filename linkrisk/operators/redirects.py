@@ -36,8 +36,15 @@ def answers(hops: DataFrame) -> DataFrame:
 
 
 def unsafe_hosts(dns: DataFrame) -> DataFrame:
-    """(host, blocked): whether any address that a host resolves to is local."""
-    return dns.groupBy("host").agg(F.bool_or(urls.is_local_ipv4(F.col("ip")) | ~F.col("ip").rlike(urls.IPV4)).alias("blocked"))
+    """(host, blocked): whether any address that a host resolves to is local or no address at all.
+
+    Only rows with a colon go through the IPv6 helper.
+    """
+    ip = F.col("ip")
+    colon = F.coalesce(ip.contains(":"), F.lit(False))
+    old = dns.where(~colon).select("host", F.coalesce(urls.is_local_ipv4(ip) | ~ip.rlike(urls.IPV4), F.lit(True)).alias("bad"))
+    new = dns.where(colon).select("host", (F.coalesce(urls.ipv6_class(ip), F.lit("local")) == "local").alias("bad"))
+    return old.unionByName(new).groupBy("host").agg(F.bool_or("bad").alias("blocked"))
 
 
 def preferred(rows: DataFrame, hops: DataFrame, added: str = "scheme_was_added", url: str = "url") -> DataFrame:

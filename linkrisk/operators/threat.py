@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkrisk.functions import urls
+from linkrisk.sources.captures import newest
 
 ENTRY = ["id", "url", "host", "match_key", "threat", "tags", "url_status", "date_added", "last_online", "urlhaus_link", "reporter"]
 
@@ -110,7 +111,7 @@ def safe_browsing(pairs: DataFrame, captures: DataFrame) -> DataFrame:
 
     URLs without capture are unchecked. The error is the first one, and only where nothing was checked.
     """
-    one = captures.dropDuplicates(["url"])
+    one = newest(captures, "url")
     rows = pairs.select("final_url", "original_url").distinct()
     both = rows.select("*", F.posexplode(F.array_distinct(F.array_compact(F.array("final_url", "original_url")))).alias("pos", "url"))
     met = both.join(one, "url", "left")

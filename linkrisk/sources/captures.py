@@ -22,12 +22,23 @@ def read_capture(spark: SparkSession, kind: str, path: str, form: str = "parquet
     return spark.read.schema(SCHEMAS[kind]).format(form).load(path)
 
 
-def write_verdicts(rows: DataFrame, path: str) -> None:
-    """Both arms in one table, by status and verdict."""
+def newest(rows: DataFrame, key: str) -> DataFrame:
+    """One row per key: the last by ``fetched_at`` where there is such a column, else, and among equal times, by a hash of the row.
+
+    The choice does not depend on the order of rows. Only keys and hashes are grouped, not the rows' contents.
+    """
+    order = [F.col("fetched_at")] if "fetched_at" in rows.columns else []
+    marked = rows.withColumn("_order", F.struct(*[c.alias(f"t{i}") for i, c in enumerate(order)], F.xxhash64(*rows.columns).alias("hash")))
+    last = marked.groupBy(key).agg(F.max("_order").alias("_order"))
+    return marked.join(last, [key, "_order"], "left_semi").dropDuplicates([key]).select(rows.columns)
+
+
+def write_verdicts(rows: DataFrame, path: str, batch: str) -> None:
+    """Both arms in one table, by batch, status and verdict; a batch that is written again replaces its own rows."""
     parts = rows.withColumn("verdict_part", F.coalesce("verdict", F.lit("none")))
-    parts.write.mode("append").partitionBy("status", "verdict_part").parquet(path)
+    parts.write.mode("overwrite").partitionBy("status", "verdict_part").parquet(f"{path}/batch={batch}")
 
 
-def write_callbacks(rows: DataFrame, document, path: str) -> None:
-    """One JSON document a row; ``document`` is a Column."""
-    rows.select(document.alias("value")).write.mode("append").text(path)
+def write_callbacks(rows: DataFrame, document, path: str, batch: str) -> None:
+    """One JSON document a row, by batch; ``document`` is a Column. A batch that is written again replaces its own rows."""
+    rows.select(document.alias("value")).write.mode("overwrite").text(f"{path}/batch={batch}")

@@ -43,12 +43,14 @@ def current_version(spark: SparkSession, root: str) -> tuple[int, DataFrame]:
     return max(found), spark.read.schema(SNAPSHOT).parquet(f"{root}/version={max(found)}")
 
 
-def refresh_stream(spark: SparkSession, landing: str, root: str, stats: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+def refresh_stream(spark: SparkSession, landing: str, root: str, stats: str, checkpoint: str, every: str | None = None, rejected: str | None = None) -> StreamingQuery:
     """Upserts feed files, one file a batch in order of arrival, into versions of the snapshot under ``root``.
 
     Each batch writes a new version and its statistics by batch id; a failed batch leaves earlier versions as they are. A
-    batch that is run again starts from the version before it.
+    batch that is run again starts from the version before it. Rows that fail are put aside, as they came, in ``rejected``
+    (``stats`` with "-rejected" if not given) by batch id.
     """
+    aside = rejected or f"{stats.rstrip('/')}-rejected"
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(landing)
 
     def write(batch: DataFrame, number: int) -> None:
@@ -60,6 +62,8 @@ def refresh_stream(spark: SparkSession, landing: str, root: str, stats: str, che
         new, counts = threat.upsert(old, feed)
         new.write.mode("overwrite").parquet(f"{root}/version={number}")
         counts.write.mode("overwrite").parquet(f"{stats}/batch={number}")
+        bad = threat.entries(feed).where("failed").select("line_no")
+        feed.join(bad, "line_no", "left_semi").write.mode("overwrite").parquet(f"{aside}/batch={number}")
 
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
@@ -78,9 +82,12 @@ def deliver(rows: DataFrame, send: Callable[[DataFrame], DataFrame], out: str, d
     ``send`` takes and returns rows with a boolean ``delivered``. Both tables are written by batch number, so a batch that is
     run again replaces its own rows.
     """
-    left = rows
+    left, kept = rows, []
     for attempt in range(tries):
         done = send(left).persist()
         done.where("delivered").drop("delivered").write.mode("overwrite").parquet(f"{out}/batch={number}/try={attempt}")
+        kept.append(done)
         left = done.where("not delivered").drop("delivered")
     left.write.mode("overwrite").parquet(f"{dead}/batch={number}")
+    for done in kept:
+        done.unpersist()
