@@ -294,7 +294,7 @@ def score_urls(
     facts = facts.withColumn("chain_error", F.col("error")).withColumn("error", F.when(F.col("failed_at_stage").isNotNull(), F.col("content_reason")))
     facts = facts.withColumn("verdict", F.when(F.col("status") == "succeeded", F.col("verdict"))).withColumn("score", F.when(F.col("status") == "succeeded", F.col("score")))
     facts = facts.withColumn("summary", F.when(F.col("status") == "succeeded", summary())).withColumn("reasons", F.when(F.col("status") == "succeeded", reasons()))
-    facts = facts.drop("_done", "gone", "status_code", "fetch_error", "start", "upgraded", "scheme_was_added")
-    out = good.drop("failure").join(facts, "normalized_url")
+    facts = facts.drop("_done", "gone", "status_code", "fetch_error", "start", "upgraded")
+    out = good.drop("failure").join(facts, ["normalized_url", "scheme_was_added"])
     invalid = failed.select("analysis_id", "original_url", "scheme_was_added", F.lit("failed").alias("status"), F.lit("normalize").alias("failed_at_stage"), F.col("failure").alias("error"))
     return out.unionByName(invalid, allowMissingColumns=True)

@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from linkrisk.functions import html, urls
 from linkrisk.functions.shared import written
 from linkrisk.operators import content, domain, metrics, redirects, threat, verdict
-from linkrisk.plans import oracles
+from linkrisk.plans import oracles, verdict_sql
 from linkrisk.plans.fixtures import NOW, fixture
+from linkrisk.sources.feed import parse_feed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = oracles.ORACLES
+ORACLES: dict[str, str] = oracles.ORACLES | verdict_sql.ORACLES
 
 
 def query(function: Query) -> Query:
@@ -85,7 +86,7 @@ def u01_u09_normalize_url(spark, d):
 
 @query
 def u03_split_url(spark, d):
-    rows = requests(spark, d).where("v <> 9").withColumn("p", urls.split_url(urls.with_scheme(urls.cleaned(F.col("url")))))
+    rows = requests(spark, d).withColumn("p", urls.split_url(urls.with_scheme(urls.cleaned(F.col("url")))))
     return rows.select("analysis_id", "p.scheme", "p.userinfo", "p.host", "p.port_text", "p.path", "p.params", "p.query", "p.fragment")
 
 
@@ -137,6 +138,13 @@ def u18_address_tests(spark, d):
     return rows.select("host", urls.is_ip(h).alias("is_ip"), urls.is_local_ipv4(h).alias("is_local"), urls.is_blocked_host(h).alias("is_blocked"))
 
 
+@query
+def u18_ipv6_addresses(spark, d):
+    """The class of each IPv6 address; "" for what is none."""
+    rows = fixture(spark, d, "addresses").select("address").distinct()
+    return rows.select("address", F.coalesce(urls.ipv6_class(F.col("address")), F.lit("")).alias("kind"))
+
+
 @query
 def u20_domain_changed(spark, d):
     known = redirects.answers(hops(spark, d)).where("raw_location is not null")
@@ -198,6 +206,13 @@ def s02_f01_f10_feed_entries(spark, d):
     return rows.select("line_no", "id", "url", "host", "match_key", "threat", F.array_join(threat.tag_list(F.col("tags")), "|").alias("tags"), "url_status", "date_added", "last_online", "failed")
 
 
+@query
+def s02_feed_lines(spark, d):
+    """A feed file's lines as rows."""
+    rows = parse_feed(fixture(spark, d, "feed_lines").select("line_no", "value"))
+    return rows.select("line_no", "id", "dateadded", "url", "url_status", "last_online", "threat", "tags", "urlhaus_link", "reporter", "short")
+
+
 @query
 def w01_feed_latest(spark, d):
     return threat.latest(threat.entries(fixture(spark, d, "feed")).where("not failed")).select("id", "url", "url_status")

@@ -19,7 +19,7 @@ select cast(page_id as string) || '-' || cast(v as string) as analysis_id, page_
   when 0 then url
   when 1 then 'HTTP://' || upper(host) || ':80/Path#frag'
   when 2 then host || '/path'
-  when 3 then 'https://google.com@' || host || '/session'
+  when 3 then 'https://account.help@' || host || '/session'
   when 4 then 'https://' || host || '//a/./b/../c'
   when 5 then 'https://' || host || '/%7Euser/%2fx%41?q=%61'
   when 6 then 'https://' || host || '/p;%7eq?x=1#f'
@@ -28,9 +28,9 @@ select cast(page_id as string) || '-' || cast(v as string) as analysis_id, page_
   when 9 then '   '
   when 10 then 'http://192.168.' || cast(page_id % 256 as string) || '.1/login'
   when 11 then 'http://[::1]/x'
-  when 12 then 'https://naverr.com/' || cast(page_id as string)
+  when 12 then 'https://nnaver.com/' || cast(page_id as string)
   when 13 then 'https://paypal.xyz/login?id=' || cast(page_id as string)
-  when 14 then 'https://amazon-clone-' || cast(page_id as string) || '.vercel.app/login'
+  when 14 then 'https://ebay-outlet-' || cast(page_id as string) || '.vercel.app/login'
   when 15 then 'https://bit.ly/' || cast(page_id as string)
   when 16 then 'https://' || host || '/go?url=https%3A%2F%2Fevil.test%2F' || cast(page_id as string)
   when 17 then 'https://' || host || '/go?next=https://' || host || '/x'
@@ -38,7 +38,7 @@ select cast(page_id as string) || '-' || cast(v as string) as analysis_id, page_
   when 19 then 'https://' || translate(md5(cast(page_id as string)), '0123456789', 'ghjkmnpqrs') || '.com/'
   when 20 then 'https://a.b.c.d.' || host || '/'
   when 21 then 'https://login-secure-auth-' || cast(page_id as string) || '.com/verify'
-  when 22 then 'https://xn--nver-9na.com/' || cast(page_id as string)
+  when 22 then 'https://xn--rger-0ra.net/' || cast(page_id as string)
   else 'https://github.com/u' || cast(page_id % 50 as string) || '/r' || cast(page_id % 7 as string) || '/raw/x.sh' end as url
 from (select page_id, url, regexp_extract(url, '://([^/?#]+)', 1) as host, EACH(24) as v from pages) t""",
     # the first batch of the threat feed; every fiftieth id comes again, later
@@ -82,7 +82,19 @@ union all select distinct 'https://' || host || '/path', 'HEAD', cast(200 as int
     "dns": """
 select distinct host, ip from (
   select regexp_extract(url, '://([^/?#:]+)', 1) as host, '93.184.216.34' as ip from pages
+  union all select regexp_extract(url, '://([^/?#:]+)', 1), '2606:4700::' || cast(page_id % 1000 as string) from pages where page_id % 3 = 0
+  union all select regexp_extract(url, '://([^/?#:]+)', 1), 'fd00::' || cast(page_id % 1000 as string) from pages where page_id % 40 = 9
   union all select regexp_extract(url, '://([^/?#:]+)', 1), '10.0.0.1' from pages where page_id % 40 = 7) t""",
+    # addresses of the sixth version
+    "addresses": """
+select distinct case v when 0 then '::1' when 1 then 'fe80::' || n when 2 then 'fd12:3456::' || n when 3 then '2001:db8::' || n when 4 then '2606:4700::' || n when 5 then '::ffff:10.0.0.' || cast(page_id % 256 as string)
+  when 6 then 'ff0e::' || n when 7 then '2A00:1450:4001::' || n when 8 then n || ':zz::1' else '::' end as address, v
+from (select page_id, cast(page_id % 10000 as string) as n, EACH(10) as v from pages) t""",
+    # lines of a feed file: quoted fields, comments, blank, short and over-long lines
+    "feed_lines": '''
+select page_id * 8 + v as line_no, v, case v when 0 then '# ' || url when 1 then '' when 2 then '"' || k || '","2024-01-02 03:04:05"' when 3 then k || ',a,' || url || ',online,b,c,"x,y",d,e,f,g'
+  when 4 then '"' || k || '", "t", "' || url || '", "online", "", "say ""hi""", "exe, ""emotet""", "l", "r"' when 5 then k || ',a,,offline,,,,,' when 6 then '"' || k || '","t","' || url || '","online","N/A","m","a,b","l","r"' else ' # no comment' end as value,
+  k, url from (select page_id, cast(page_id as string) as k, regexp_replace(url, '[",]', '') as url, EACH(8) as v from pages) t''',
     "safe_browsing": """
 select u as url, page_id % 13 <> 0 as checked, case when page_id % 13 = 0 then 'timeout' end as error,
   case when page_id % 17 = 0 then 'MALWARE' end as threat_type from (select page_id, regexp_replace(url, '#.*$', '') as u from site) t""",
@@ -100,7 +112,7 @@ select page_id, regexp_replace(url, '#.*$', '') as url, cast(case page_id % 19 w
   case when page_id % 19 = 3 then 'application/pdf' else 'text/html; charset=utf-8' end as content_type,
   cast(case when page_id % 19 = 4 then 3000000 end as bigint) as content_length,
   case page_id % 12 when 11 then '<html><head><title>app</title></head><body><div id="root"></div></body></html>' else replace(html, '</article>', case page_id % 12
-    when 1 then '<form action="https://collector.test/login"><input name="id"><input type="password" name="pw"></form></article>'
+    when 1 then '<form action="https://inbox9.test/login"><input name="id"><input type="password" name="pw"></form></article>'
     when 2 then '<form action="/login"><input type="password" name="pw"></form></article>'
     when 3 then '<img src="l.png" alt="NAVER"></article>'
     when 4 then '<meta http-equiv="refresh" content="0; url=https://evil.test/x"></article>'

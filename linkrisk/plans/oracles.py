@@ -223,7 +223,7 @@ ends as (select * from walk qualify row_number() over (partition by st, upgraded
 
 ORACLES: dict[str, str] = {
     "u01_u09_normalize_url": f"{NORM} select analysis_id, original original_url, normalized normalized_url, added scheme_was_added, failure from norm",
-    "u03_split_url": f"{NORM} select analysis_id, scheme, userinfo, case when contains(netloc, '[') then '::1' else host end host, case when contains(netloc, '[') then null else port_text end port_text, path, params, query, fragment from parts where v <> 9",
+    "u03_split_url": f"{NORM} select analysis_id, scheme, userinfo, case when contains(netloc, '[') then '::1' else host end host, case when contains(netloc, '[') then null else port_text end port_text, path, params, query, fragment from parts",
     "u10_domain_parts": f"{FACTS} select analysis_id, subdomain, domain, suffix, registered from facts",
     "u12_https_variant": f"{FACTS} select analysis_id, case when scheme = 'http' then 'https' || substr(url, 5) end https_url from facts",
     "u13_url_variants": f"{FACTS}{VARIANTS} select analysis_id, array_to_string(l, '|') variants from good join variant using (url)",
@@ -247,7 +247,7 @@ from (select flags.*, age, coalesce(age < 30, false) young from flags left join
 (select * from batch union all by name select * from snap where id not in (select id from batch)) qualify row_number() over (partition by url order by id desc) = 1""",
     "a02_sync_stats": f"{FEED_BASE}{NEXT} select (select count(*) from batch where id not in (select id from snap)) inserted, (select count(*) from batch where id in (select id from snap)) updated, (select count(*) from entry2) total, (select count(*) from entry2 where failed) failed",
     "j01_j03_list_lookup": f"{FEED_BASE}{LOOKUP} select url, is_threat, match_type, matched_key, threat, {_TAGS} tags, urlhaus_link from found",
-    "j04_a06_safe_browsing": f"{FACTS}{GSB.replace(', safe_browsing', ', safe_browsing', 1)}{_GSB} select final_url, original_url, gsb_checked, gsb_threat, coalesce(types, '') gsb_types, case when not gsb_checked then err end gsb_error from answer",
+    "j04_a06_safe_browsing": f"{FACTS}{GSB}{_GSB} select final_url, original_url, gsb_checked, gsb_threat, coalesce(types, '') gsb_types, case when not gsb_checked then err end gsb_error from answer",
     "j05_a04_x01_merged_lists": f"""{FEED_BASE}{GSB}{_GSB}{LOOKUP.replace("from good)", "from good union select distinct regexp_replace(url, '[?].*$', ''), " + _KEY.replace("url", "regexp_replace(url, '[?].*$', '')") + " from good)", 0)}
 , everyone as (select distinct url from good union select original_url from pair)
 , v2 as (select url, regexp_extract(url, '^(https?|ftp)', 1) s, regexp_replace(url, '^[a-z]+://([^/?#]*)([^?#]*).*$', '\\1') n, regexp_replace(url, '^[a-z]+://([^/?#]*)([^?#]*).*$', '\\2') p, regexp_extract(url, '([?].*)$', 1) q from everyone)
@@ -282,5 +282,5 @@ array_to_string(signals || case when alive then ['max_hops_reached'] else [] end
     "p01_w05_f11_unavailable": f"""{WALK}, u as (select st, error, cast(regexp_extract(list_last(list_filter(hops, lambda h: cast(split_part(h, ' ', 2) as int) >= 400)), ' ([0-9]+) ', 1) as varchar) code from ends)
 select st as "start", case when code = '404' then '페이지를 찾을 수 없습니다.' when code like '4%' then '페이지 요청이 거부되었거나 찾을 수 없습니다.' when code like '5%' then '대상 서버 오류로 페이지를 확인할 수 없습니다.' else '페이지 응답 시간이 초과되었습니다.' end message,
   try_cast(nullif(code, '') as int) status_code from u where nullif(code, '') is not null or error = 'timeout'""",
-    "j09_unblocked_requests": f"{FACTS}, {duck('dns').removeprefix('with ')} select analysis_id, url from facts where not (regexp_matches(host, '^(10|127|192[.]168)[.][0-9.]+$')) and host not in (select host from dns where ip like '10.%')",
+    "j09_unblocked_requests": f"{FACTS}, {duck('dns').removeprefix('with ')} select analysis_id, url from facts where not (regexp_matches(host, '^(10|127|192[.]168)[.][0-9.]+$')) and host not in (select host from dns where regexp_matches(ip, '^(10[.]|fd)'))",
 }
