@@ -9,8 +9,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Spark's setting by which the shuffle files of a query go when it ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Held while a table is written: a query's shuffle files are deleted when it ends, not when the driver collects its garbage,
+#: and batches between Spark and Python workers are small, which bounds what a worker holds at once.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,17 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Within it, a query's shuffle files are deleted when the query ends, not when the driver collects its garbage."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def settings_held(spark: SparkSession) -> Iterator[None]:
+    """Within it ``SETTINGS`` hold; the session's own come back after it."""
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v.removesuffix("b"))
 
 
 class Scratch:
@@ -55,7 +58,7 @@ class Scratch:
         """``df`` written as Parquet and read again."""
         self.count += 1
         place = f"{self.path}/{self.count}-{name}"
-        with shuffles_dropped(self.spark):
+        with settings_held(self.spark):
             df.write.parquet(place)
         out = self.spark.read.schema(df.schema).parquet(place)
         self.places[id(out)] = place, out

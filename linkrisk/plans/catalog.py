@@ -42,7 +42,7 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
 def normal(spark: SparkSession, d: str) -> DataFrame:
     """(analysis_id, url) of the requests that normalise."""
     rows = urls.normalised(requests(spark, d)).where("norm.failure is null")
-    return rows.select("analysis_id", F.col("norm.normalized_url").alias("url"))
+    return written(rows.select("analysis_id", F.col("norm.normalized_url").alias("url")), "normal")
 
 
 def with_host(df: DataFrame) -> DataFrame:
@@ -260,7 +260,7 @@ def j05_a04_x01_merged_lists(spark, d):
 def starts(spark, d):
     rows = urls.normalised(requests(spark, d)).where("norm.failure is null")
     rows = rows.select(F.col("norm.normalized_url").alias("url"), F.col("norm.scheme_was_added").alias("scheme_was_added")).distinct()
-    return redirects.preferred(rows, hops(spark, d))
+    return redirects.preferred(written(rows, "starts"), hops(spark, d))
 
 
 @query

@@ -173,4 +173,6 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = re.sub(r"[{}]", lambda m: m[0] * 2, text)
     for table in used:
         text = re.sub(rf"((?:from|join)) {table}\b", rf"\1 {{{table}}}", text)
-    return spark.sql(text.replace("\\", "\\\\"), **used) if used else spark.sql(text)
+    rows = spark.sql(text.replace("\\", "\\\\"), **used) if used else spark.sql(text)
+    # a page becomes many rows, but the given files have few parts
+    return rows.repartition(spark.sparkContext.defaultParallelism) if "EACH(24)" in RULES[name] else rows
