@@ -116,7 +116,9 @@ def rule_pattern(identifiers: tuple[str, ...]) -> str:
 
 def normalised(text: Column) -> Column:
     """Lower-case words with single spaces; a line break within a paragraph is one newline, each end of a sentence or paragraph an E."""
-    ended = F.regexp_replace(F.lower(text), r"[.!?;:](?=[ \t\r\n]|\z)", "E")
+    # "v. 2.0" ends no sentence
+    numbered = F.regexp_replace(F.lower(text), r"\bv[.](?=[ \t\r\n]+[0-9])", "v")
+    ended = F.regexp_replace(numbered, r"[.!?;:](?=[ \t\r\n]|\z)", "E")
     words = F.regexp_replace(F.regexp_replace(ended, r"[^a-z0-9E\n]+", " "), r" ?\n ?", "\n")
     return F.trim(F.regexp_replace(words, r"[ \n]*(?:E|\n\n)[ \nE]*", "E"))
 
@@ -192,7 +194,7 @@ def oracle() -> str:
     return rf"""
 with known(s, id) as (values {known}),
 rule(name, kind, pattern) as (values {rules}),
-doc as (select row_number() over () r, doc_id, coalesce(text, '') text from documents),
+doc as (select row_number() over () r, doc_id, regexp_replace(coalesce(text, ''), '\b([Vv])[.]([ \t\r\n]+[0-9])', '\1\2', 'g') text from documents),
 part as (select r, unnest(string_split_regex(regexp_replace(text, '([.!?;:])[ \t\r]+', '\1' || chr(10), 'g'), '\n+')) s, generate_subscripts(string_split_regex(regexp_replace(text, '([.!?;:])[ \t\r]+', '\1' || chr(10), 'g'), '\n+'), 1) i from doc),
 hit as (select r, i, id from part join known on trim(regexp_replace(lower(part.s), '[^a-z0-9]+', ' ', 'g')) = known.s),
 line as (select r, count(*) n, string_agg(id, ' ' order by i) seq, string_agg(' ' || id || ' ', '' order by i) line from hit group by r),

@@ -324,3 +324,32 @@ def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x</p>", "z"), (1, "u", "<p>x</p>", "z"), (None, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted(map(str, html_text.extract(pages).collect())) == sorted(map(str, [*[__import__("pyspark").sql.Row(page_id=1, url="u", text="x", n_chars=1)] * 2, __import__("pyspark").sql.Row(page_id=None, url=None, text="", n_chars=0)]))
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+LGPL = """This library is free software: you can redistribute it and/or modify
+it under the terms of the GNU Lesser General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+APACHE_NOTICE = """Copyright 2020 The Authors
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+BSD_2 = BSD.split("\n3. ")[0] + "\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"."
+
+
+@pytest.mark.parametrize("wrap", [True, False])
+def test_licences_of_standard_notices(spark, wrap):
+    cases = {LGPL: "LGPL-3.0", MPL: "MPL-2.0", APACHE_NOTICE: "Apache-2.0", BSD_2: "BSD-2-Clause", APACHE_NOTICE + "\n\n" + MPL: "Apache-2.0,MPL-2.0"}
+    texts = [t if wrap else "\n\n".join(" ".join(p.split()) for p in t.split("\n\n")) for t in cases]
+    got = {r.doc_id: r.licences for r in licences.scan(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
