@@ -22,10 +22,10 @@ The plan:
    sets. Links give components.
 4. Buckets with classes of several components are left. In them classes of different components are compared by size and
    sketch, block by block; large buckets are dealt over many tasks by pairs of blocks. Of those that may link, each class
-   proposes its nearest few, which are verified. While some class has had more than those, this is done anew with the
-   components that have grown together meanwhile; where none grew, with more proposals of each class. It ends when each
-   class has proposed all it has, so no link between different components is missed, while large groups of near copies cost
-   a few passes, not all pairs.
+   proposes its nearest few, which are verified. Buckets in which some class has had more than those are gone through anew,
+   with the components that have grown together meanwhile; where none grew, with more proposals of each class. It ends when
+   each class has proposed all it has, so no link between different components is missed, while large groups of near copies
+   cost a few passes, not all pairs.
 
 Each table is written to the shared folder, and dropped when its readers are written.
 """
@@ -326,11 +326,11 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
 
 
 def across(rows: DataFrame, scheme: PartEnum, block: int, nearest: int) -> DataFrame:
-    """Pairs (a, b) of classes of different components in one bucket whose sizes and sketches allow a link.
+    """Pairs (a, b) of classes of different components in one bucket whose sizes and sketches allow a link, and unfinished buckets.
 
     ``rows``: sig, m (members of the bucket), cls, component, n, sketch. A bucket of more than ``block`` members is cut into
     blocks by a hash; each block meets itself (side 0) and each other block (as left, 1, or right, 2) in a task of its own.
-    Each class gives its ``nearest`` pairs in a block; ``more`` tells whether it had others.
+    Each class gives its ``nearest`` pairs in a block. Where some class had others, a row gives the bucket (``sig``, else null).
     """
     cut = rows.withColumn("blocks", F.expr(f"cast(ceil(m / {block}) as int)")).withColumn("own", F.expr("pmod(hash(cls, 3), blocks)"))
     at = """transform(sequence(0, blocks - 1), c -> named_struct('i', least(c, own), 'j', greatest(c, own),
@@ -339,14 +339,15 @@ def across(rows: DataFrame, scheme: PartEnum, block: int, nearest: int) -> DataF
     dealt = cut.select("sig", "at.i", "at.j", "at.side", "cls", "component", "n", "sketch").repartition("sig", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given: dict[tuple[int, int], bool] = {}
+        given: set[tuple[int, int]] = set()
+        unfinished: set[int] = set()
         for table, starts in whole_groups(batches, ["sig", "i", "j"]):
-            cls, comp, n, side = (table[c].to_numpy() for c in ("cls", "component", "n", "side"))
+            sig, cls, comp, n, side = (table[c].to_numpy() for c in ("sig", "cls", "component", "n", "side"))
             sketches = table["sketch"].to_pylist()
             n = n.astype(np.int64)
             if len(given) > REMEMBERED_WORDS:
-                yield batch_of(given)
-                given = {}
+                yield batch_of(given, unfinished)
+                given, unfinished = set(), set()
             for start, stop in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 if stop - start < 2 or (comp[start:stop] == comp[start]).all():
                     continue
@@ -363,22 +364,19 @@ def across(rows: DataFrame, scheme: PartEnum, block: int, nearest: int) -> DataF
                     apart = np.bitwise_count(words[j] ^ words[i]).sum(axis=1, dtype=np.int64)
                     fits = apart <= (size[j] + size[i]) * (scheme.den - scheme.num) // (scheme.den + scheme.num)
                     j, apart = j[fits], apart[fits]
-                    more = len(j) > nearest
-                    if more:
+                    if len(j) > nearest:
+                        unfinished.add(int(sig[start]))
                         j = j[np.lexsort((cls[start + j], apart))[:nearest]]
                     a = int(cls[start + i])
-                    for b in cls[start + j].tolist():
-                        pair = (a, b) if a < b else (b, a)
-                        given[pair] = given.get(pair, False) or more
-        yield batch_of(given)
+                    given.update((a, b) if a < b else (b, a) for b in cls[start + j].tolist())
+        yield batch_of(given, unfinished)
 
-    def batch_of(given: dict[tuple[int, int], bool]) -> pa.RecordBatch:
-        pairs = np.array(list(given), np.int64).reshape(-1, 2)
-        columns = [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(list(given.values()), pa.bool_())]
-        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "more"])
+    def batch_of(given: set[tuple[int, int]], unfinished: set[int]) -> pa.RecordBatch:
+        none = [None] * len(unfinished)
+        columns = [[a for a, _ in given] + none, [b for _, b in given] + none, [None] * len(given) + list(unfinished)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "sig"])
 
-    found = dealt.sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a long, b long, more boolean")
-    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
+    return dealt.sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a long, b long, sig long").distinct()
 
 
 def join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, block: int = BLOCK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -442,15 +440,17 @@ def join(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, block: i
         mixed = scratch.keep(mixed.where("lo <> hi").select("sig", "m"), "mixed")
         rest = scratch.keep(placed.join(smaller(mixed, broadcast_rows), "sig"), "rest")
         scratch.drop(members, mixed)
-        members = rest
         found = scratch.keep(across(rest.join(classes.select("cls", "n", "sketch"), "cls"), scheme, block, nearest), "across")
-        new = scratch.keep(found.join(tested, ["a", "b"], "left_anti").select("a", "b"), "pairs")
+        new = scratch.keep(found.where("sig is null").select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
         links = linked(new)
         grown = not links.isEmpty()
         if grown:
             state = merged(state, links)
-        if found.where("more").isEmpty():
+        unfinished = found.where("sig is not null").select("sig")
+        if unfinished.isEmpty():
             break
+        members = scratch.keep(rest.select("sig", "cls").join(smaller(unfinished, broadcast_rows), "sig", "left_semi"), "members")
+        scratch.drop(rest)
         nearest = NEAREST if grown else nearest * 8
         tested = scratch.keep(tested.unionByName(new), "tested")
 

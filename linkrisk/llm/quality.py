@@ -26,7 +26,7 @@ BITS = 20
 #: Most labelled rows of each class that the model is fitted on.
 PER_CLASS = 2500
 #: Most bytes of the sample's features that the driver holds at once.
-FIT_BYTES = 64 << 20
+FIT_BYTES = 16 << 20
 EPOCHS = 5
 REMEMBERED_WORDS = 100_000
 HELD_OUT = 2
