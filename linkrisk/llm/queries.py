@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkrisk.llm import bpe, decontamination, html_text, jaccard, licences, quality, secrets, sharding, topk, toxicity
+from linkrisk.llm import bpe, clustering, decontamination, html_text, jaccard, licences, mixing, quality, secrets, sharding, topk, toxicity, whitening
 from linkrisk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,9 @@ QUERIES: dict[str, Query] = {
     "op7_bpe": lambda spark, sf_dir: bpe.digest(spark, table(spark, sf_dir, "documents")),
     "op8_shards": lambda spark, sf_dir: sharding.digest(spark, table(spark, sf_dir, "documents")),
     "op9_secrets": lambda spark, sf_dir: secrets.digest(spark, table(spark, sf_dir, "documents")),
+    "op11_clusters": lambda spark, sf_dir: clustering.digest(spark, table(spark, sf_dir, "embeddings")),
+    "op12_whitening": lambda spark, sf_dir: whitening.digest(spark, table(spark, sf_dir, "embeddings")),
+    "op13_mixing": lambda spark, sf_dir: mixing.digest(spark, table(spark, sf_dir, "documents")),
 }
 
 ORACLES: dict[str, str] = {
@@ -29,4 +32,6 @@ ORACLES: dict[str, str] = {
     "op2_licences": licences.oracle(),
     "op3_topk": topk.ORACLE,
     "op10_jaccard": jaccard.ORACLE,
+    "op11_clusters": clustering.ORACLE,
+    "op13_mixing": mixing.ORACLE,
 }
