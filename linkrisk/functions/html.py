@@ -1,14 +1,15 @@
 """Page features: one vectorised helper reads HTML to an element array, the features are expressions on that array.
 
-Contract of the helper: tags as the standard library's tokenizer sees them; void elements have no content; ``p``, ``li``,
+Contract of the helper: tags as ``markup`` finds them; void elements have no content; ``p``, ``li``,
 ``option``, ``tr``, ``td`` end an open one of their kind; an end tag closes up to its start tag, one without start is dropped.
 Text of ``script``, ``style`` and ``template`` and comments is no text; the title is outside the body.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from linkrisk import dims
 from linkrisk.functions import urls
+from linkrisk.functions.markup import Markup, attributes_of, closes_itself
 from linkrisk.functions.urls import let
 
 ELEMENT = "struct<tag: string, attrs: map<string, string>, text: string, form: int, label: int>"
@@ -23,7 +25,11 @@ PAGE = f"struct<elements: array<{ELEMENT}>, strings: array<string>>"
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS_ITSELF = frozenset("p li option tr td th dt dd".split())
+#: An element that ends itself ends no element beyond one of these.
+BARRIERS = frozenset("ul ol select table dl div body".split())
 SILENT = frozenset("script style template".split())
+#: Elements whose content is no markup, and how their end tags begin.
+RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style")}
 KEPT = frozenset("title form input textarea select meta a img div label button".split()) | set(dims.SPA_MOUNT_TAGS)
 WITH_TEXT = frozenset("title a button label".split())
 
@@ -32,75 +38,135 @@ MAX_TEXTS, MAX_FIELDS, MAX_CTAS, MAX_LINKS = 40, 80, 40, 40
 MAX_CHARS = 180
 
 
-class Reader(HTMLParser):
-    """Collects the elements that features need, in document order, and the body's strings.
+class Reader:
+    """Collects the elements that features need, in document order, and the body's strings, in one pass.
 
     Per tag at most ``MAX_NODES`` elements are kept, but password inputs are kept wherever they stand. Body strings end at
-    ``MAX_TEXTS`` distinct ones.
+    ``MAX_TEXTS`` distinct ones. Time and memory are linear in the page whatever its depth: what is open is known by tag, and
+    an element notes where its text begins and ends. Of the texts of links, buttons and labels as much is joined as features
+    read (they cut at ``MAX_CHARS``); the first title is kept whole.
     """
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, dict | None]] = []
+        self.places: dict[str, list[int]] = {}
+        self.barriers: list[int] = []
+        self.forms_open: list[int] = []
+        self.labels_open: list[int] = []
+        self.silent = self.speaking = 0
         self.elements: list[dict] = []
         self.counts: dict[str, int] = {}
         self.forms = 0
+        self.texts: list[str] = []
+        self.first_title: int | None = None
+        self.title: list[str] = []
         self.strings: dict[str, None] = {}
 
-    def handle_starttag(self, tag, attrs):
-        if tag in ENDS_ITSELF:
-            self._close(tag, within=("ul", "ol", "select", "table", "dl", "div", "body"))
+    def read(self, page: str) -> None:
+        """Reads a whole page. What stands in a script or style element is no markup."""
+        markup, at = Markup(page), 0
+        while tag := markup.find(at):
+            self._data(page[at : tag.begin])
+            at = tag.end
+            if not tag.name:
+                continue
+            if tag.ending:
+                self._end(tag.name)
+                continue
+            self._start(tag.name, attributes_of(tag.attributes))
+            if closes_itself(tag.attributes):
+                if tag.name not in VOID:
+                    self._end(tag.name)
+            elif tag.name in RAW:
+                # up to its end tag, which is found next; without one, to the page's end
+                end = RAW[tag.name].search(page, at)
+                at = end.start() if end else len(page)
+        self._data(page[at:])
+
+    def _start(self, tag: str, values: dict[str, str]) -> None:
+        if tag in ENDS_ITSELF and self.places.get(tag) and (not self.barriers or self.places[tag][-1] > self.barriers[-1]):
+            self._close_to(self.places[tag][-1])
         element = None
-        values = {k: v or "" for k, v in reversed(attrs)}
         if tag == "form":
             self.forms += 1
         self.counts[tag] = self.counts.get(tag, 0) + 1
         password = tag == "input" and values.get("type", "").lower() == "password"
         if tag in KEPT and (self.counts[tag] <= MAX_NODES or password) and (tag != "div" or "id" in values):
-            form = next((e["form"] for t, e in reversed(self.open) if t == "form" and e), -1)
-            label = next((e["at"] for t, e in reversed(self.open) if t == "label" and e), -1)
-            element = {"tag": tag, "attrs": values, "texts": [], "form": self.forms if tag == "form" else form, "label": label, "at": len(self.elements)}
+            form = self.forms if tag == "form" else self.forms_open[-1] if self.forms_open else -1
+            element = {"tag": tag, "attrs": values, "from": len(self.texts), "to": None, "form": form, "label": self.labels_open[-1] if self.labels_open else -1, "at": len(self.elements)}
             self.elements.append(element)
+            if tag == "title" and self.first_title is None:
+                self.first_title = element["at"]
         if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append((tag, element))
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
-    def _close(self, tag, within=()):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
-            if self.open[i][0] in within:
-                return
-
-    def handle_endtag(self, tag):
-        self._close(tag)
-
-    def handle_data(self, data):
+            if tag in BARRIERS:
+                self.barriers.append(len(self.open) - 1)
+            self.silent += tag in SILENT
+            if element is not None:
+                self.speaking += tag in WITH_TEXT
+                if tag == "form":
+                    self.forms_open.append(element["form"])
+                elif tag == "label":
+                    self.labels_open.append(element["at"])
+
+    def _close_to(self, place):
+        while len(self.open) > place:
+            tag, element = self.open.pop()
+            self.places[tag].pop()
+            if tag in BARRIERS:
+                self.barriers.pop()
+            self.silent -= tag in SILENT
+            if element is not None:
+                self.speaking -= tag in WITH_TEXT
+                element["to"] = len(self.texts)
+                if tag == "form":
+                    self.forms_open.pop()
+                elif tag == "label":
+                    self.labels_open.pop()
+
+    def _end(self, tag: str) -> None:
+        if self.places.get(tag):
+            self._close_to(self.places[tag][-1])
+
+    def _data(self, data: str) -> None:
         text = data.strip()
-        if not text or any(t in SILENT for t, _ in self.open):
+        if not text or self.silent:
+            return
+        text = unescape(text).strip() if "&" in text else text
+        if not text:
             return
-        inside = [t for t, _ in self.open]
-        for t, e in self.open:
-            if e is not None and t in WITH_TEXT:
-                e["texts"].append(text)
-        if "head" not in inside and "title" not in inside and len(self.strings) < MAX_TEXTS:
+        titled = self.places.get("title")
+        if self.speaking:
+            self.texts.append(" ".join(text.split())[: MAX_CHARS + 2])
+        if titled and self.open[titled[0]][1]["at"] == self.first_title:
+            self.title.append(text)
+        if not self.places.get("head") and not titled and len(self.strings) < MAX_TEXTS:
             squeezed = " ".join(text.split())
             self.strings[squeezed if len(squeezed) <= MAX_CHARS else squeezed[:MAX_CHARS].rstrip()] = None
 
+    def _text(self, element) -> str:
+        """The element's text, as far as features read it."""
+        if element["tag"] not in WITH_TEXT:
+            return ""
+        if element["at"] == self.first_title:
+            return " ".join(self.title)
+        stop, parts, size = len(self.texts) if element["to"] is None else element["to"], [], 0
+        for i in range(element["from"], stop):
+            parts.append(self.texts[i])
+            size += len(self.texts[i]) + 1
+            if size > MAX_CHARS + 2:
+                break
+        return " ".join(parts)
+
     def page(self) -> dict:
-        kept = [{"tag": e["tag"], "attrs": e["attrs"], "text": " ".join(e["texts"]), "form": e["form"], "label": e["label"]} for e in self.elements]
+        kept = [{"tag": e["tag"], "attrs": e["attrs"], "text": self._text(e), "form": e["form"], "label": e["label"]} for e in self.elements]
         return {"elements": kept, "strings": list(self.strings)}
 
 
 def read_page(html: str | None) -> dict:
     reader = Reader()
-    reader.feed(html or "")
-    reader.close()
+    reader.read(html or "")
     return reader.page()
 
 
