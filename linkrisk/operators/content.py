@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkrisk import dims
 from linkrisk.dims import SETTINGS, Settings
-from linkrisk.functions import html, urls
+from linkrisk.functions import html, patterns, urls
 from linkrisk.functions.shared import written
-from linkrisk.operators.domain import Brands, is_trusted
+from linkrisk.operators.brands import Brands, with_trust
 from linkrisk.sources.captures import newest
 
 EMPTY = "cast(array() as array<string>)"
@@ -34,22 +32,16 @@ REASON_LATE = "콘텐츠 분석 시간이 초과되었습니다."
 UNSCORED = ["not_html", "too_large", "unexpected_redirect", "blocked_host"]
 
 
-def brands_in(text: Column, brands: Brands) -> Column:
-    """The brand labels that are words of ``text`` (labels that are not ASCII: parts of it); the longest label wins a place."""
-    plain = sorted((b for b in brands.text_labels if b.isascii()), key=lambda b: (-len(b), b))
-    other = [b for b in brands.text_labels if not b.isascii()]
-    low = F.lower(F.coalesce(text, F.lit("")))
-    pattern = r"(?U)\b(" + "|".join(re.escape(b) for b in plain) + r")\b"
-    words = F.regexp_extract_all(low, F.lit(pattern), F.lit(1)) if plain else F.expr(EMPTY)
-    parts = F.filter(F.array(*[F.lit(b) for b in other]), lambda b: low.contains(b)) if other else F.expr(EMPTY)
-    return F.array_distinct(F.concat(words, parts))
+def brands_in(texts: Column, brands: Brands) -> Column:
+    """The brand labels that are words of ``texts`` (labels that are not ASCII: parts of them); the longest label wins a place."""
+    return patterns.words_within(F.transform(texts, F.lower), brands.word_labels, brands.part_labels)
 
 
 def score_features(df: DataFrame, brands: Brands, features: str = "features", url: str = "url", settings: Settings = SETTINGS) -> DataFrame:
     """``df`` with ``content_signals`` (in order) and ``content_score``."""
     f, w = F.col(features), settings.content_weights
     own = urls.domain_parts(urls.host_of(F.col(url)))["domain"]
-    df = df.withColumn("_own", own).withColumn("_tb", brands_in(f["title"], brands)).withColumn("_ab", F.array_distinct(F.flatten(F.transform(f["image_alts"], lambda a: brands_in(a, brands)))))
+    df = df.withColumn("_own", own).withColumn("_tb", brands_in(F.array(f["title"]), brands)).withColumn("_ab", brands_in(f["image_alts"], brands))
     foreign = lambda b: (F.size(b) > 0) & ~F.array_contains(F.col(b), F.col("_own"))
     types = f["sensitive_field_types"]
     has = lambda *names: F.arrays_overlap(types, F.array(*[F.lit(n) for n in names]))
@@ -192,8 +184,8 @@ def analyse(
         out = out.join(answers, "url", "left")
     else:
         out = out.withColumn("_ai", F.lit(None).cast(AI))
-    trusted = is_trusted(urls.registered_or_host(urls.host_of(F.col("url"))), brands)
-    points = ai_points(F.col("_ai.verdict"), trusted, F.col("content_signals"), F.col("upstream_signals"), settings)
+    out = with_trust(out, urls.registered_or_host(urls.host_of(F.col("url"))), brands)
+    points = ai_points(F.col("_ai.verdict"), F.col("_trusted"), F.col("content_signals"), F.col("upstream_signals"), settings)
     total = F.least(F.lit(settings.content_cap), F.col("content_score") + F.coalesce(points, F.lit(0)))
     error = F.col("fetch_error")
     return out.select(

@@ -2,55 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkrisk import dims
 from linkrisk.dims import SETTINGS, Settings
-from linkrisk.functions import urls
+from linkrisk.functions import patterns, urls
 from linkrisk.functions.urls import let
+from linkrisk.operators.brands import Brands, brand_sets, brand_table, lookalikes, sample_brands, with_trust
 
-#: Most lines of a brand list; its sets become literals and broadcast tables, so it is checked.
-MAX_BRANDS = 20_000
-
-
-@dataclass(frozen=True)
-class Brands:
-    """The sets that rules need from a brand list."""
-
-    lines: tuple[str, ...]
-    pairs: tuple[tuple[str, str], ...]
-    url_labels: tuple[str, ...]
-    text_labels: tuple[str, ...]
-
-
-def brand_table(lines: DataFrame) -> DataFrame:
-    """(line, label, suffix, first_label) of a table of lines; blank lines and comments are dropped."""
-    rows = lines.select(urls.stripped(F.col("line")).alias("line")).where("line <> '' and not startswith(line, '#')")
-    parts = urls.domain_parts(urls.host_of(F.concat(F.lit("https://"), F.col("line"))))
-    rows = rows.select("line", parts.alias("d")).select("line", F.col("d.domain").alias("label"), F.col("d.suffix").alias("suffix"))
-    return rows.withColumn("first_label", F.lower(F.substring_index("line", ".", 1))).dropDuplicates(["line"])
-
-
-def brand_sets(lines: DataFrame) -> Brands:
-    """The sets of a brand list, which may have at most ``MAX_BRANDS`` lines."""
-    rows = brand_table(lines).limit(MAX_BRANDS + 1).collect()
-    if len(rows) > MAX_BRANDS:
-        raise ValueError(f"a brand list may have at most {MAX_BRANDS} lines")
-    first = {r.first_label for r in rows if len(r.first_label) >= 3 and r.first_label not in dims.GENERIC_LABELS}
-    return Brands(
-        lines=tuple(sorted(r.line.lower() for r in rows)),
-        pairs=tuple(sorted({(r.label, r.suffix) for r in rows if r.label and r.suffix})),
-        url_labels=tuple(sorted(first | set(dims.SEEDED_LABELS))),
-        text_labels=tuple(sorted({r.label.lower() for r in rows if len(r.label) >= 4})),
-    )
-
-
-def sample_brands(spark) -> DataFrame:
-    return spark.createDataFrame([(line,) for line in dims.SAMPLE_BRANDS], "line string")
-
+__all__ = ["Brands", "brand_sets", "brand_table", "lookalikes", "sample_brands", "with_trust"]
 
 def with_facts(df: DataFrame, url: str = "url") -> DataFrame:
     """``df`` with the URL's parts (``_p``) and its host's labels (``_d``, with ``registered_host``)."""
@@ -79,19 +40,6 @@ def url_text(p: Column) -> Column:
     return F.lower(F.concat_ws(" ", opt(p["host"]), opt(p["path"]), opt(p["query"])))
 
 
-def brands_within(text: Column, labels: tuple[str, ...]) -> Column:
-    """The labels that are substrings of ``text``; one regular expression passes over texts without any."""
-    import re
-
-    every = F.array(*[F.lit(b) for b in labels])
-    any_of = "|".join(re.escape(b) for b in labels)
-    return F.when(text.rlike(any_of), F.filter(every, lambda b: text.contains(b))).otherwise(F.array().cast("array<string>"))
-
-
-def is_trusted(registered: Column, brands: Brands) -> Column:
-    return registered.isin([*brands.lines, *dims.TRUSTED_DOMAINS])
-
-
 def is_dga_like(label: Column, trusted: Column, settings: Settings = SETTINGS) -> Column:
     odd = (urls.entropy(label) >= settings.dga_entropy) | (urls.consonant_share(label) >= settings.dga_consonants)
     return (F.length(label) >= settings.dga_length) & ~trusted & odd
@@ -100,9 +48,9 @@ def is_dga_like(label: Column, trusted: Column, settings: Settings = SETTINGS) -
 def pattern_flags(df: DataFrame, brands: Brands, settings: Settings = SETTINGS) -> DataFrame:
     """``df`` (with facts) and one boolean column for each lexical signal, in ``_flags``."""
     p, d, registered = F.col("_p"), F.col("_d"), F.col("_registered")
-    df = df.withColumn("_text", url_text(p))
-    df = df.withColumn("_brands", brands_within(F.col("_text"), brands.url_labels))
-    own_brand = registered.isin(list(brands.lines))
+    df = with_trust(df.withColumn("_text", url_text(p)), registered, brands)
+    df = df.withColumn("_brands", patterns.parts_within(F.col("_text"), brands.url_labels))
+    own_brand = F.col("_own")
     label = d["domain"]
     platforms = list(dims.HOSTING_PLATFORMS)
     hosting = (d["suffix"] != "") & (d["suffix"].isin(platforms) | ((d["subdomain"] != "") & F.concat_ws(".", label, d["suffix"]).isin(platforms)))
@@ -123,32 +71,11 @@ def pattern_flags(df: DataFrame, brands: Brands, settings: Settings = SETTINGS)
         "SENSITIVE_PATH": sensitive & ~own_brand,
         "BRAND_IN_URL": some_brand & ~own_brand & ~F.array_contains("_brands", label),
         "FREE_HOSTING_LURE": hosting & (some_brand | sensitive),
-        "DGA_LIKE": is_dga_like(label, is_trusted(registered, brands), settings),
+        "DGA_LIKE": is_dga_like(label, F.col("_trusted"), settings),
     }
     return df.withColumn("_flags", F.struct(*[F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()]))
 
 
-def lookalikes(pairs: DataFrame, brands: Brands, settings: Settings = SETTINGS) -> DataFrame:
-    """Of the distinct (domain, suffix) in ``pairs`` those that look like a brand without being one.
-
-    Candidates meet brands of a length that differs by at most the allowed distance: an equi-join on the length, against a
-    broadcast table of at most ``5 * MAX_BRANDS`` rows. A pair that is a brand itself is cleared.
-    """
-    spark = pairs.sparkSession
-    near = settings.typo_distance
-    rows = [(b, s, len(b) + k) for b, s in brands.pairs for k in range(-near, near + 1)]
-    table = F.broadcast(spark.createDataFrame(rows, "brand string, brand_suffix string, n int"))
-    fit = (F.col("suffix") == F.col("brand_suffix")) | F.col("suffix").isin(list(dims.LOOKALIKE_SUFFIXES))
-    met = pairs.where("domain <> '' and suffix <> ''").withColumn("n", F.length("domain")).join(table, "n").where(fit)
-    met = met.withColumn("d", F.levenshtein("domain", "brand", near))
-    exact = (F.col("d") == 0) & (F.col("suffix") == F.col("brand_suffix"))
-    long_enough = F.least(F.length("domain"), F.length("brand")) >= settings.typo_length
-    fuzzy = ((F.col("d") == 0) & ~exact) | (F.col("d").between(1, near) & long_enough)
-    found = met.groupBy("domain", "suffix").agg(F.bool_or(exact).alias("exact"), F.bool_or(fuzzy).alias("fuzzy"))
-    platform = F.concat_ws(".", "domain", "suffix").isin(list(dims.HOSTING_PLATFORMS))
-    return found.where(F.col("fuzzy") & ~F.col("exact") & ~platform).select("domain", "suffix")
-
-
 RDAP_SCHEMA = """struct<events: array<struct<eventAction: string, eventDate: string>>,
   entities: array<struct<roles: array<string>, vcardArray: string>>>"""
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkrisk.functions import html, urls
+from linkrisk.functions import html, patterns, urls
 from linkrisk.functions.shared import written
 from linkrisk.operators import content, domain, metrics, redirects, threat, verdict
 from linkrisk.plans import oracles, verdict_sql
@@ -53,6 +53,10 @@ def brands(spark: SparkSession) -> domain.Brands:
     return domain.brand_sets(domain.sample_brands(spark))
 
 
+def long_list(spark: SparkSession, d: str) -> domain.Brands:
+    return domain.brand_sets(fixture(spark, d, "brand_lines").select("line"))
+
+
 def hops(spark: SparkSession, d: str) -> DataFrame:
     return fixture(spark, d, "hops")
 
@@ -157,7 +161,7 @@ def u20_domain_changed(spark, d):
 
 @query
 def h01_h14_domain_flags(spark, d):
-    rows = domain.pattern_flags(domain.with_facts(requests(spark, d).where("v not in (7, 8, 9, 11)").select("analysis_id", urls.with_scheme(F.col("url")).alias("url"))), brands(spark))
+    rows = domain.pattern_flags(domain.with_facts(requests(spark, d).select("analysis_id", urls.with_scheme(F.col("url")).alias("url"))), brands(spark))
     return rows.select("analysis_id", "_flags.*")
 
 
@@ -167,6 +171,33 @@ def h15_j06_lookalikes(spark, d):
     return domain.lookalikes(rows, brands(spark))
 
 
+@query
+def h15_j06_f06_lookalikes_of_a_long_list(spark, d):
+    rows = with_host(fixture(spark, d, "brand_requests")).select(urls.domain_parts(F.col("host")).alias("p")).select("p.domain", "p.suffix").distinct()
+    return domain.lookalikes(rows, long_list(spark, d))
+
+
+@query
+def h12_labels_of_a_long_list(spark, d):
+    """The labels within each request's URL."""
+    rows = fixture(spark, d, "brand_requests").withColumn("text", domain.url_text(urls.split_url(F.col("url"))))
+    found = rows.withColumn("found", patterns.parts_within(F.col("text"), long_list(spark, d).url_labels))
+    return found.select("analysis_id", joined("found", "labels"))
+
+
+@query
+def k01_words_of_a_long_list(spark, d):
+    """The brand words of each request's title."""
+    found = fixture(spark, d, "brand_requests").withColumn("found", content.brands_in(F.array("title"), long_list(spark, d)))
+    return found.select("analysis_id", joined("found", "words"))
+
+
+@query
+def h18_h19_domain_score_with_a_long_list(spark, d):
+    rows = domain.score_domains(fixture(spark, d, "brand_requests").select("analysis_id", "url"), long_list(spark, d))
+    return rows.select("analysis_id", "domain", joined("domain_signals"), "domain_score")
+
+
 @query
 def h16_j07_registrations(spark, d):
     rows = domain.registrations(rdap(spark, d), now())
@@ -176,7 +207,7 @@ def h16_j07_registrations(spark, d):
 @query
 def h18_trusted_domains(spark, d):
     rows = with_host(normal(spark, d)).select("host").distinct()
-    return rows.where(domain.is_trusted(urls.registered_or_host(F.col("host")), brands(spark)))
+    return domain.with_trust(rows, urls.registered_or_host(F.col("host")), brands(spark)).where("_trusted").select("host")
 
 
 @query

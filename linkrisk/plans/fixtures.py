@@ -41,6 +41,20 @@ select cast(page_id as string) || '-' || cast(v as string) as analysis_id, page_
   when 22 then 'https://xn--rger-0ra.net/' || cast(page_id as string)
   else 'https://github.com/u' || cast(page_id % 50 as string) || '/r' || cast(page_id % 7 as string) || '/raw/x.sh' end as url
 from (select page_id, url, regexp_extract(url, '://([^/?#]+)', 1) as host, EACH(24) as v from pages) t""",
+    # a brand list of 20 lines for each page
+    "brand_lines": """
+select page_id, v, label, tld, label || '.' || tld as line from (
+  select page_id, v, translate(substr(md5(cast(page_id * 20 + v as string)), 1, cast(5 + (page_id + v) % 6 as int)), '0123456789abcdef', 'bkdlmnprstaeiouz') as label,
+    case v % 5 when 0 then 'com' when 1 then 'net' when 2 then 'co.kr' when 3 then 'io' else 'org' end as tld
+  from (select page_id, EACH(20) as v from pages) t) u""",
+    # a request for each of its lines, most of them misspelt, with a title
+    "brand_requests": """
+select cast(page_id as string) || '-' || cast(v as string) as analysis_id, 'https://' || case v % 8 when 1 then substr(label, 1, 1) || substr(label, 3) when 2 then substr(label, 1, 2) || substr(label, 2)
+    when 3 then substr(label, 1, 2) || 'x' || substr(label, 4) when 4 then substr(label, 1, 1) || substr(label, 3, 1) || substr(label, 2, 1) || substr(label, 4) when 5 then substr(label, 1, 1) || substr(label, 3) || 'q'
+    when 6 then reverse(label) || 'w' else label end || '.' || case when v % 8 = 7 then 'xyz' when v % 3 = 0 then tld when v % 3 = 1 then 'top' else 'net' end
+  || case v % 4 when 0 then '/pay/' || label || '-x/' when 1 then '/?next=' || reverse(label) else '/' end as url,
+  case v % 4 when 0 then 'Sign in: ' || upper(label) || ' online' when 1 then label || '_x ' || label || '-' || label || ' paypal' when 2 then 'my' || label || ' ' || substr(label, 1, 5) else 'Über ' || label || 's' end as title
+from brand_lines""",
     # the first batch of the threat feed; every fiftieth id comes again, later
     "feed": """
 select id, dateadded, url, url_status, last_online, threat, tags, urlhaus_link, reporter, line_no, false as short from (

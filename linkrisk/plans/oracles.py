@@ -49,7 +49,7 @@ FACTS = (
     + rf""",
 good as (select analysis_id, page_id, v, added, normalized url from norm where failure is null),
 bits as (select *, {_split("url")} from good),
-labels as (select *, lower(regexp_extract(regexp_replace(netloc, '^.*@', ''), '^([^:]*)', 1)) host from bits),
+labels as (select *, lower(case when contains(netloc, '[') then regexp_extract(netloc, '\[([^\]]*)\]', 1) else regexp_extract(regexp_replace(netloc, '^.*@', ''), '^([^:]*)', 1) end) host from bits),
 lab as (select *, list_filter(string_split(host, '.'), lambda x: x <> '') l from labels),
 suf as (select *, case when len(l) < 2 then 0 when len(l) > 2 and list_contains({_list(dims.TWO_LABEL_SUFFIXES)}, l[len(l) - 1] || '.' || l[len(l)]) then 2 else 1 end k from lab),
 facts as (select *, array_to_string(l[1 : len(l) - k - 1], '.') subdomain, coalesce(l[len(l) - k], '') as domain, array_to_string(l[len(l) - k + 1 : len(l)], '.') suffix,
@@ -80,7 +80,7 @@ pre as (select *, list_filter({_list(_FIRST)}, lambda b: contains(t, b)) found,
   list_contains({_BRANDS}, reg) own, suffix <> '' and (list_contains({_list(dims.HOSTING_PLATFORMS)}, suffix) or (subdomain <> '' and list_contains({_list(dims.HOSTING_PLATFORMS)}, domain || '.' || suffix))) hosting from text),
 targets as (select analysis_id, bool_or(not regexp_matches(lower(p.v), '^https?://[^/?#]') or {_reg("lower(regexp_extract(p.v, '://([^/?#:]*)', 1))")} <> reg) bad
   from (select analysis_id, reg, unnest({_PARAMS}) p from pre where query <> '') where list_contains({_list(dims.REDIRECT_PARAMS)}, lower(p.k)) group by 1),
-flags as (select pre.*, {_IP} IP_DIRECT, scheme = 'http' NO_HTTPS, contains(netloc, '@') URL_USERINFO,
+flags as (select pre.*, {_IP} or contains(host, ':') IP_DIRECT, scheme = 'http' NO_HTTPS, contains(netloc, '@') URL_USERINFO,
   len(list_filter(string_split(subdomain, '.'), lambda s: s <> '')) >= 4 SUBDOMAIN_OVERUSE, contains(host, 'xn--') PUNYCODE_IDN,
   length(domain) - length(replace(domain, '-', '')) >= 3 or length(domain) >= 20 HYPHEN_OVERUSE, list_contains({_list(dims.SUSPICIOUS_TLDS)}, suffix) SUSPICIOUS_TLD,
   coalesce(bad, false) OPEN_REDIRECT_PARAM, hosting HOSTING_PLATFORM, list_contains({_list(dims.SHORTENERS)}, reg) URL_SHORTENER, sensitive and not own SENSITIVE_PATH,
@@ -186,6 +186,20 @@ sig as (select *, case when m = 11 then ['SPA_SHELL'] when m = 1 then ['BRAND_IM
     when m = 8 then ['KOREAN_LURE_TEXT', 'RISKY_DOWNLOAD_LINK'] when m = 9 then ['RISKY_DOWNLOAD_LINK'] when m = 10 and external_link_ratio >= 0.8 then ['EXTERNAL_LINK_OVERUSE'] else [] end signals,
   case m when 1 then 95 when 3 then 10 when 4 then 45 when 5 then 20 when 6 then 50 + case when public_agency_keywords <> '' then 35 else 0 end when 7 then 25 when 8 then 35 when 9 then 20 when 10 then case when external_link_ratio >= 0.8 then 5 else 0 end else 0 end points from feat)"""
 )
+# a long brand list: every label by every text, every domain by every label
+LONG = (
+    duck("brand_requests")
+    + rf""",
+asked as (select analysis_id, url, lower(title) title, regexp_extract(url, '://([^/?]+)', 1) host, regexp_extract(url, '://[^/?]+([^?]*)', 1) path, regexp_extract(url, '[?](.*)$', 1) query from brand_requests),
+cut as (select *, case when host like '%.co.kr' then 'co.kr' else split_part(host, '.', 2) end suffix, split_part(host, '.', 1) as domain from asked),
+listed as (select distinct label, tld, line from brand_lines),
+alike as (select domain, suffix, label, tld, levenshtein(domain, label) dist from (select distinct domain, suffix from cut) join listed on abs(length(domain) - length(label)) <= 2 where levenshtein(domain, label) <= 2),
+far as (select domain, suffix from alike group by domain, suffix having not bool_or(dist = 0 and suffix = tld)
+  and bool_or((suffix = tld or list_contains({_list(dims.LOOKALIKE_SUFFIXES)}, suffix)) and (dist > 0 or suffix <> tld) and (dist = 0 or least(length(domain), length(label)) >= 5))),
+every as (select list_sort(list_distinct(list(label) || {_list(dims.SEEDED_LABELS)})) names from listed),
+heard as (select *, host || ' ' || path || case when query <> '' then ' ' || query else '' end t from cut),
+within as (select heard.*, list_filter(names, lambda x: contains(t, x)) found from heard, every)"""
+)
 # redirect chains as a recursive walk
 _ORIGIN = "regexp_extract({u}, '^[a-z]+://[^/?#]+', 0)"
 STARTS = (
@@ -231,9 +245,21 @@ ORACLES: dict[str, str] = {
     "u15_query_params": f"{FACTS} select analysis_id, cast(i - 1 as int) pos, p.k k, p.v v from (select analysis_id, unnest(l) p, generate_subscripts(l, 1) i from (select analysis_id, {_PARAMS} l from facts where query <> ''))",
     "u16_u17_label_statistics": f"{FACTS} select distinct domain as label, round({_ENTROPY}, 6) entropy, round({_CONSONANTS}, 6) consonants from facts",
     "u18_address_tests": f"{FACTS} select distinct host, {_IP} is_ip, {_IP} and regexp_matches(host, '^(10|127|192[.]168|169[.]254|172[.](1[6-9]|2[0-9]|3[01]))[.]') is_local, {_IP} and regexp_matches(host, '^(10|127|192[.]168|169[.]254|172[.](1[6-9]|2[0-9]|3[01]))[.]') is_blocked from facts",
-    "h01_h14_domain_flags": f"""{FACTS.replace("select analysis_id, page_id, v, added, normalized url from norm where failure is null", "select analysis_id, page_id, v, added, u url from raw where v not in (7, 8, 9, 11)")}{FLAGS}
+    "h01_h14_domain_flags": f"""{FACTS.replace("select analysis_id, page_id, v, added, normalized url from norm where failure is null", "select analysis_id, page_id, v, added, u url from raw")}{FLAGS}
 select analysis_id, {", ".join(_NAMES)} from flags""",
     "h15_j06_lookalikes": f"{FACTS}{TYPOS} select domain, suffix from typo",
+    "h15_j06_f06_lookalikes_of_a_long_list": f"{LONG} select domain, suffix from far",
+    "h12_labels_of_a_long_list": f"{LONG} select analysis_id, array_to_string(found, '|') labels from within",
+    "k01_words_of_a_long_list": rf"""{LONG}, named as (select list(label) labels from listed),
+w as (select analysis_id, list_filter(regexp_extract_all(title, '[\p{{L}}\p{{N}}_]+'), lambda x: list_contains(labels, x)) l from asked, named)
+select analysis_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') words from w""",
+    "h18_h19_domain_score_with_a_long_list": f"""{LONG}, f as (select w.*, own.line is not null own, far.domain is not null typo, list_has_any(regexp_extract_all(t, '[a-z]+'), {_list(dims.SENSITIVE_TOKENS)}) sensitive,
+  length(w.domain) >= 8 and own.line is null and ({_ENTROPY.replace("domain", "w.domain")} >= 3.5 or {_CONSONANTS.replace("domain", "w.domain")} >= 0.8) dga
+  from within w left join (select distinct line from listed) own on own.line = w.domain || '.' || w.suffix left join far on far.domain = w.domain and far.suffix = w.suffix),
+g as (select *, list_filter([case when list_contains({_list(dims.SUSPICIOUS_TLDS)}, suffix) then 'SUSPICIOUS_TLD:25' end, case when query <> '' then 'OPEN_REDIRECT_PARAM:31' end, case when sensitive and not own then 'SENSITIVE_PATH:20' end,
+  case when len(found) > 0 and not own and not list_contains(found, domain) then 'BRAND_IN_URL:30' end, case when dga then 'DGA_LIKE:31' end, case when typo then 'TYPO_DOMAIN:30' end], lambda x: x is not null) met from f)
+select analysis_id, domain || '.' || suffix as domain, array_to_string(list_transform(met, lambda x: split_part(x, ':', 1)), '|') domain_signals,
+  cast(least(80, coalesce(list_sum(list_transform(met, lambda x: cast(split_part(x, ':', 2) as int))), 0)) as int) domain_score from g""",
     "h16_j07_registrations": f"{duck('rdap')} select domain, case when error is null then 'Reg ' || cast(n % 4 as varchar) end registrar, age domain_age_days, coalesce(age < 30, false) is_new_domain, error rdap_error from rdap",
     "h18_trusted_domains": f"{FACTS} select distinct host from facts where list_contains({_list([*dims.SAMPLE_BRANDS, *dims.TRUSTED_DOMAINS])}, coalesce(nullif(registered, ''), host))",
     "h19_a05_domain_score": f"""{FACTS}{FLAGS}{TYPOS} select analysis_id, reg as domain, {_score()} from (select *, false young from flags) flags left join typo on flags.domain = typo.domain and flags.suffix = typo.suffix""",
