@@ -25,6 +25,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from linkrisk.functions.markup import Markup, closes_itself
+
 # HTML's tag classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -66,9 +68,6 @@ MARKED = 0.001
 #: A container's least share of text on selected paths.
 SHARE = 0.5
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^\"'>]|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[A-Za-z][^\s/>]*+)(?P<attrs2>[^>]*+)>", re.S
-)
 ATTR = re.compile(r"(?<![^\s=\"'/])([^\s=\"'/]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
@@ -136,8 +135,7 @@ class Page:
         stack = [self.nodes[0]]
         places: dict[str, list[int]] = defaultdict(list)
         current, links, pos = self.blocks[0], 0, 0
-        # what follows the last ">" holds no tag
-        over = page.rfind(">") + 1
+        markup = Markup(page)
 
         def say(text: str) -> None:
             if text:
@@ -159,15 +157,11 @@ class Page:
             found = [p[k] for t in tags if (p := places.get(t)) and (k := bisect_right(p, above)) < len(p)]
             return min(found, default=0)
 
-        while m := TOKEN.search(page, pos, over):
-            say(page[pos : m.start()])
-            pos = m.end()
-            tag = (m["tag"] or m["tag2"] or "").lower()
+        while found := markup.find(pos):
+            say(page[pos : found.begin])
+            pos, tag, ending = found.end, found.name, found.ending
             if not tag:
-                if m[0].startswith("<!--") and not m[0].endswith("-->"):
-                    pos = len(page)
                 continue
-            ending = m["end"] or m["end2"]
             if tag in INLINE:
                 if tag == "a":
                     links = 0 if ending else 1
@@ -187,12 +181,12 @@ class Page:
                 pos = close.end() if close else len(page)
                 current = fresh()
                 continue
-            attrs = m["attrs"] or m["attrs2"] or ""
+            attrs = found.attributes
             closes, beyond = ENDS.get(tag, ENDS_P if tag in CLOSES_P else NOTHING)
             bound = max((places[t][-1] for t in beyond if places.get(t)), default=0)
             if k := lowest_open(closes, bound):
                 close_to(k)
-            if not attrs.endswith("/") or tag in CLOSES_P:
+            if not closes_itself(attrs) or tag in CLOSES_P:
                 up = stack[-1]
                 node = Node(tag, up, hint_of(tag, attrs, up.rooted), up.rooted or tag in ROOTS)
                 places[tag].append(len(stack))

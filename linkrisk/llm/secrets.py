@@ -29,7 +29,8 @@ KINDS = (*BASE_KINDS, "signed_token", "pem_key", "der_key", "key_blob")
 
 #: Tried once per run of token characters, and only where two more parts follow: linear in the text.
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.)[A-Za-z0-9_-]*?(eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+)")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----((?:\s*+[A-Za-z][A-Za-z0-9-]*+:[^\n]*+\n)*+)([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
+#: Header lines hold no marker, so what one marker's search reads ends before the next marker.
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})PRIVATE KEY-----((?:\s*+[A-Za-z][A-Za-z0-9-]*+:(?:(?!-----)[^\n])*+\n)*+)([A-Za-z0-9+/=\s]++)-----END \1PRIVATE KEY-----")
 #: What the header lines of an encrypted PEM block say; its body has no structure but whole cipher blocks.
 ENCRYPTED = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED\s+DEK-Info:\s*[A-Z0-9-]+,[0-9A-Fa-f]{16,}\s")
 #: DER of the schemes that encrypt PKCS#8 keys: PKCS#5 and PKCS#12.
@@ -120,6 +121,16 @@ def is_signed_token(text: str) -> bool:
     return isinstance(head, dict) and isinstance(body, dict) and isinstance(head.get("alg"), str)
 
 
+def signed_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Where signed tokens stand; three parts that are none may be followed by ones that begin at the second of them."""
+    at = 0
+    while m := TOKEN.search(text, at):
+        good = is_signed_token(m[1])
+        if good:
+            yield m.span(1)
+        at = m.end() if good else text.index(".", m.start(1)) + 1
+
+
 def base_spans(text: str) -> list[Span]:
     """The base matches, leftmost and non-overlapping within each kind."""
     spans = []
@@ -136,7 +147,7 @@ def confirmed_spans(text: str) -> list[Span]:
     """Spans whose decoded content has a key's structure."""
     spans = []
     if "eyJ" in text:
-        spans += [("signed_token", *m.span(1)) for m in TOKEN.finditer(text) if is_signed_token(m[1])]
+        spans += [("signed_token", *span) for span in signed_tokens(text)]
     if "PRIVATE KEY-----" in text:
         for m in PEM.finditer(text):
             data = unbase64(m[3])
