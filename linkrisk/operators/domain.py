@@ -86,23 +86,30 @@ def iso_time(text: Column) -> Column:
     return F.when(shaped, F.try_to_timestamp(text))
 
 
+def registration_facts(body: Column) -> Column:
+    """struct(registrar, created_date, expiry_date) of a registration document; an action that occurs twice has its last date."""
+
+    def of(doc: Column) -> Column:
+        last = lambda action: F.get(F.reverse(F.filter(doc["events"], lambda e: e["eventAction"] == action)), F.lit(0))["eventDate"]
+        cards = F.filter(doc["entities"], lambda e: F.array_contains(e["roles"], "registrar"))
+        entries = F.from_json(F.get_json_object(F.get(cards, F.lit(0))["vcardArray"], "$[1]"), "array<array<string>>")
+        name = F.get(F.get(F.filter(entries, lambda x: F.get(x, F.lit(0)) == "fn"), F.lit(0)), F.lit(3))
+        return F.struct(name.alias("registrar"), iso_time(last("registration")).alias("created_date"), iso_time(last("expiration")).alias("expiry_date"))
+
+    return let(F.from_json(body, RDAP_SCHEMA), of)
+
+
 def registrations(captures: DataFrame, now: Column, settings: Settings = SETTINGS) -> DataFrame:
     """(domain, registrar, created_date, expiry_date, domain_age_days, is_new_domain, rdap_error), one row per domain.
 
     Of a domain's captures the latest counts. An action that occurs twice has its last date.
     """
     latest = captures.groupBy("domain").agg(F.max_by(F.struct("body", "error"), F.struct("fetched_at", "body")).alias("_row")).select("domain", "_row.*")
-    doc = F.from_json("body", RDAP_SCHEMA)
-    df = latest.withColumn("doc", doc)
-    last = lambda action: F.get(F.reverse(F.filter("doc.events", lambda e: e["eventAction"] == action)), F.lit(0))["eventDate"]
-    cards = F.filter("doc.entities", lambda e: F.array_contains(e["roles"], "registrar"))
-    entries = F.from_json(F.get_json_object(F.get(cards, F.lit(0))["vcardArray"], "$[1]"), "array<array<string>>")
-    name = F.get(F.get(F.filter(entries, lambda x: F.get(x, F.lit(0)) == "fn"), F.lit(0)), F.lit(3))
-    df = df.withColumn("created_date", iso_time(last("registration"))).withColumn("expiry_date", iso_time(last("expiration")))
+    df = latest.withColumn("facts", registration_facts(F.col("body"))).select("domain", "error", "facts.*")
     age = F.floor((F.unix_timestamp(now) - F.unix_timestamp("created_date")) / 86400).cast("int")
     df = df.withColumn("domain_age_days", age)
     is_new = F.coalesce(F.col("domain_age_days") < settings.new_domain_days, F.lit(False))
-    return df.select("domain", name.alias("registrar"), "created_date", "expiry_date", "domain_age_days", is_new.alias("is_new_domain"), F.col("error").alias("rdap_error"))
+    return df.select("domain", "registrar", "created_date", "expiry_date", "domain_age_days", is_new.alias("is_new_domain"), F.col("error").alias("rdap_error"))
 
 
 def to_refresh(domains: DataFrame, captures: DataFrame, now: Column, settings: Settings = SETTINGS) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from linkrisk.functions import html, patterns, urls
 from linkrisk.functions.shared import written
-from linkrisk.operators import content, domain, metrics, redirects, threat, verdict
+from linkrisk.operators import asof, content, domain, metrics, redirects, threat, verdict
 from linkrisk.plans import oracles, verdict_sql
 from linkrisk.plans.fixtures import NOW, fixture
 from linkrisk.sources.feed import parse_feed
@@ -204,6 +204,14 @@ def h16_j07_registrations(spark, d):
     return rows.select("domain", "registrar", "domain_age_days", "is_new_domain", "rdap_error")
 
 
+@query
+def j07_j13_s05_registrations_as_of(spark, d):
+    """What was known of each request's domain at the request's time."""
+    captures = fixture(spark, d, "timed_rdap")
+    rows = asof.registrations_as_of(fixture(spark, d, "timed_requests").select("analysis_id", "domain", "ts"), captures)
+    return rows.select("analysis_id", "domain", "registrar", "domain_age_days", "is_new_domain", "rdap_error", "lookup_due")
+
+
 @query
 def h18_trusted_domains(spark, d):
     rows = with_host(normal(spark, d)).select("host").distinct()

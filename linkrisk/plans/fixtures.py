@@ -142,6 +142,16 @@ from (select page_id, url, case when page_id % 12 = 1 then replace(html, '<title
     "rendered": """
 select regexp_replace(url, '#.*$', '') as url, '<html><head><title>NAVER</title></head><body><form action="/login"><input type="password"></form></body></html>' as html,
   case when page_id % 24 = 23 then 'timeout' end as error from site where page_id % 12 = 11""",
+    # requests for each page's domain at several times, and registrations as they stood at several times
+    "timed_requests": """
+select cast(page_id as string) || '-' || cast(v as string) as analysis_id, domain, v,
+  cast(cast(cast('2024-01-01' as date) + cast((page_id * 7 + v * 11) % 60 as int) as string) || case when v % 3 = 0 then ' 06:00:00' when v % 3 = 1 then ' 12:00:00' else ' 18:30:00' end as STAMP) as ts
+from (select page_id, regexp_extract(url, '([^./]+[.][a-z]+)(?:/|[?#]|$)', 1) as domain, EACH(6) as v from pages) t""",
+    "timed_rdap": """
+select domain, cast(cast(cast('2024-01-01' as date) + cast((n * 3 + v * 13) % 70 as int) as string) || ' 12:00:00' as STAMP) as fetched_at,
+  case when (n + v) % 5 = 0 then null else '{"events": [{"eventAction": "registration", "eventDate": "' || cast(cast('2023-12-20' as date) + cast((n + v * 9) % 40 as int) as string) || 'T00:00:00Z"}], "entities": [{"roles": ["registrar"], "vcardArray": ["vcard", [["fn", {}, "text", "Reg ' || cast(v as string) || '"]]]}]}' end as body,
+  case when (n + v) % 5 = 0 then 'not_found' end as error
+from (select domain, n, EACH(5) as v from (select regexp_extract(url, '([^./]+[.][a-z]+)(?:/|[?#]|$)', 1) as domain, min(page_id) as n from pages group by 1) a) b""",
     "rdap": """
 select domain, cast('2024-01-30 00:00:00' as STAMP) as fetched_at, case when n % 11 = 0 then null else
   '{"events": [{"eventAction": "registration", "eventDate": "2000-01-01T00:00:00Z"}, {"eventAction": "' || case when n % 7 = 0 then 'changed' else 'registration' end || '", "eventDate": "' || case when n % 5 = 0 then 'soon' else day || 'T00:00:00Z' end

@@ -261,6 +261,12 @@ g as (select *, list_filter([case when list_contains({_list(dims.SUSPICIOUS_TLDS
 select analysis_id, domain || '.' || suffix as domain, array_to_string(list_transform(met, lambda x: split_part(x, ':', 1)), '|') domain_signals,
   cast(least(80, coalesce(list_sum(list_transform(met, lambda x: cast(split_part(x, ':', 2) as int))), 0)) as int) domain_score from g""",
     "h16_j07_registrations": f"{duck('rdap')} select domain, case when error is null then 'Reg ' || cast(n % 4 as varchar) end registrar, age domain_age_days, coalesce(age < 30, false) is_new_domain, error rdap_error from rdap",
+    "j07_j13_s05_registrations_as_of": rf"""{duck("timed_requests", "timed_rdap")},
+met as (select q.*, c.fetched_at, c.body, c.error from timed_requests q asof left join timed_rdap c on q.domain = c.domain and q.ts >= c.fetched_at),
+good as (select *, fetched_at > ts - interval 7 days fresh from met),
+known as (select *, case when fresh then date_diff('second', cast(regexp_extract(body, '"eventDate": "([0-9-]+)T', 1) || ' 00:00:00' as timestamp), ts) // 86400 end age from (select *, case when fresh then body end b from good) where b is not null)
+select g.analysis_id, g.domain, regexp_extract(k.body, '"text", "([^"]*)"', 1) registrar, cast(k.age as int) domain_age_days, coalesce(k.age < 30, false) is_new_domain, case when g.fresh then g.error end rdap_error,
+  not coalesce(g.fresh, false) or g.error is not null lookup_due from good g left join known k using (analysis_id)""",
     "h18_trusted_domains": f"{FACTS} select distinct host from facts where list_contains({_list([*dims.SAMPLE_BRANDS, *dims.TRUSTED_DOMAINS])}, coalesce(nullif(registered, ''), host))",
     "h19_a05_domain_score": f"""{FACTS}{FLAGS}{TYPOS} select analysis_id, reg as domain, {_score()} from (select *, false young from flags) flags left join typo on flags.domain = typo.domain and flags.suffix = typo.suffix""",
     "h19_domain_score_with_age": f"""{FACTS}{FLAGS}{TYPOS}{_AGES} select analysis_id, reg as domain, {_score()}, age domain_age_days
