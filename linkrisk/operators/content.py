@@ -9,10 +9,10 @@ from linkrisk import dims
 from linkrisk.dims import SETTINGS, Settings
 from linkrisk.functions import html, patterns, urls
 from linkrisk.functions.shared import written
+from linkrisk.functions.urls import let
 from linkrisk.operators.brands import Brands, with_trust
 from linkrisk.sources.captures import newest
 
-EMPTY = "cast(array() as array<string>)"
 # Why a page was not analysed.
 REASONS = {
     "http_error_404": "페이지를 찾을 수 없습니다.",
@@ -107,11 +107,22 @@ AI = "struct<verdict: string, reason: string>"
 
 
 def ai_answer(raw: Column) -> Column:
-    """struct(verdict, reason) of an AI's JSON answer; null if it is no object, lacks text or has an unknown verdict."""
-    a = F.from_json(raw, AI)
-    text = lambda name: F.get_json_object(raw, f"$.{name}").isNotNull()
-    good = a.isNotNull() & text("verdict") & text("reason") & a["verdict"].isin("phishing", "suspicious", "benign") & raw.rlike(r'(?s)"reason"\s*:\s*"')
-    return F.when(good, F.struct(a["verdict"].alias("verdict"), F.substring(urls.stripped(a["reason"]), 1, 100).alias("reason")))
+    """struct(verdict, reason) of an AI's JSON answer; null if it is no object, lacks text or has an unknown verdict.
+
+    Both keys are read as variants, which know their type: of a repeated key the last counts, a nested one is none, and a
+    number is no text. Read within brackets, an answer with anything behind its object is malformed.
+    """
+    read = F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<struct<verdict: variant, reason: variant>>", {"allowSingleQuotes": "false"})
+
+    def text(x: Column) -> Column:
+        return F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
+
+    def of(a: Column) -> Column:
+        first = F.get(a, F.lit(0))
+        good = (F.size(a) == 1) & text(first["verdict"]).isin("phishing", "suspicious", "benign") & text(first["reason"]).isNotNull()
+        return F.when(good, F.struct(text(first["verdict"]).alias("verdict"), F.substring(urls.stripped(text(first["reason"])), 1, 100).alias("reason")))
+
+    return let(read, of)
 
 
 def ai_points(verdict: Column, trusted: Column, signals: Column, upstream: Column, settings: Settings = SETTINGS) -> Column:

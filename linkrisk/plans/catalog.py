@@ -366,6 +366,12 @@ def k17_ai_answers(spark, d):
     return rows.select("url", "a.verdict", "a.reason")
 
 
+@query
+def k17_ai_answer_shapes(spark, d):
+    rows = fixture(spark, d, "ai_shapes").withColumn("a", content.ai_answer(F.col("raw")))
+    return rows.select("answer_id", "a.verdict", "a.reason")
+
+
 @query
 def j10_k19_p02_fetch_classes(spark, d):
     pages = fixture(spark, d, "page_capture")

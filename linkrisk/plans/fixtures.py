@@ -120,6 +120,13 @@ select regexp_replace(url, '#.*$', '') as url, case page_id % 6
   when 0 then '{"verdict": "phishing", "reason": "  asks for a password "}' when 1 then '{"verdict": "suspicious", "reason": "odd host"}'
   when 2 then '{"verdict": "benign", "reason": "plain"}' when 3 then '{"verdict": "other", "reason": "x"}' else '{"verdict": ' end as raw
 from site where page_id % 6 < 5""",
+    # answers of many shapes: nested and mistyped keys, text behind the object, unknown verdicts
+    "ai_shapes": """
+select page_id * 10 + v as answer_id, case v when 0 then '{"verdict": "phishing", "reason": "  asks ' || k || ' "}' when 1 then '{"meta": {"reason": "x"}, "verdict": "benign", "reason": ' || k || '}'
+  when 2 then '{"verdict": ["benign"], "reason": "x"}' when 3 then '{"reason": {"reason": "' || k || '"}, "verdict": "benign"}' when 4 then '{"verdict": "benign", "reason": null}'
+  when 5 then '{"verdict": "suspicious", "reason": "' || repeat(k || ' ', 60) || '"}' when 6 then '{"verdict": "benign", "reason": "x"} and more' when 7 then '{"verdict": "benign", "reason": "' || k
+  when 8 then '{"verdict": "unsure", "reason": "x"}' else '{"reason": "r ' || k || '", "extra": [1, 2], "verdict": "suspicious"}' end as raw
+from (select page_id, cast(page_id as string) as k, EACH(10) as v from pages) t""",
     # pages with a fragment before the article's end
     "page_capture": """
 select page_id, regexp_replace(url, '#.*$', '') as url, cast(case page_id % 19 when 1 then 404 when 2 then 302 when 5 then null else 200 end as int) as status_code,

@@ -299,6 +299,9 @@ select page_id, fetch_error, case when fetch_error is null then null when fetch_
     when 'not_html' then '분석 가능한 HTML 페이지가 아닙니다.' when 'too_large' then '페이지가 너무 커서 분석하지 않았습니다.' end reason,
   coalesce(fetch_error in ('timeout', 'http_error_404'), false) unavailable from c""",
     "k17_ai_answers": f"{duck('ai')} select a.url, case page_id % 6 when 0 then 'phishing' when 1 then 'suspicious' when 2 then 'benign' end verdict, case page_id % 6 when 0 then 'asks for a password' when 1 then 'odd host' when 2 then 'plain' end reason from ai a join site p on a.url = regexp_replace(p.url, '#.*$', '')",
+    "k17_ai_answer_shapes": f"""{duck("ai_shapes")}, j as (select answer_id, case when json_valid(raw) then cast(raw as json) end j from ai_shapes),
+t as (select answer_id, case when json_type(j, '$.verdict') = 'VARCHAR' and json_type(j, '$.reason') = 'VARCHAR' then json_extract_string(j, '$.verdict') end verdict, json_extract_string(j, '$.reason') reason from j)
+select answer_id, case when verdict in ('phishing', 'suspicious', 'benign') then verdict end verdict, case when verdict in ('phishing', 'suspicious', 'benign') then substr(trim(reason), 1, 100) end reason from t""",
     "a01_verdict_metrics": f"""{duck("cases")}, n as (select count(*) total, count_if(expected = predicted) correct, count_if(expected = 'danger' and predicted <> 'safe') tp, count_if(expected <> 'danger' and predicted <> 'safe') fp,
   count_if(expected <> 'danger' and predicted = 'safe') tn, count_if(expected = 'danger' and predicted = 'safe') fn from cases),
 r as (select *, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) p, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) q from n)

@@ -142,9 +142,22 @@ def test_metrics(spark):
 
 
 def test_ai_answers(spark):
-    raws = ['{"verdict": "phishing", "reason": " x "}', '{"verdict": "other", "reason": "x"}', '{"verdict": ', '{"verdict": "benign"}', None, '{"verdict": "benign", "reason": 5}']
-    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw string").withColumn("a", content.ai_answer(F.col("raw")))
-    assert [r.a and tuple(r.a) for r in df.orderBy("i").collect()] == [("phishing", "x"), None, None, None, None, None]
+    cases = [
+        ('{"verdict": "phishing", "reason": " x "}', ("phishing", "x")),
+        ('{"verdict": "other", "verdict": "benign", "reason": 1, "reason": "last"}', ("benign", "last")),
+        ('{"meta": {"reason": "x"}, "verdict": "benign", "reason": 5}', None),
+        ('{"verdict": "benign", "reason": {"reason": "x"}}', None),
+        ('{"verdict": ["benign"], "reason": "x"}', None),
+        ('{"verdict": "benign", "reason": "x", "n": NaN}', ("benign", "x")),
+        ('{"verdict": "benign", "reason": ""}', ("benign", "")),
+        ('{"verdict": "benign", "reason": "%s"}' % ("y" * 150), ("benign", "y" * 100)),
+        ('{"verdict": "benign", "reason": "x"} tail', None),
+        ('{"verdict": "benign", "reason": "x"}, {"verdict": "benign", "reason": "x"}', None),
+        ("{'verdict': 'benign', 'reason': 'x'}", None),
+        *[(raw, None) for raw in ('{"verdict": "other", "reason": "x"}', '{"verdict": ', '{"verdict": "benign"}', None, "", "null", "5", '["x"]', '{"verdict": "benign", "reason": 5}', '{"verdict": "benign", "reason": null}')],
+    ]
+    df = spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(cases)], "i int, raw string").withColumn("a", content.ai_answer(F.col("raw")))
+    assert [r.a and tuple(r.a) for r in df.orderBy("i").collect()] == [wanted for _, wanted in cases]
 
 
 def test_verdicts(spark):
