@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -41,6 +42,21 @@ def settings_held(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(k, v.removesuffix("b"))
 
 
+_JOBS = threading.local()
+
+
+@contextmanager
+def dropped_at_end(spark: SparkSession) -> Iterator[None]:
+    """Drops, at its end, all intermediate tables that this thread has made within it; what it gives must be written by then."""
+    jobs = _JOBS.__dict__.setdefault("open", [])
+    jobs.append([])
+    try:
+        yield
+    finally:
+        for scratch in jobs.pop():
+            scratch.drop_all()
+
+
 class Scratch:
     """The intermediate tables of one job, in a folder of its own below the shared one.
 
@@ -53,6 +69,8 @@ class Scratch:
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
         self.places: dict[int, tuple[str, DataFrame]] = {}
+        if jobs := getattr(_JOBS, "open", None):
+            jobs[-1].append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written as Parquet and read again."""
@@ -74,6 +92,11 @@ class Scratch:
         kept = {id(t) for t in tables}
         self.drop(*(t for _, t in list(self.places.values()) if id(t) not in kept))
 
+    def drop_all(self) -> None:
+        """Deletes the job's folder."""
+        self.places.clear()
+        self._delete(self.path)
+
     def _delete(self, place: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from linkrisk.dims import SETTINGS, Settings
 from linkrisk.functions import html, urls
-from linkrisk.functions.shared import Scratch
+from linkrisk.functions.shared import dropped_at_end, written
 from linkrisk.operators import content, domain, verdict
 from linkrisk.operators.brands import Brands
 from linkrisk.operators.redirects import REDIRECTS
@@ -76,11 +76,10 @@ def score_awaited(requests: DataFrame, hops: DataFrame, pages: DataFrame, brands
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        scratch = Scratch(batch.sparkSession, "awaited")
-        rows = scratch.keep(classified(batch), "batch")
-        if not rows.isEmpty():
-            scored(rows, brands).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        scratch.drop(rows)
+        with dropped_at_end(batch.sparkSession):
+            rows = written(classified(batch), "awaited")
+            if not rows.isEmpty():
+                scored(rows, brands).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     trigger = {"processingTime": every} if every else {"availableNow": True}
     stream = with_captures(requests, hops, pages, **bounds)

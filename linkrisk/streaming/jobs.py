@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from linkrisk.functions import urls
+from linkrisk.functions.shared import Scratch, dropped_at_end
 from linkrisk.operators import threat
 from linkrisk.sources.feed import parse_feed
 
@@ -18,11 +19,13 @@ SNAPSHOT = "id bigint, url string, host string, match_key string, threat string,
 def score_stream(requests: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Scores each micro-batch of ``requests`` with ``score`` and writes it by batch id.
 
-    A batch that is run again after a failure overwrites its own folder, so no verdict is written twice.
+    A batch that is run again after a failure overwrites its own folder, so no verdict is written twice. The intermediate
+    tables that ``score`` writes are dropped when the batch is written.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        score(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        with dropped_at_end(batch.sparkSession):
+            score(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
@@ -79,15 +82,14 @@ def lookups(requests: DataFrame, time: str = "ts", url: str = "url", keep: str =
 def deliver(rows: DataFrame, send: Callable[[DataFrame], DataFrame], out: str, dead: str, number: int, tries: int = 3) -> None:
     """Sends rows at most ``tries`` times; what is left goes to the dead-letter table.
 
-    ``send`` takes and returns rows with a boolean ``delivered``. Both tables are written by batch number, so a batch that is
-    run again replaces its own rows.
+    ``send`` takes and returns rows with a boolean ``delivered``. What each try has done is written before anything reads it, so
+    a lost executor sends nothing again. Both tables are written by batch number, so a batch that is run again replaces its own
+    rows.
     """
-    left, kept = rows, []
+    scratch, left = Scratch(rows.sparkSession, "deliver"), rows
     for attempt in range(tries):
-        done = send(left).persist()
+        done = scratch.keep(send(left), f"try-{attempt}")
         done.where("delivered").drop("delivered").write.mode("overwrite").parquet(f"{out}/batch={number}/try={attempt}")
-        kept.append(done)
         left = done.where("not delivered").drop("delivered")
     left.write.mode("overwrite").parquet(f"{dead}/batch={number}")
-    for done in kept:
-        done.unpersist()
+    scratch.drop_all()

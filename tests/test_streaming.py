@@ -1,8 +1,11 @@
 """Streaming jobs run to the end of their input and compared with the batch results."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from linkrisk.functions import urls
+from linkrisk.functions.shared import Scratch, shared_dir, written
 from linkrisk.streaming import jobs
 
 
@@ -18,9 +21,41 @@ def test_requests_are_scored_once(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, score(df).collect()))
 
 
-def test_feed_files_are_upserted_in_order(spark, tmp_path):
-    import os
+def test_batches_leave_no_table(spark, tmp_path):
+    """Scoring writes tables of its own; after ten batches the shared folder holds what it held before."""
+    df = spark.createDataFrame([(str(i), f"https://h{i}.com/a") for i in range(10)], "analysis_id string, url string")
+    for i in range(10):
+        df.where(f"analysis_id = '{i}'").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    folder = shared_dir(spark)
+    before = set(os.listdir(folder))
+
+    def score(batch):
+        first = written(urls.normalised(batch).select("analysis_id", "norm.normalized_url"), "first")
+        scratch = Scratch(spark, "second")
+        return scratch.keep(first.withColumn("n", F.length("normalized_url")), "second")
+
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    jobs.score_stream(stream, score, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 10
+    assert set(os.listdir(folder)) == before
+
 
+def test_a_lost_step_sends_nothing_again(spark, tmp_path):
+    """Each row is sent once a try, however often what was sent is read afterwards."""
+    sent = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            sent.add(len(batch))
+            yield batch
+
+    rows = spark.createDataFrame([(i,) for i in range(30)], "id int")
+    send = lambda df: df.mapInPandas(count, df.schema).withColumn("delivered", F.col("id") % 3 > 0)
+    jobs.deliver(rows, send, f"{tmp_path}/out", f"{tmp_path}/dead", 1)
+    assert sent.value == 30 + 10 + 10 and spark.read.parquet(f"{tmp_path}/dead").count() == 10
+
+
+def test_feed_files_are_upserted_in_order(spark, tmp_path):
     os.makedirs(f"{tmp_path}/landing")
     line = '"{}","2024-01-01 00:00:00","{}","{}","","malware","","l","r"\n'
     with open(f"{tmp_path}/landing/1.csv", "w") as f:
