@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkrisk.functions.shared import Scratch, dropped_at_end
 from linkrisk.llm import bpe, decontamination, jaccard, quality, secrets
-from linkrisk.llm.common import fresh, table, without, written
+from linkrisk.llm.common import fresh, table, without
 
 #: Near copies: five-word shingles, similarity of 0.8 or more.
 SHINGLE, NUM, DEN = 5, 80, 100
@@ -73,8 +74,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+    """All stages over ``documents``; a stage's table is dropped once the next one's is written, and so are those in between."""
+    scratch = Scratch(spark, "pipeline")
+    docs = before = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        with dropped_at_end(spark):
+            docs = scratch.keep(stage(spark, before, sf_dir), name)
+        if i:
+            scratch.drop(before)
+        before = docs
     return docs
