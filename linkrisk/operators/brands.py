@@ -14,8 +14,8 @@ from linkrisk.functions import urls
 
 #: Most lines of a brand list; its labels are broadcast (about 30 bytes a line), so their number is checked.
 MAX_BRANDS = 200_000
-#: Most rows of the look-alike index that are broadcast (a hash and a label each, about 50 bytes).
-INDEX_ROWS = 2_000_000
+#: Most rows of the look-alike index that are broadcast (a hash and a label each, about 100 bytes).
+INDEX_ROWS = 500_000
 
 
 @dataclass(frozen=True)
