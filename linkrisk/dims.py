@@ -69,6 +69,12 @@ LOCAL_IPV4 = _words(
     """0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/29 192.0.0.170/31 192.0.2.0/24
     192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 240.0.0.0/4 255.255.255.255/32"""
 )
+# Special blocks of both versions beside those; smaller blocks are exceptions from larger ones.
+SPECIAL_BLOCKS = {
+    "local": _words("::/128 ::1/128 64:ff9b:1::/48 100::/64 2001::/23 2001:db8::/32 2002::/16 fc00::/7 fe80::/10"),
+    "global": _words("2001:1::1/128 2001:1::2/128 2001:3::/32 2001:4:112::/48 2001:20::/28 2001:30::/28"),
+    "multicast": _words("224.0.0.0/4 ff00::/8"),
+}
 # Marks of single-page applications, downloads, lures and sensitive fields.
 SPA_MOUNT_IDS = _words("root app __next __nuxt __layout svelte q-app")
 SPA_MOUNT_TAGS = _words("app-root ng-app")

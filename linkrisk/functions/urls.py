@@ -6,7 +6,6 @@ They stay inside the JVM; only hosts and texts that are not ASCII go through a v
 
 from __future__ import annotations
 
-import ipaddress
 import unicodedata
 from collections.abc import Callable
 
@@ -365,21 +364,6 @@ def is_local_ipv4(host: Column) -> Column:
     return host.rlike(IPV4) & met
 
 
-def ipv6_kind(text: str) -> str | None:
-    """local, multicast or global; null if the text is no IPv6 address."""
-    try:
-        address = ipaddress.IPv6Address(text.strip("[]").split("%")[0])
-    except ValueError:
-        return None
-    return "local" if not address.is_global else "multicast" if address.is_multicast else "global"
-
-
-@F.pandas_udf(StringType())
-def ipv6_class(address: pd.Series) -> pd.Series:
-    """``ipv6_kind`` of each address; meant for rows that are split off because they hold a colon."""
-    return address.map(ipv6_kind, na_action="ignore")
-
-
 def is_blocked_host(host: Column) -> Column:
     """A blocked name, no name, or an IPv4 literal that is not global or is multicast."""
     multicast = host.rlike(IPV4) & ipv4_number(host).between(224 << 24, (240 << 24) - 1)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from linkrisk.dims import SETTINGS, Settings
 from linkrisk.functions import urls
 from linkrisk.functions.shared import written
+from linkrisk.operators import blocks
 
 REDIRECTS = [301, 302, 303, 307, 308]
 SCHEMES = ["http", "https", "ftp"]
@@ -36,15 +37,9 @@ def answers(hops: DataFrame) -> DataFrame:
 
 
 def unsafe_hosts(dns: DataFrame) -> DataFrame:
-    """(host, blocked): whether any address that a host resolves to is local or no address at all.
-
-    Only rows with a colon go through the IPv6 helper.
-    """
-    ip = F.col("ip")
-    colon = F.coalesce(ip.contains(":"), F.lit(False))
-    old = dns.where(~colon).select("host", F.coalesce(urls.is_local_ipv4(ip) | ~ip.rlike(urls.IPV4), F.lit(True)).alias("bad"))
-    new = dns.where(colon).select("host", (F.coalesce(urls.ipv6_class(ip), F.lit("local")) == "local").alias("bad"))
-    return old.unionByName(new).groupBy("host").agg(F.bool_or("bad").alias("blocked"))
+    """(host, blocked): whether any address that a host resolves to is local or no address at all."""
+    known = blocks.with_kind(dns.select("host", "ip"), "ip", blocks.special_blocks(dns.sparkSession))
+    return known.groupBy("host").agg(F.bool_or(F.coalesce(F.col("kind") == "local", F.lit(True))).alias("blocked"))
 
 
 def preferred(rows: DataFrame, hops: DataFrame, added: str = "scheme_was_added", url: str = "url") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from linkrisk.functions import html, patterns, urls
 from linkrisk.functions.shared import written
-from linkrisk.operators import asof, content, domain, metrics, redirects, threat, verdict
+from linkrisk.operators import asof, blocks, content, domain, metrics, redirects, threat, verdict
 from linkrisk.plans import oracles, verdict_sql
 from linkrisk.plans.fixtures import NOW, fixture
 from linkrisk.sources.feed import parse_feed
@@ -144,9 +144,9 @@ def u18_address_tests(spark, d):
 
 @query
 def u18_ipv6_addresses(spark, d):
-    """The class of each IPv6 address; "" for what is none."""
-    rows = fixture(spark, d, "addresses").select("address").distinct()
-    return rows.select("address", F.coalesce(urls.ipv6_class(F.col("address")), F.lit("")).alias("kind"))
+    """The class of each address, by the smallest special block that holds it; "" for what is no address."""
+    rows = blocks.with_kind(fixture(spark, d, "addresses").select("address"), "address", blocks.special_blocks(spark))
+    return rows.select("address", F.coalesce("kind", F.lit("")).alias("kind"))
 
 
 @query

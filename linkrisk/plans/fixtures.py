@@ -99,11 +99,12 @@ select distinct host, ip from (
   union all select regexp_extract(url, '://([^/?#:]+)', 1), '2606:4700::' || cast(page_id % 1000 as string) from pages where page_id % 3 = 0
   union all select regexp_extract(url, '://([^/?#:]+)', 1), 'fd00::' || cast(page_id % 1000 as string) from pages where page_id % 40 = 9
   union all select regexp_extract(url, '://([^/?#:]+)', 1), '10.0.0.1' from pages where page_id % 40 = 7) t""",
-    # addresses of the sixth version
+    # addresses of both versions, in many spellings, and texts that are none
     "addresses": """
 select distinct case v when 0 then '::1' when 1 then 'fe80::' || n when 2 then 'fd12:3456::' || n when 3 then '2001:db8::' || n when 4 then '2606:4700::' || n when 5 then '::ffff:10.0.0.' || cast(page_id % 256 as string)
-  when 6 then 'ff0e::' || n when 7 then '2A00:1450:4001::' || n when 8 then n || ':zz::1' else '::' end as address, v
-from (select page_id, cast(page_id % 10000 as string) as n, EACH(10) as v from pages) t""",
+  when 6 then 'ff0e::' || n when 7 then '2A00:1450:4001::' || n when 8 then n || ':zz::1' when 9 then '::' when 10 then '203.0.113.' || o when 11 then '8.8.' || o || '.1' when 12 then '2001:3::' || n when 13 then 'febf::' || n
+  when 14 then 'fec0::' || n when 15 then '[fe80::' || n || '%eth0]' when 16 then '1:2:3:4:5:6:7:' || n when 17 then '1::2::' || n when 18 then '224.0.0.' || o when 19 then '64:ff9b:1::' || n || ':0' else '::ffff:8.8.8.' || o end as address, v
+from (select page_id, cast(page_id % 10000 as string) as n, cast(page_id % 256 as string) as o, EACH(21) as v from pages) t""",
     # lines of a feed file: quoted fields, comments, blank, short and over-long lines
     "feed_lines": '''
 select page_id * 8 + v as line_no, v, case v when 0 then '# ' || url when 1 then '' when 2 then '"' || k || '","2024-01-02 03:04:05"' when 3 then k || ',a,' || url || ',online,b,c,"x,y",d,e,f,g'

@@ -221,6 +221,22 @@ _PROMPT = "'{' || " + " || ',' || ".join(
 ) + " || '}'"
 _SEEN = duck("page_capture", "rendered", "ai", "dns") + FEATURES + SIGNALS + ", wish as (select url, ['NO_HTTPS'] upstream from page_capture)" + analysed("wish")
 
+# the class of an address, from its own groups
+DIGITS = r""", bare as (select distinct address, lower(split_part(trim(address, '[]'), '%', 1)) s from addresses),
+dotted as (select *, case when contains(s, '.') then list_transform(string_split(regexp_extract(s, '[0-9.]+$'), '.'), lambda x: try_cast(x as int)) end o from bare),
+plain as (select address, case when o is null then s when len(o) = 4 and len(list_filter(o, lambda x: x is null or x > 255)) = 0
+  then case when contains(s, ':') then regexp_extract(s, '^.*:') else '::ffff:' end || printf('%02x%02x:%02x%02x', o[1], o[2], o[3], o[4]) end s from dotted),
+parts as (select address, len(string_split(s, '::')) n, list_filter(string_split(string_split(s, '::')[1], ':'), lambda x: x <> '') hi,
+  list_filter(string_split(coalesce(string_split(s, '::')[2], ''), ':'), lambda x: x <> '') lo from plain),
+digits as (select address, case when len(list_filter(hi || lo, lambda x: not regexp_matches(x, '^[0-9a-f]{1,4}$'))) = 0 and case n when 1 then len(hi) = 8 when 2 then len(hi) + len(lo) < 8 else false end
+  then array_to_string(list_transform(hi, lambda x: lpad(x, 4, '0')), '') || repeat('0000', 8 - len(hi) - len(lo)) || array_to_string(list_transform(lo, lambda x: lpad(x, 4, '0')), '') end d from parts)"""
+KIND_OF_DIGITS = """case when d is null then '' when starts_with(d, '00000000000000000000ffff') then
+    case when d[25:26] in ('00', '0a', '7f') or d[25:28] in ('a9fe', 'c0a8') or d[25:30] in ('c00002', 'c63364', 'cb0071') or d[25:28] between 'ac10' and 'ac1f' or d[25:28] between '6440' and '647f' or d[25:25] = 'f' then 'local'
+      when d[25:25] = 'e' then 'multicast' else 'global' end
+  when starts_with(d, '20010003') then 'global' when starts_with(d, 'ff') then 'multicast'
+  when d[1:31] = repeat('0', 31) and d[32:32] in ('0', '1') or d[1:2] in ('fc', 'fd') or d[1:4] between 'fe80' and 'febf' or d[1:4] = '2002' or d[1:8] = '20010db8' or d[1:8] between '20010000' and '200101ff'
+    or d[1:12] = '0064ff9b0001' or d[1:16] = '0100000000000000' then 'local' else 'global' end"""
+
 _ENTITY = """list_filter(json_extract(body, '$.entities[*]'), lambda e: contains(cast(json_extract(e, '$.roles') as varchar), '"registrar"'))[1]"""
 _BORN = """json_extract_string(list_last(list_filter(json_extract(body, '$.events[*]'), lambda e: json_extract_string(e, '$.eventAction') = 'registration')), '$.eventDate')"""
 
@@ -228,7 +244,7 @@ ORACLES: dict[str, str] = {
     "h16_j07_registrations": f"""{duck("rdap")}, r as (select domain, error, case when body is not null then json_extract_string(list_filter(json_extract({_ENTITY}, '$.vcardArray[1][*]'), lambda x: json_extract_string(x, '$[0]') = 'fn')[1], '$[3]') end registrar,
   case when body is not null then cast(date_diff('day', try_cast(substr({_BORN}, 1, 10) as date), date '{NOW[:10]}') as int) end age_days from rdap)
 select domain, registrar, age_days domain_age_days, coalesce(age_days < {SETTINGS.new_domain_days}, false) is_new_domain, error rdap_error from r""",
-    "u18_ipv6_addresses": f"""{duck("addresses")} select distinct address, case v when 4 then 'global' when 7 then 'global' when 6 then 'multicast' when 8 then '' else 'local' end kind from addresses""",
+    "u18_ipv6_addresses": f"{duck('addresses')}{DIGITS} select address, {KIND_OF_DIGITS} kind from digits",
     "s02_feed_lines": f"""{duck("feed_lines")} select line_no, case when v = 7 then '# no comment' else k end id, case v when 2 then '2024-01-02 03:04:05' when 3 then 'a' when 4 then 't' when 5 then 'a' when 6 then 't' end dateadded,
   case when v in (3, 4, 6) then url when v = 5 then '' end url, case when v in (3, 4, 6) then 'online' when v = 5 then 'offline' end url_status, case v when 3 then 'b' when 4 then '' when 5 then '' when 6 then 'N/A' end last_online,
   case v when 3 then 'c' when 4 then 'say "hi"' when 5 then '' when 6 then 'm' end threat, case v when 3 then 'x,y' when 4 then 'exe, "emotet"' when 5 then '' when 6 then 'a,b' end tags, case v when 3 then 'd' when 4 then 'l' when 5 then '' when 6 then 'l' end urlhaus_link,
