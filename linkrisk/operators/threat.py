@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkrisk.functions import urls
+from linkrisk.functions.shared import written
+from linkrisk.operators import sketch
 from linkrisk.sources.captures import newest
 
 ENTRY = ["id", "url", "host", "match_key", "threat", "tags", "url_status", "date_added", "last_online", "urlhaus_link", "reporter"]
@@ -79,14 +81,19 @@ def canonical(url: Column) -> Column:
     return F.regexp_replace(bare, r"/+(?=$|[?#])", "")
 
 
-def lookup(candidates: DataFrame, snapshot: DataFrame, key: str = "url") -> DataFrame:
-    """(``key``, is_threat, match_type, matched_key, threat, tags, urlhaus_link) of the distinct URLs in ``candidates``.
+def hits(candidates: DataFrame, snapshot: DataFrame, key: str = "url", filtered: bool = True) -> DataFrame:
+    """(``key``, match_type, matched_key, threat, tags, urlhaus_link) of the distinct listed URLs in ``candidates``.
 
     An exact hit on any URL variant wins, by the variants' order; else the match key's row. Both sides meet on one canonical
-    key (no explosion into variants), and the hit is then checked to be one of the URL's variants.
+    key (no explosion into variants), and the hit is then checked to be one of the URL's variants. Most URLs are listed
+    nowhere: a Bloom filter of the list's canonical and match keys leaves them out before anything is shuffled.
     """
-    rows = candidates.select(F.col(key).alias("u")).where("u is not null").distinct()
+    rows = candidates.select(F.col(key).alias("u")).where("u is not null")
     rows = rows.withColumn("canon", canonical(F.col("u"))).withColumn("mk", urls.match_key(F.col("u")))
+    if filtered:
+        found = sketch.build(snapshot, {"canon": canonical(F.col("url")), "mk": F.col("match_key")})
+        rows = sketch.may_hold(rows, {"canon": F.col("canon"), "mk": F.col("mk")}, found)
+    rows = rows.distinct()
     listed = snapshot.select(canonical(F.col("url")).alias("canon"), F.struct(F.col("url").alias("matched"), "threat", "tags", "urlhaus_link").alias("hit"))
     met = rows.join(listed, "canon").withColumn("place", F.array_position(urls.url_variants(F.col("u")), F.col("hit.matched"))).where("place > 0")
     exact = met.groupBy("u").agg(F.min_by("hit", "place").alias("exact"))
@@ -94,10 +101,9 @@ def lookup(candidates: DataFrame, snapshot: DataFrame, key: str = "url") -> Data
     keyed = keyed.select(F.col("match_key").alias("mk"), F.struct(F.col("match_key").alias("matched"), "threat", "tags", "urlhaus_link").alias("keyed"))
     rows = rows.join(exact, "u", "left").join(keyed, "mk", "left")
     hit = F.coalesce("exact", "keyed")
-    kind = F.when(F.col("exact").isNotNull(), "url").when(F.col("keyed").isNull(), None).when(F.col("mk").contains("/"), "host_path").otherwise("host")
-    return rows.select(
+    kind = F.when(F.col("exact").isNotNull(), "url").when(F.col("mk").contains("/"), "host_path").otherwise("host")
+    return rows.where(hit.isNotNull()).select(
         F.col("u").alias(key),
-        hit.isNotNull().alias("is_threat"),
         kind.alias("match_type"),
         hit["matched"].alias("matched_key"),
         hit["threat"].alias("threat"),
@@ -106,6 +112,14 @@ def lookup(candidates: DataFrame, snapshot: DataFrame, key: str = "url") -> Data
     )
 
 
+def lookup(candidates: DataFrame, snapshot: DataFrame, key: str = "url") -> DataFrame:
+    """(``key``, is_threat and ``hits``' columns) of the distinct URLs in ``candidates``, listed or not."""
+    rows = candidates.select(key).where(F.col(key).isNotNull()).distinct()
+    out = rows.join(hits(rows, snapshot, key), key, "left")
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    return out.select(key, F.col("match_type").isNotNull().alias("is_threat"), "match_type", "matched_key", "threat", tags.alias("tags"), "urlhaus_link")
+
+
 def safe_browsing(pairs: DataFrame, captures: DataFrame) -> DataFrame:
     """Per (final_url, original_url): gsb_checked, gsb_threat, gsb_types and gsb_error over both URLs, the final one first.
 
@@ -137,8 +151,8 @@ def check(pairs: DataFrame, snapshot: DataFrame, captures: DataFrame | None = No
     The list is asked for the final URL first, then for the original one.
     """
     rows = pairs.select("final_url", "original_url").distinct()
-    found = lookup(rows.select(F.col("final_url").alias("url")).unionByName(rows.select(F.col("original_url").alias("url"))), snapshot)
-    hit = lambda name: found.where("is_threat").select(F.col("url").alias(name), F.struct("match_type", "matched_key", "threat", "tags", "urlhaus_link").alias(f"_{name}"))
+    found = written(hits(rows.select(F.explode(F.array("final_url", "original_url")).alias("url")), snapshot), "hits")
+    hit = lambda name: found.select(F.col("url").alias(name), F.struct("match_type", "matched_key", "threat", "tags", "urlhaus_link").alias(f"_{name}"))
     rows = rows.join(hit("final_url"), "final_url", "left").join(hit("original_url"), "original_url", "left")
     rows = rows.withColumn("list", F.coalesce("_final_url", "_original_url")).drop("_final_url", "_original_url")
     if captures is not None:
