@@ -13,8 +13,10 @@ is below ``EXACT``. A pair of blocks with larger magnitudes is scored outright,
 numbers.
 
 Equal rows are one row with a number of copies, by map-side counts, so a hot id or vector fills no block. Vectors and queries
-are paired block by block: a task holds at most about ``BLOCK`` vectors and ``QUERY_BLOCK`` queries. Each pair of blocks
-gives at most k rows for a query, and those are merged by a window per query, which Spark limits to k rows before the shuffle.
+are paired block by block: a task holds about ``BLOCK`` vectors and ``QUERY_BLOCK`` queries, builds one index, and searches it
+for ``PASS`` queries at a time. So a vector is sent once for each ``QUERY_BLOCK`` queries, a query once for each ``BLOCK``
+vectors. Each pair of blocks gives at most k rows for a query, and those are merged by a window per query, which Spark limits to
+k rows before the shuffle.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 
 K = 10
 BLOCK = 4096
-QUERY_BLOCK = 256
+QUERY_BLOCK = 8192
+#: Queries that a task searches for at a time; what it holds beside its blocks is a few numbers for each of them and vector.
+PASS = 256
 #: Magnitudes are quantised in so many levels between 0 and the block's largest.
 LEVELS = 64
 #: Below this, sums of products are whole numbers that a double holds.
@@ -131,8 +135,8 @@ class ImpactIndex:
 FOUND = "row long, query_id long, query_copies long, vec_id long, score long, digits string"
 
 
-def best_of_pair(k: int):
-    """The function for one pair of blocks: vectors on the left, queries on the right."""
+def best_of_pair(k: int, pass_size: int = PASS):
+    """The function for one pair of blocks: vectors on the left, queries on the right, ``pass_size`` of them at a time."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -142,8 +146,11 @@ def best_of_pair(k: int):
             place = {x: i for i, x in enumerate(left["row"].tolist())}
             own = np.array([place.get(x, -1) for x in right["row"].tolist()])
             queries = list(zip(right["row"], right["vec_id"], right["copies"], strict=True))
+            wanted = right["v"].tolist()
             index = ImpactIndex(whole(left["v"].tolist(), dims))
-            for q, rows, scores in index.search(whole(right["v"].tolist(), dims), own, k):
+            parts = range(0, len(queries), pass_size)
+            results = ((at + q, rows, scores) for at in parts for q, rows, scores in index.search(whole(wanted[at : at + pass_size], dims), own[at : at + pass_size], k))
+            for q, rows, scores in results:
                 ranked = sorted(zip((-scores).tolist(), (ids[r] for r in rows), rows.tolist(), strict=True))
                 least, room = [], k
                 for negative, vec_id, r in ranked:
@@ -160,14 +167,15 @@ def best_of_pair(k: int):
     return run
 
 
-def search(vectors: DataFrame, k: int = K, every: int = 100, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(vectors: DataFrame, k: int = K, every: int = 100, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, query_block: int = QUERY_BLOCK, pass_size: int = PASS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best other rows of each row whose id is divisible by ``every``.
 
     Scores are inner products of floor(1024 * x); ties go to the smaller id, and between repeated ids to either row. Rows
     whose id is null, or whose vector is null or holds null or non-finite components, take no part; vectors of different
     length are not compared, and empty ones score 0 with each other. Rows are ranked by exact scores of any size; a score
     that a long cannot hold is given as the largest or smallest long. A query with fewer than k other rows gets those. A row
-    that repeats a query's id, or the whole row, is a candidate of its own and, if a query, has results of its own.
+    that repeats a query's id, or the whole row, is a candidate of its own and, if a query, has results of its own. Other columns
+    of any names do not matter.
     """
     rows = vectors.select(vectors[key].cast("long").alias("vec_id"), usable(vectors[vector]).alias("v")).where("vec_id is not null and v is not null")
     rows = rows.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("copies"))
@@ -182,7 +190,7 @@ def search(vectors: DataFrame, k: int = K, every: int = 100, key: str = "vec_id"
     )
     keys = ["dims", "b", "q"]
     pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys))
-    found = pairs.applyInPandas(best_of_pair(k), FOUND)
+    found = pairs.applyInPandas(best_of_pair(k, pass_size), FOUND)
     order = Window.partitionBy("row", "query_id").orderBy(F.desc("score"), F.desc("digits"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     ranked = ranked.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("query_copies"))))

@@ -34,6 +34,7 @@ def test_topk_with_blocks_ties_and_bad_vectors(spark):
     rows += [(1600, [None] * 8), (1700, []), (1701, []), (400, [1.0] * 8), (400, [2.0] * 8), *[(500, [3.0] * 8)] * 3]
     assert run_topk(spark, rows) == brute_topk(rows)
     assert run_topk(spark, rows, block=37, query_block=2) == brute_topk(rows)
+    assert run_topk(spark, rows, block=90, query_block=50, pass_size=3) == brute_topk(rows)
 
 
 @pytest.mark.parametrize("scale", [1e3, 1e6, 1e9, 1e15, 1e30])
