@@ -262,3 +262,15 @@ def test_labels_that_repeat(spark):
     again = labels.unionByName(labels).unionByName(spark.createDataFrame([(0, None, None), (None, 1, 1), (10**9, 1, 1)], labels.schema))
     assert np.array_equal(quality.fit(docs, labels), quality.fit(docs, again))
     assert toxicity.fit(docs, labels).cues == toxicity.fit(docs, again).cues
+
+
+def test_the_sample_does_not_depend_on_the_order_of_rows(spark):
+    """One of a document's texts is learnt from, whichever partition holds it."""
+    docs = spark.createDataFrame([(i % 20, None if i % 60 == 7 else f"text {i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(3, None)], "doc_id long, quality int")
+    orders = [docs, docs.repartition(7), docs.orderBy(F.desc("text")), docs.unionByName(docs).coalesce(1)]
+    found = [sorted(map(tuple, labelled.sample(d, labels, "quality", 4, 2, 6).collect())) for d in orders]
+    assert len(found[0]) == 12 and all(f == found[0] for f in found)
+    lone = spark.createDataFrame([(1, None)], "doc_id long, text string")
+    some = [labelled.sample(lone.withColumn("doc_id", F.lit(i).cast("long")), labels, "quality", 4, 2, 100).collect() for i in range(4)]
+    assert all(r.text is None for rows in some for r in rows) and any(some)
