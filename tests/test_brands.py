@@ -125,3 +125,18 @@ def test_a_list_that_is_too_long_is_refused(spark, monkeypatch):
     monkeypatch.setattr(brands, "MAX_BRANDS", 5)
     with pytest.raises(ValueError):
         brands.brand_sets(spark.createDataFrame(long_lines(6), "line string"))
+
+
+def test_a_longer_list_than_may_be_sent_meets_texts_by_a_join(spark, monkeypatch):
+    monkeypatch.setattr(brands, "MAX_BRANDS", 5)
+    rng = random.Random(4)
+    labels = sorted({word(rng, "abcé", 3, 6) for _ in range(200)})
+    listed = brands.brand_list(spark.createDataFrame([(f"{x}.com",) for x in labels], "line string"), sent_lines=5)
+    assert isinstance(listed, brands.LongBrands)
+    texts = [None, "", "ab", *(word(rng, "abcé/", 1, 40) for _ in range(200)), *(word(rng, "abcdefghé", 250, 900) for _ in range(5))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.found for r in brands.with_parts(rows, "found", F.col("t"), listed.url_labels).collect()}
+    names = sorted({*labels, *dims.SEEDED_LABELS})
+    assert [got[i] for i in range(len(texts))] == [[x for x in names if x in (t or "")] for t in texts]
+    plain = brands.brand_list(spark.createDataFrame([(f"{x}.com",) for x in labels[:4]], "line string"), sent_lines=5)
+    assert isinstance(plain, brands.Brands)
