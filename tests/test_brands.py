@@ -140,3 +140,12 @@ def test_a_longer_list_than_may_be_sent_meets_texts_by_a_join(spark, monkeypatch
     assert [got[i] for i in range(len(texts))] == [[x for x in names if x in (t or "")] for t in texts]
     plain = brands.brand_list(spark.createDataFrame([(f"{x}.com",) for x in labels[:4]], "line string"), sent_lines=5)
     assert isinstance(plain, brands.Brands)
+
+
+def test_lookalikes_of_a_dense_list_are_settled_at_the_least_distance(spark):
+    rng = random.Random(5)
+    lines = sorted({(word(rng, "abc", 3, 7), rng.choice(["com", "net", "xyz"])) for _ in range(400)})
+    pairs = sorted({(word(rng, "abcz", 1, 9), rng.choice(["com", "net", "top", "xyz"])) for _ in range(400)})
+    listed = brands.brand_list(spark.createDataFrame([(f"{a}.{b}",) for a, b in lines], "line string"), sent_lines=5)
+    got = brands.lookalikes(spark.createDataFrame(pairs, "domain string, suffix string"), listed)
+    assert {tuple(r) for r in got.collect()} == all_pairs(pairs, lines) and got.count() == len(all_pairs(pairs, lines))
