@@ -149,3 +149,15 @@ def test_lookalikes_of_a_dense_list_are_settled_at_the_least_distance(spark):
     listed = brands.brand_list(spark.createDataFrame([(f"{a}.{b}",) for a, b in lines], "line string"), sent_lines=5)
     got = brands.lookalikes(spark.createDataFrame(pairs, "domain string, suffix string"), listed)
     assert {tuple(r) for r in got.collect()} == all_pairs(pairs, lines) and got.count() == len(all_pairs(pairs, lines))
+
+
+def test_scores_and_words_are_those_of_the_list_that_is_sent(spark):
+    rng = random.Random(6)
+    labels = sorted({word(rng, "abcd-é", 3, 7).strip("-") for _ in range(150)})
+    lines = spark.createDataFrame([(f"{x}.{rng.choice(['com', 'xyz'])}",) for x in labels], "line string")
+    lists = [brands.brand_list(lines, sent_lines=n) for n in (5, 1000)]
+    assert isinstance(lists[0], brands.LongBrands) and isinstance(lists[1], brands.Brands)
+    rows = [(i, f"https://{word(rng, 'abcd', 3, 7)}.{rng.choice(['com', 'top'])}/{rng.choice(labels)}") for i in range(300)] + [(300, f"https://{labels[0]}.com/login")]
+    urls = spark.createDataFrame(rows, "i int, url string")
+    scores = [sorted((r.i, r.domain, tuple(r.domain_signals), r.domain_score) for r in domain.score_domains(urls, x).collect()) for x in lists]
+    assert scores[0] == scores[1] and any("TYPO_DOMAIN" in s for _, _, s, _ in scores[0])
