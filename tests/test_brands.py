@@ -161,3 +161,14 @@ def test_scores_and_words_are_those_of_the_list_that_is_sent(spark):
     urls = spark.createDataFrame(rows, "i int, url string")
     scores = [sorted((r.i, r.domain, tuple(r.domain_signals), r.domain_score) for r in domain.score_domains(urls, x).collect()) for x in lists]
     assert scores[0] == scores[1] and any("TYPO_DOMAIN" in s for _, _, s, _ in scores[0])
+
+
+def test_words_are_those_of_the_list_that_is_sent(spark):
+    rng = random.Random(7)
+    labels = sorted({word(rng, "abcd-é", 3, 7).strip("-") for _ in range(150)} | {"ab-cd", "abcd", "cdab"})
+    lines = spark.createDataFrame([(f"{x}.com",) for x in labels], "line string")
+    few, many = brands.brand_list(lines, sent_lines=1000), brands.brand_list(lines, sent_lines=5)
+    texts = [[rng.choice([None, "", word(rng, "abcdABé-_ .", 1, 60), " ".join(rng.choices(labels, k=4)), "ab-cdab abcd-abcd"]) for _ in range(rng.randint(0, 3))] for _ in range(200)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t array<string>")
+    got = [{r.i: r.b for r in brands.with_words(df, "b", F.col("t"), x).collect()} for x in (many, few)]
+    assert got[0] == got[1] and sum(map(len, got[0].values())) > 100
