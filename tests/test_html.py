@@ -100,3 +100,21 @@ def test_texts_of_nested_elements_and_lists_of_many_nodes():
     assert tags.count("a") == 1000 and tags.count("input") == 1500
     assert page["elements"][0]["text"] == "a c" and len(page["elements"][2]["text"]) > 180
     assert page["elements"][-1]["text"] == "y" * 182
+
+
+def test_pages_are_handed_on_in_small_parts_and_read_once(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from linkrisk.functions import html
+    from linkrisk.operators import content, domain
+
+    cut = list(html.slices(pd.Series(["x"] * 150 + [None, "y" * 600_000, "z"])))
+    assert cut == [(0, 64), (64, 128), (128, 152), (152, 153)] and list(html.slices(pd.Series([], dtype=object))) == []
+    pages = spark.createDataFrame([(i, "https://a.test/", f"<title>naver {i}</title><a href='/{i}'>x</a>") for i in range(200)], "id int, url string, html string").coalesce(1)
+    rows = html.with_page(pages)
+    assert [r.t for r in rows.orderBy("id").select(F.col("page.elements")[0]["text"].alias("t")).collect()] == [f"naver {i}" for i in range(200)]
+    brands = domain.brand_sets(domain.sample_brands(spark))
+    scored = content.score_features(html.features(pages), brands).where("content_score >= 0")
+    plan = scored.select("id", "content_score")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # the page and its brand words, once each
