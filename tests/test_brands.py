@@ -172,3 +172,14 @@ def test_words_are_those_of_the_list_that_is_sent(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t array<string>")
     got = [{r.i: r.b for r in brands.with_words(df, "b", F.col("t"), x).collect()} for x in (many, few)]
     assert got[0] == got[1] and sum(map(len, got[0].values())) > 100
+
+
+def test_urls_are_taken_apart_once_and_only_likely_lengths_are_sought(spark):
+    listed = brands.brand_sets(spark.createDataFrame([("naver.com",)], "line string"))
+    urls = spark.createDataFrame([("https://nnaver.com/",), (f"https://{'ab' * 16}.com/",), ("https://naver.com/login",)], "url string")
+    rows = domain.score_domains(urls, listed)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "regexp_extract" not in plan  # both stand in the written flags
+    assert {r.domain: "TYPO_DOMAIN" in r.domain_signals for r in rows.collect()} == {"nnaver.com": True, "ab" * 16 + ".com": False, "naver.com": False}
+    plan = brands.lookalikes(spark.createDataFrame([("a" * 32, "com")], "domain string, suffix string"), listed)._jdf.queryExecution().optimizedPlan().toString()
+    assert "length(domain" in plan
