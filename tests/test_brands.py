@@ -183,3 +183,14 @@ def test_urls_are_taken_apart_once_and_only_likely_lengths_are_sought(spark):
     assert {r.domain: "TYPO_DOMAIN" in r.domain_signals for r in rows.collect()} == {"nnaver.com": True, "ab" * 16 + ".com": False, "naver.com": False}
     plan = brands.lookalikes(spark.createDataFrame([("a" * 32, "com")], "domain string, suffix string"), listed)._jdf.queryExecution().optimizedPlan().toString()
     assert "length(domain" in plan
+
+
+def test_keys_of_a_long_list_are_not_broadcast(spark, monkeypatch):
+    # the files are small, but the keys made of them are many: by the files' size Spark would send them to all tasks
+    monkeypatch.setattr(brands, "SENT_LINES", 0)
+    listed = spark.range(2000).selectExpr("substr(md5(cast(id as string)), 1, 9) || '.com' as line")
+    pairs = listed.selectExpr("'x' || substr(line, 2, 8) as domain", "'com' as suffix")
+    found = domain.lookalikes(pairs, domain.brand_list(listed, 0))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+    assert found.count() > 1000
