@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from linkrisk.functions import html
+from linkrisk.functions import html, urls
 from linkrisk.operators import content, domain, metrics, redirects, threat, verdict
 from linkrisk.sources.feed import parse_feed
 
@@ -173,3 +173,39 @@ def test_verdicts(spark):
     assert (got["4"].status, got["4"].failed_at_stage, got["4"].error_status) == ("failed", "unchain", 404)
     assert (got["5"].verdict, got["5"].score, got["5"].summary) == ("safe", 0, verdict.SAFE)
     assert [r.code for r in got["3"].reasons] == ["URLHAUS_MATCH"]
+
+
+def test_verdict_stages_see_each_url_and_page_once(spark, monkeypatch):
+    read, searched = [], []
+    normalised, score_features = urls.normalised, content.score_features
+    monkeypatch.setattr(urls, "normalised", lambda df, *a: (read.append(df.count()), normalised(df, *a))[1])
+    monkeypatch.setattr(content, "score_features", lambda df, *a, **k: (searched.append(df.count()), score_features(df, *a, **k))[1])
+    asked = ["https://a.com/", "https://a.com/", None, None, "https://b.com/", "  "]
+    requests = spark.createDataFrame([(str(i), u) for i, u in enumerate(asked)], "analysis_id string, url string")
+    hops = spark.createDataFrame([(f"https://{h}.com/", "HEAD", 200, None, "text/html", None) for h in "ab"], HOPS)
+    pages = spark.createDataFrame([("https://a.com/", 200, "text/html", None, '<body><div id="root"></div></body>', None), ("https://b.com/", 200, "text/html", None, "<p>b</p>", None)], "url string, status_code int, content_type string, content_length bigint, html string, error string")
+    rendered = spark.createDataFrame([(f"https://{h}.com/", "<title>naver</title><form><input type=password></form>", None) for h in "ab"], "url string, html string, error string")
+    got = {r.analysis_id: r for r in verdict.score_urls(requests, brands(spark), hops, pages, rendered=rendered).collect()}
+    assert [got[str(i)].status for i in range(6)] == ["succeeded", "succeeded", "failed", "failed", "succeeded", "failed"]
+    assert got["0"].asDict() | {"analysis_id": "1"} == got["1"].asDict() and got["0"].rendered_used and not got["4"].rendered_used
+    assert "RENDERED_DOM_ANALYZED" in got["0"].content_signals and "BRAND_IMPERSONATION_FORM" in got["0"].content_signals
+    assert got["4"].content_signals == []
+    # distinct URLs; both pages, and then only the one that a rendered form changes
+    assert read == [4] and searched == [2, 1]
+
+
+def test_safe_browsing_of_two_urls(spark):
+    known = [("a", True, None, ["X"]), ("b", True, None, ["Y", "X"]), ("c", False, "late", None), ("d", False, "down", None), ("e", None, None, [])]
+    captures = spark.createDataFrame(known, "url string, checked boolean, error string, types array<string>")
+    captures = captures.withColumn("matches", F.transform("types", lambda t: F.struct(t.alias("threat_type")))).drop("types")
+    pairs = [("a", "b"), ("b", "b"), ("c", "d"), ("e", "d"), ("z", "a"), (None, "b"), (None, None), ("a", "b")]
+    rows = threat.safe_browsing(spark.createDataFrame(pairs, "final_url string, original_url string"), captures).collect()
+    got = {(r.final_url, r.original_url): (r.gsb_checked, r.gsb_threat, r.gsb_types, r.gsb_error) for r in rows}
+    assert len(rows) == 6 and got == {
+        ("a", "b"): (True, True, ["X", "Y"], None),
+        ("b", "b"): (True, True, ["Y", "X"], None),
+        ("c", "d"): (False, False, [], "late"),
+        ("e", "d"): (False, False, [], "down"),
+        ("z", "a"): (True, True, ["X"], None),
+        (None, "b"): (True, True, ["Y", "X"], None),
+    }
