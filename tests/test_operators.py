@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from linkrisk.functions import html, urls
+from linkrisk.functions.shared import written
 from linkrisk.operators import content, domain, metrics, redirects, threat, verdict
+from linkrisk.plans import catalog
 from linkrisk.sources.feed import parse_feed
 
 
@@ -113,6 +115,34 @@ def test_redirects(spark):
     assert got["https://none.com/"].error == "pipeline_timeout"
 
 
+def test_locations_are_resolved_once_for_all_rounds(spark, monkeypatch):
+    made = []
+    resolve = redirects.urls.resolve
+    monkeypatch.setattr(redirects.urls, "resolve", lambda *a: made.append(a) or resolve(*a))
+    hops = spark.createDataFrame([("https://a.com/", "HEAD", 301, "/b/../c", None, None), ("https://a.com/c", "HEAD", 302, "//d.org/.x", None, None)], HOPS)
+    got = redirects.unchain(spark.createDataFrame([("https://a.com/", False)], "start string, upgraded boolean"), hops).first()
+    assert len(made) == 1  # a plan for each round would hold it again
+    assert got.final_url == "https://d.org/.x" and got.chain_signals == ["cross_origin:a.com->d.org", "pipeline_timeout"]
+
+
+def test_chains_normalise_each_url_once(spark, monkeypatch, tmp_path):
+    pages = [(i, f"https://h{i % 2}.com/{i}", "") for i in range(1, 7)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    seen = {}
+
+    def watched(df, name):
+        out = written(df, name)
+        seen[name] = df._jdf.queryExecution().optimizedPlan().toString().count("too_long"), out
+        return out
+
+    monkeypatch.setattr(catalog, "written", watched)
+    rows = catalog.j15_https_upgrade(spark, str(tmp_path)).collect()
+    asked = catalog.fixture(spark, str(tmp_path), "url_inputs").select("url").distinct().count()
+    assert max(n for n, _ in seen.values()) == 2  # once for plain rows, once for others: no filter does it again
+    assert seen["normal"][1].count() == asked < 24 * len(pages)
+    assert len(rows) == seen["starts"][1].count() == len(set(rows))
+
+
 PAGE = """<html><head><title> NAVER login </title><script>var a = "<input type=password>"</script></head><body><p>Hello   world<p>Again
 <form action="https://collector.test/x"><label for=i>주민번호</label><input id=i name=rrn><label>Tel <input name=mobile></label><input type=PassWord name=pw><input type=submit value=Go></form>
 <a href="/app.apk">get</a><a href="https://other.com/">out</a><a href="mailto:x@y">mail</a><img alt=" Naver "><img alt=""><meta http-equiv=Refresh content="0; URL='https://evil.test'"></body></html>"""
