@@ -4,7 +4,8 @@ documents, puts out secrets, and encodes what is left.
 Each stage's rows are written as Parquet and read again as the next stage's documents. Where rows repeat a doc_id, quality and
 contamination judge each row by its own text, and near copies by the group of any of them. Null and empty texts pass all
 stages that do not reject them; texts are read whole; an empty table gives an empty one; columns of other names are kept as
-they are, whatever they are called.
+they are, whatever they are called. Workers live through all stages and keep the most they have held, so stages that give a
+worker's rows make the session's batches small, whoever writes the rows.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkrisk.functions.shared import Scratch, dropped_at_end
+from linkrisk.functions.shared import Scratch, dropped_at_end, small_batches
 from linkrisk.llm import bpe, decontamination, jaccard, quality, secrets
 from linkrisk.llm.common import fresh, table, without
 
@@ -22,6 +23,7 @@ SHINGLE, NUM, DEN = 5, 80, 100
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; null and empty texts are judged by the model's bias alone."""
+    small_batches(spark)
     return quality.keep(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -49,6 +51,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def secrets_put_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets masked; n_chars, where there is one, is counted anew."""
+    small_batches(spark)
     clean = secrets.redact(docs)
     if "n_chars" in clean.columns:
         kind = docs.schema["n_chars"].dataType
@@ -58,6 +61,7 @@ def secrets_put_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the checksum of the decoded text; a null or empty text has no tokens."""
+    small_batches(spark)
     return bpe.encode(docs, bpe.default_vocabulary(), outputs=("ids", "decoded_sha256"))
 
 

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -257,6 +258,30 @@ def test_pipeline_equals_brute_force_on_clashing_columns_and_odd_rows(spark, tmp
         assert stage(spark, named, str(tmp_path)).columns == named.columns
 
 
+def test_stages_hand_workers_small_batches(spark, monkeypatch):
+    """Also where the caller writes a stage's rows: a worker that lives through all stages keeps the most it has held."""
+
+    def sizes(docs, *args, **kwargs):
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"doc_id": [0], "text": [str(batch.nbytes)]})
+
+        return docs.mapInArrow(run, "doc_id long, text string")
+
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+    monkeypatch.setattr(quality, "fit", lambda *args: None)
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *args: None)
+    for module, name, stage in ((quality, "keep", "quality"), (secrets, "redact", "secrets"), (bpe, "encode", "bpe")):
+        monkeypatch.setattr(module, name, sizes)
+        spark.conf.unset(limit)
+        try:
+            found = [int(r.text) for r in dict(corpus_pipeline.STAGES)[stage](spark, docs, "").collect()]
+        finally:
+            spark.conf.unset(limit)
+        assert sum(found) >= 15_000_000 and max(found) < 8_000_000, stage
+
+
 def test_labels_that_repeat(spark):
     docs, labels = corpus(spark, 100)
     again = labels.unionByName(labels).unionByName(spark.createDataFrame([(0, None, None), (None, 1, 1), (10**9, 1, 1)], labels.schema))
