@@ -27,6 +27,8 @@ BITS = 20
 PER_CLASS = 2500
 #: Most bytes of the sample's features that the driver holds at once.
 FIT_BYTES = 16 << 20
+#: Weights that are computed at once.
+PIECE = 1 << 14
 EPOCHS = 5
 REMEMBERED_WORDS = 100_000
 HELD_OUT = 2
@@ -118,6 +120,13 @@ class Ftrl:
         w = (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
         return np.where(np.abs(z) <= self.l1, 0.0, w)
 
+    def all_weights(self) -> np.ndarray:
+        """The weights of all features, made piece by piece, so that the driver holds little beside them."""
+        out = np.empty_like(self.z)
+        for at in range(0, len(out), PIECE):
+            out[at : at + PIECE] = self.weights(slice(at, at + PIECE))
+        return out
+
     def update(self, ids: np.ndarray, values: np.ndarray, label: int) -> None:
         w = self.weights(ids)
         g = (sigmoid(float(values @ w)) - label) * values
@@ -153,7 +162,8 @@ def fit(
     n_parts = max(1, -(-size // fit_bytes))
 
     def part(i: int) -> list:
-        got = made.where(F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)) == i).collect()
+        # one partition at a time passes through the driver's JVM
+        got = made.where(F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)) == i).toLocalIterator()
         return sorted(got, key=lambda r: (zlib.crc32(r.doc_id.encode()), r.doc_id))
 
     model, held = Ftrl(), part(0) if n_parts == 1 else None
@@ -162,7 +172,8 @@ def fit(
             for r in held if held is not None else part(i):
                 model.update(np.frombuffer(r.ids, "<i4"), np.frombuffer(r.vals, "<f4").astype(float), r.label)
     scratch.drop_but()
-    return model.weights(slice(None))
+    del held
+    return model.all_weights()
 
 
 def score(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -282,6 +283,18 @@ def test_stages_hand_workers_small_batches(spark, monkeypatch):
         assert sum(found) >= 15_000_000 and max(found) < 8_000_000, stage
 
 
+def test_all_weights_take_little_memory():
+    """The driver holds the weights and one piece, not several arrays of their size."""
+    rng, model = np.random.default_rng(3), quality.Ftrl()
+    model.z, model.n = rng.normal(0, 0.05, len(model.z)), rng.random(len(model.n))
+    tracemalloc.start()
+    got = model.all_weights()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got, model.weights(slice(None))) and (got == 0).any() and got.any()
+    assert peak < 1.5 * got.nbytes
+
+
 def test_labels_that_repeat(spark):
     docs, labels = corpus(spark, 100)
     again = labels.unionByName(labels).unionByName(spark.createDataFrame([(0, None, None), (None, 1, 1), (10**9, 1, 1)], labels.schema))
