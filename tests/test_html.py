@@ -118,3 +118,40 @@ def test_pages_are_handed_on_in_small_parts_and_read_once(spark):
     scored = content.score_features(html.features(pages), brands).where("content_score >= 0")
     plan = scored.select("id", "content_score")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 2  # the page and its brand words, once each
+
+
+def test_all_elements_of_a_tag_are_listed_however_many():
+    from linkrisk.functions import html
+
+    pages = ["<a href=/0>x</a>" * 3, None, "<p>no anchor</p>", "".join(f"<A HREF='/{i}' x>t" for i in range(25_000)) + "<script><a href=/no></script><a/>", "y" * 600_000 + "<a b=c>", "<a href=/z>"]
+    parts = list(html.pieces(pages, "a"))
+    assert [sum(len(found) for *_, found in part) for part in parts] == [10_000, 10_000, 5_005, 1]
+    listed = {}
+    for number, begin, found in (x for part in parts for x in part):
+        assert begin == len(listed.setdefault(number, []))
+        listed[number] += found
+    many = [{"href": f"/{i}", "x": ""} for i in range(25_000)]
+    assert listed == {0: [{"href": "/0"}] * 3, 3: [*many, {}], 4: [{"b": "c"}], 5: [{"href": "/z"}]}
+
+
+@pytest.mark.parametrize("pattern", PATTERNS)
+def test_all_elements_of_two_mebibytes_are_listed_in_seconds(pattern):
+    from linkrisk.functions import html
+
+    began = time.process_time()
+    for _ in html.pieces([pattern * (2 * 1024 * 1024 // len(pattern))], "a"):
+        pass
+    assert time.process_time() - began < 8
+
+
+def test_page_links_has_every_anchor_of_a_page(spark, tmp_path):
+    from linkrisk.plans import catalog
+
+    hrefs = {12: [f"/p/{i}" for i in range(12_000)], 24: ["https://b.test/x"], 36: [], 48: [f"https://www.a.test/{i}" for i in range(1_001)], 60: None}
+    made = [(k, f"https://a.test/{k}", h and "<p>" + "".join(f'<a href="{x}">t</a>' for x in h)) for k, h in hrefs.items()]
+    spark.createDataFrame(made, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    links = catalog.u11_u19_page_links(spark, str(tmp_path))
+    rows = [tuple(r) for r in links.orderBy("page_id", "pos").collect()]
+    assert rows == [(k, i, x, x if "://" in x else "https://a.test" + x, k == 24) for k, h in hrefs.items() for i, x in enumerate(h or [])]
+    generate = links._jdf.queryExecution().optimizedPlan().toString().partition("Generate posexplode")[2].partition("\n")[0]
+    assert "), [3], false" in generate  # the array is not carried to each of its elements
